@@ -6,17 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontaminate, minhash, quality, sharding, toxicity, urlfilter
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of ``documents`` with ``benchmark``: 13 aligned tokens with 2 substitutions at most."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every url of ``pages``, with canonical links and refreshes of the pages as alias edges."""
+    pages = read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.page_edges(pages))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of ``documents``."""
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of ``documents``, each with the whole table's mixture of sources."""
+    return sharding.interleave(read(spark, sf_dir, "documents"), 24)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 2-word shingles at 0.8."""
     return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of ``documents``."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
+    "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
+    "op10_toxicity": op10_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_sharding": sharding.SQL,
+}

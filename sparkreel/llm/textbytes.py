@@ -1,7 +1,7 @@
 """Vectorised word hashing over the UTF-8 bytes of many texts at once.
 
 A block of texts is one byte array.  Words are maximal runs of bytes outside
-``[\\x20\\x09-\\x0D]``; A-Z are lower-cased.  A word's hash is the polynomial
+``[\\x20\\x09-\\x0D]`` (or another set); A-Z are lower-cased.  A word's hash is the polynomial
 hash of its bytes modulo 2**64, taken from one running sum, then mixed: no
 Python loop touches a word or a text.
 """
@@ -22,8 +22,10 @@ BLOCK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes between words: the contract's white space, or every ASCII byte that is no letter or digit.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,13 +74,13 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first word of each text and the total) of the words of a block."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     up, down = _powers(n)
-    space = _SPACE[data]
+    space = between[data]
     solid = ~space
     fresh = np.ones(n, bool)
     fresh[1:] = space[:-1]
