@@ -28,9 +28,8 @@ CHUNKS, ROWS, ERRORS, BITS = 10, 5, 1, 16
 K = CHUNKS * ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 4096
-#: Bits of an odd sketch: a power of two of at least twice the set's size, within these.
-SKETCH = (512, 1 << 16)
-#: Two Arrow batches of this many texts at a time in a Python worker.
+#: Bits of an odd sketch: a power of two of at least four times the set's size, within these.
+SKETCH = (1024, 1 << 16)
 U64 = np.uint64
 
 
@@ -58,7 +57,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    return int(min(SKETCH[1], max(SKETCH[0], 1 << int(max(1, 2 * n) - 1).bit_length())))
+    return int(min(SKETCH[1], max(SKETCH[0], 1 << int(max(1, 4 * n) - 1).bit_length())))
 
 
 def odd_sketch(values: np.ndarray) -> bytes:
