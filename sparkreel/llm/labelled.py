@@ -33,3 +33,14 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, h
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(folds(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, score: Callable[[pa.Array], object], keep: Callable[[object], object]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score ``keep`` accepts."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(score(batch.column(at)))))
+
+    return docs.mapInArrow(run, docs.schema)

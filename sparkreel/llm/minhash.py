@@ -287,3 +287,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     linked = full.select("doc_id", "n_shingles", "cls").join(named, "cls").drop("cls")
     alone = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps: of each component the row of its least doc_id.
+
+    Rows that repeat both doc_id and text are kept once; rows with a null doc_id can't be named and all stay.
+    """
+    near = cut(near_duplicates(spark, docs, width, percent), "near")
+    gone = small(near.where("doc_id is not null and not kept").select("doc_id").distinct(), 24)
+    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    again = small(near.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id")), 24)
+    apart = left.join(again, left["doc_id"] == again["again_id"], "left_anti")
+    return apart.unionByName(left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -139,6 +139,20 @@ def score(model: Model, column: pa.Array, pairs: list[np.ndarray] | None = None)
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int):
+    """A function from a column of texts to probabilities, learned from the labels; it travels to the executors."""
+    model = fit(*labelled.sample(docs, labels, "quality", 5, 0, train_rows))
+    model.place = model.place.astype(np.float32)
+    kept: list[list[np.ndarray]] = []  # tables of pairs, made once in each worker
+
+    def run(column: pa.Array) -> np.ndarray:
+        if not kept:
+            kept.append(_pairs(model.place))
+        return score(model, column, kept[0])
+
+    return run
+
+
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted (1: good) for every row of ``docs``.
 
@@ -146,13 +160,9 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshol
     blank chunk; repeated rows score alike and are each returned; a null doc_id is not held out; more columns are ignored;
     no rows give no rows, and without labels every score is 0.5.
     """
-    model = fit(*labelled.sample(docs, labels, "quality", 5, 0, train_rows))
-    slim = Model(model.place.astype(np.float32), model.bias, model.out, model.out_bias)
-    kept: list[list[np.ndarray]] = []
+    return labelled.scored(docs, _scorer(docs, labels, train_rows), 5, 0, threshold)
 
-    def run(column: pa.Array) -> np.ndarray:
-        if not kept:
-            kept.append(_pairs(slim.place))
-        return score(slim, column, kept[0])
 
-    return labelled.scored(docs, run, 5, 0, threshold)
+def of_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; the learned model and the defined cases are :func:`quality`'s."""
+    return labelled.kept(docs, _scorer(docs, labels, train_rows), lambda s: s >= threshold)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, quality, sharding, toxicity, urlfilter
+from . import ann, decontaminate, htmltext, minhash, packing, quality, sharding, toxicity, urlfilter, warc
 from .common import read
 
 
@@ -21,6 +22,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.page_edges(pages))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector of ``embeddings`` whose id is divisible by 100, among all others."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as WARC files with a dictionary and read back."""
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of ``documents``."""
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -36,6 +48,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every text of ``documents`` lies in bins of 2048 tokens."""
+    return packing.best_fit(read(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text of ``documents``."""
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -44,12 +66,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
+    "op3_ann": op3_ann,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
-    "op10_toxicity": op10_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_packing": op8_packing,
+    "op9_html_text": op9_html_text,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
+    "op4_warc": warc.SQL,
     "op6_sharding": sharding.SQL,
 }
