@@ -169,6 +169,18 @@ def _bound_pairs(percent: int):
     return run
 
 
+def first_slot(same: np.ndarray) -> np.ndarray:
+    """Of each row of a comparison of signatures (pairs, K), the number of the first key that both have; -1 for none.
+
+    A pair that shares several buckets is left to the bucket of this key alone.
+    """
+    bad = ROWS - same.reshape(-1, CHUNKS, ROWS).sum(2)
+    chunk = (bad <= ERRORS).argmax(1)
+    at = np.arange(len(same))
+    hole = same.reshape(-1, CHUNKS, ROWS)[at, chunk].argmin(1)
+    return np.where(bad[at, chunk] <= ERRORS, chunk * ROWS + np.where(bad[at, chunk] == 0, 0, hole), -1)
+
+
 def _cross(percent: int):
     """Pairs of one bucket's block (or two blocks) that lie in different components and that the bound leaves possible."""
 
@@ -180,6 +192,8 @@ def _cross(percent: int):
         one, two = table["lo"][0].as_py(), table["hi"][0].as_py()
         raw = table["sketch"].to_pylist()
         raw = [raw[i] for i in order]
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, K)[order]
+        slot = table["slot"][0].as_py()
         width = np.array([len(x) for x in raw])
         level = {w: np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(width == w)), np.uint8).reshape(-1, w) for w in np.unique(width)}
         begin = {w: int(np.searchsorted(width, w)) for w in level}
@@ -203,6 +217,7 @@ def _cross(percent: int):
                 mine = plain[width[i]][i - begin[width[i]]]
                 apart = np.bitwise_count(have[w][js - begin[w]] ^ mine).sum(1, dtype=np.int64)
                 js = js[possible(n[i], n[js], apart, percent)]
+                js = js[first_slot(sig[js] == sig[i]) == slot]
                 found_a.append(np.minimum(cid[i], cid[js]))
                 found_b.append(np.maximum(cid[i], cid[js]))
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
@@ -253,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    members = classes.select("cid", "sig").mapInArrow(_keys, "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
+    members = classes.select("cid", "sig").mapInArrow(_keys, "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("slot", "key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("rep")).where("n > 1")
     met = cut(members.join(buckets, "key"), "met")
 
@@ -270,13 +285,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     comps = cut(connected_components(links).withColumnRenamed("node", "cid"), "comps")
 
     # what is left: buckets whose members are in several components
-    placed = met.where("n > 2").join(comps, "cid", "left").select("key", "n", "cid", F.coalesce("component", "cid").alias("comp"))
+    placed = met.where("n > 2").join(comps, "cid", "left").select("key", "slot", "n", "cid", F.coalesce("component", "cid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(slim, "cid")
+    rest = placed.join(mixed, "key", "left_semi").join(classes.select("cid", "n_shingles", "sketch", "sig"), "cid")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("blk", F.when(parts <= 1, 0).otherwise(F.pmod(F.xxhash64("cid"), parts)).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("key", "cid", "comp", "n_shingles", "sketch", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    rest = rest.select("key", "slot", "cid", "comp", "n_shingles", "sketch", "sig", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     left = rest.groupBy("key", "lo", "hi").applyInArrow(_cross(percent), "a long, b long").distinct()
     more = confirm(cut(left, "left"), docs, classes, width, percent)
     comps = cut(connected_components(links.unionByName(more)).withColumnRenamed("node", "cid"), "comps")
