@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folds
+from .common import bounded_sample, folds
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> tuple[pa.Array, list[int]]:
@@ -18,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(folds(modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = bounded_sample(known, "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # at most `rows` rows of 12 bytes
     got = texts.select("doc_id", "y", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow()
     return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_pylist()

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, small
+from .common import bounded_sample, cut, shared_path, small
 
 #: Magic number of the skippable frame that holds a dictionary, in the public WARC-Zstandard specification.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -51,7 +51,7 @@ def build_dictionary(pages: DataFrame) -> bytes:
     Only what the dictionary learns from is bounded; the records are written whole.  Too little to train on: the bytes themselves.
     """
     rows = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()
+    rows = bounded_sample(rows, "page_id", SAMPLE_ROWS).collect()
     samples = [record(r.page_id, r.url, r.html.encode(), None) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
