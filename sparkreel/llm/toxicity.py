@@ -7,6 +7,7 @@ executors is a short list of (bin, weight), of at most 2**BINS entries whatever
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,16 +44,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def rows_of(column: pa.Array) -> list[np.ndarray]:
-    """Distinct bins of each text."""
-    out = []
-    for i, j, data, offsets in tb.blocks(column):
+def rows_of(column: pa.Array, used: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Distinct bins of each text, of those that are ``used``."""
+    for i, j, data, offsets in tb.blocks(column, tb.BLOCK_BYTES // 4):
         found = features(data, offsets)
         bins, owner = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        if used is not None:
+            bins, owner = bins[used[bins]], owner[used[bins]]
         keys = np.unique((owner << BINS) | bins)
         cuts = np.searchsorted(keys >> BINS, np.arange(j - i + 1))
-        out += [keys[a:b] & ((1 << BINS) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return out
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield (keys[a:b] & ((1 << BINS) - 1)).astype(np.int32)
 
 
 def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.2, least_texts: int = 5) -> Model:
@@ -68,9 +70,10 @@ def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0
         limit = np.where(at == bias, 0.0, l1)
         return np.where(np.abs(x) <= limit, 0.0, -(x - np.sign(x) * limit) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    rows = rows_of(column)
-    common = np.bincount(np.concatenate(rows), minlength=bias) >= least_texts if rows else np.zeros(bias, bool)
-    rows = [np.append(r[common[r]], bias) for r in rows]
+    texts = np.zeros(bias, np.int32)
+    for r in rows_of(column):
+        texts[r] += 1
+    rows = [np.append(r, np.int32(bias)) for r in rows_of(column, texts >= least_texts)]
     for _ in range(passes):
         for at, y in zip(rows, labels, strict=True):
             w = weight(at)
