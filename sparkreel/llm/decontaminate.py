@@ -79,3 +79,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap an item; rows with a null doc_id stay."""
     leaks = small(contamination(docs, benchmark).select("doc_id").distinct(), 24)
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+#: Without seeds: 13 tokens with 2 substitutions hold 4 equal ones in a row (an exact short item does so too), so aligned runs of 4
+#: are all the candidates there are.
+SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') t from documents where text is not null and doc_id is not null),
+b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') t from benchmark where item_id is not null),
+i as (select *, least(len(t), 13) w, case when len(t) < 13 then len(t) else 11 end need from b where len(t) >= 8),
+dg as (select doc_id, p, t[p] || ' ' || t[p + 1] || ' ' || t[p + 2] || ' ' || t[p + 3] g from (select doc_id, t, unnest(range(1, len(t) - 2)) p from d)),
+ig as (select item_id, p, t[p] || ' ' || t[p + 1] || ' ' || t[p + 2] || ' ' || t[p + 3] g from (select item_id, t, unnest(range(1, len(t) - 2)) p from i)),
+g as (select distinct doc_id, item_id, dg.p - ig.p diagonal from dg join ig using (g)),
+x as (select doc_id, item_id, diagonal, w, need, d.t dt, [case when diagonal + k >= 1 and d.t[(diagonal + k)::int] = i.t[k] then 1 else 0 end for k in range(1, len(i.t) + 1)] same, i.t it from g join d using (doc_id) join i using (item_id)),
+y as (select doc_id, item_id, diagonal, need, w, len(dt) n, a, list_sum(same[a:a + w - 1]) m from (select *, unnest(range(1, len(it) - w + 2)) a from x))
+select doc_id, item_id, count(*) windows, max(m)::int matched, min(diagonal + a - 1)::int doc_pos, min(a - 1)::int item_pos
+from y where m >= need and diagonal + a > 0 and diagonal + a + w - 1 <= n group by 1, 2
+"""

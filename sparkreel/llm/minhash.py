@@ -259,8 +259,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     Texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles.  Null, empty
     and blank texts have an empty set and are linked with nothing: they are their own component, and kept.  A text of fewer
     words than ``width`` is one shingle.  Equal sets are one class, so copies cost one row each.  Repeated rows share
-    their component and are each returned; rows with a null doc_id are returned with what their class gives and are never the kept one,
-    unless nothing else is in the class (component_id null, kept true).  No rows give no rows.
+    their component and are each returned.  Rows with a null doc_id get their class's component and are not kept; a class of
+    nothing but null ids is linked with no other class (component_id null, kept true).  No rows give no rows.
     """
     schema = "doc_id long, n_shingles long, cls binary, sig binary, sketch binary"
     described = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe(width), schema), "described")
@@ -315,3 +315,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     again = small(near.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id")), 24)
     apart = left.join(again, left["doc_id"] == again["again_id"], "left_anti")
     return apart.unionByName(left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+#: Every pair that shares a shingle, counted: the definition itself, for 2-word shingles at 0.8.
+SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) s from w),
+n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r as (select a, a b from e union select r.a, e.b from r join e on e.a = r.b),
+c as (select a doc_id, min(b) c from r group by 1)
+select w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(c.c, w.doc_id) component_id, w.doc_id = coalesce(c.c, w.doc_id) kept
+from w left join n using (doc_id) left join c using (doc_id)
+"""

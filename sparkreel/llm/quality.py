@@ -52,6 +52,12 @@ def _responses(model_pairs: list[np.ndarray], data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _step_maxima(pairs: list[np.ndarray], padded: np.ndarray, steps: int = 1024) -> np.ndarray:
+    """Maximal responses within each step, a bounded number of steps at a time."""
+    total = (len(padded) - WIDTH) // STEP
+    return np.concatenate([_responses(pairs, padded[a * STEP : min(total, a + steps) * STEP + WIDTH]).reshape(-1, STEP, FILTERS).max(1) for a in range(0, total, steps)])
+
+
 def _pairs(place: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray((place[2 * k][:, None, :] + place[2 * k + 1][None, :, :]).reshape(65536, FILTERS), np.float32) for k in range(WIDTH // 2)]
 
@@ -133,7 +139,7 @@ def score(model: Model, column: pa.Array, pairs: list[np.ndarray] | None = None)
     out = np.zeros(len(column))
     for i, j, data, offsets in tb.blocks(column, 1 << 18):
         padded, first = _pad(data, offsets)
-        best = _responses(pairs, padded).reshape(-1, STEP, FILTERS).max(1) + model.bias
+        best = _step_maxima(pairs, padded) + model.bias
         feats = _combine(np.maximum(_chunks(best, first), 0), first)
         out[i:j] = feats @ model.out + model.out_bias
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))

@@ -77,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.SQL,
+    "op2_url_filter": urlfilter.sql(),
     "op4_warc": warc.SQL,
     "op6_sharding": sharding.SQL,
+    "op7_minhash_dedup": minhash.SQL,
 }

@@ -74,11 +74,35 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def _pieces(data: np.ndarray, between: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about BLOCK_BYTES that end between words."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(n, at + BLOCK_BYTES)
+        if end < n:
+            gaps = np.flatnonzero(between[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # a word longer than a piece goes on to its end
+                more = np.flatnonzero(between[data[end:]])
+                end = end + int(more[0]) if len(more) else n
+        yield data[at:end]
+        at = end
+
+
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first word of each text and the total) of the words of a block."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and n > 2 * BLOCK_BYTES:
+        found = np.concatenate([_words(piece, np.array([0, len(piece)]), between)[0] for piece in _pieces(data, between)])
+        return found, np.array([0, len(found)])
+    return _words(data, offsets, between)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
     up, down = _powers(n)
     space = between[data]
     solid = ~space
@@ -114,11 +138,12 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
     value = hashes.copy()
     with np.errstate(over="ignore"):
         for k in range(1, width):
+            m = max(0, len(hashes) - k)
             ahead = np.zeros(len(hashes), U64)
-            ahead[: len(hashes) - k] = hashes[k:]
+            ahead[:m] = hashes[k:]
             # the running fold of a short text stops at its end, so it covers all its words
             inside = np.zeros(len(hashes), bool)
-            inside[: len(hashes) - k] = owner[k:] == owner[: len(hashes) - k]
+            inside[:m] = owner[k:] == owner[:m]
             value = np.where(inside, pair_hash(value, ahead), value)
     at = np.arange(len(hashes)) - first[owner]
     keep = (at + width <= counts[owner]) | ((at == 0) & (counts[owner] < width))
