@@ -19,6 +19,19 @@ def bucket(win: Column, bet_unit: Column) -> Column:
     return F.when(win <= 0, 0).otherwise(reached).cast("int")
 
 
+def _square_sum(x: Column) -> Column:
+    """Sum of squares, exact up to the last step.
+
+    Squares of wins under 2**31 are summed as their high and low 31 bits, so that the sums stay whole longs; larger wins, which are
+    rare, as decimals.
+    """
+    usual = F.abs(x) < 1 << 31
+    square = F.when(usual, x).otherwise(F.lit(0)) * F.when(usual, x).otherwise(F.lit(0))
+    high, low = F.sum(F.shiftright(square, 31)), F.sum(square.bitwiseAND((1 << 31) - 1))
+    large = F.sum(F.when(~usual, x.cast("decimal(19,0)") * x.cast("decimal(19,0)")))
+    return F.coalesce(high.cast("double") * float(1 << 31) + low.cast("double"), F.lit(0.0)) + F.coalesce(large.cast("double"), F.lit(0.0))
+
+
 def summary(ledger: DataFrame, *keys: str) -> DataFrame:
     """One report row, or one for each value of ``keys``; an empty ledger without keys gives zeros.
 
@@ -28,13 +41,12 @@ def summary(ledger: DataFrame, *keys: str) -> DataFrame:
     w, b = F.col("total_win"), F.col("base_win")
     f = w - b
     sums = {"total_bet": F.col("bet"), "total_win": w, "base_win": b, "free_win": f, "triggers": F.col("trigger").cast("long"), "no_win_rounds": F.when(w <= 0, F.lit(1)).otherwise(F.lit(0)).cast("long")}
-    squares = {"total_sq": w * w, "base_sq": b * b, "free_sq": f * f}
+    squares = {"total_sq": w, "base_sq": b, "free_sq": f}
     rows = ledger.groupBy(*keys).agg(
         F.count("*").alias("rounds"),
         F.max("bet_unit").alias("bet_unit"),
         *(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(k) for k, x in sums.items()),
-        # squares outgrow a long long before the sums do
-        *(F.coalesce(F.sum(x.cast("decimal(28,0)")), F.lit(0)).cast("double").alias(k) for k, x in squares.items()),
+        *(_square_sum(x).alias(k) for k, x in squares.items()),
     )
     n, unit = F.col("rounds").cast("double"), F.col("bet_unit").cast("double")
     zero = F.lit(0.0)
