@@ -44,6 +44,12 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete everything that :func:`cut` and the writers left in the shared folder; call it when no result is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkreel")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its counted size is under ``limit``; unmarked otherwise (Spark then shuffles)."""
     most = limit // row_bytes

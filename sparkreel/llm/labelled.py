@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,18 +11,28 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, folds
 
+#: Bytes of text that a classifier learns from, at most.
+TRAIN_BYTES = 48 << 20
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> tuple[pa.Array, list[int]]:
-    """(texts, labels) of at most ``rows`` labelled documents outside the held-out fold, by least hash of doc_id.
 
-    Several labels of one doc_id: the least counts.  Null labels and null doc_ids are no labels.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, most_bytes: int = TRAIN_BYTES) -> tuple[pa.Array, list[int]]:
+    """(texts, labels) of labelled documents outside the held-out fold, in the order of a hash of doc_id.
+
+    At most ``rows`` of them, and at most ``most_bytes`` of text together: whole texts are taken while they fit.  Several labels of
+    one doc_id: the least counts.  Null labels and null doc_ids are no labels.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(folds(modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = bounded_sample(known, "doc_id", rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # at most `rows` rows of 12 bytes
-    got = texts.select("doc_id", "y", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow()
-    return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_pylist()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(known), "doc_id")  # at most `rows` rows of 12 bytes
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.col("text").cast("binary")))
+    sizes = texts.select(F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "n").limit(rows).collect()
+    fits = sum(total <= most_bytes for total in accumulate(r["n"] for r in sizes))
+    if not fits:
+        return pa.array([], pa.string()), []
+    got = texts.where(F.xxhash64("doc_id") <= sizes[fits - 1]["h"]).where(F.octet_length("text") <= most_bytes).orderBy(*order).limit(fits).select("y", "text").toArrow()
+    return got["text"].combine_chunks(), got["y"].to_pylist()
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, held: int, threshold: float) -> DataFrame:
