@@ -75,3 +75,8 @@ def report_text(name: str, r: Mapping[str, Any]) -> str:
         ("STD / CV", f"{r['std']:.3f} / {r['cv']:.3f}"),
     ]
     return table(rows)
+
+
+def estimate_text(rows: Sequence[Mapping[str, Any]]) -> str:
+    """Estimates (name, value or share, lo, hi) as a text table."""
+    return table([(r["name"], percent_interval(r.get("share", r.get("value")), r["lo"], r["hi"])) for r in rows])

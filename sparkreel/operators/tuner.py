@@ -348,3 +348,10 @@ def shapes_frame(spark: SparkSession, c: ClassSetting, wins: Sequence[float], n:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tolist() for w in made], pa.list_(pa.float64())), pa.array([mean_of(own, w) for w in made], pa.float64()), pa.array([median_of(own, w) for w in made], pa.float64())], names=["shape_id", "weights", "mean", "median"])
 
     return spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "shape_id").mapInArrow(run, "shape_id long, weights array<double>, mean double, median double")
+
+
+def load_bundle(units: Sequence[int], files: Sequence[int], folder: str | Path) -> dict[int, SeedBank]:
+    """A bank for each bet unit; there must be as many."""
+    if len(units) != len(files):
+        raise TunerError("one bank for each bet unit is needed")
+    return {u: load_bank(f, folder) for u, f in zip(units, files, strict=True)}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import estimator, report, sessions
+from ..operators import estimator, report, sessions, tags, tuner
 from ..sources import ledger as ledgers
 from ..sources import simulate as sims
 from ..sources import wire
@@ -45,12 +45,12 @@ class Engine:
     def game(self, key: int | str | Game) -> Game:
         return key if isinstance(key, Game) else self.catalog.get(key)
 
-    def simulate(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0) -> DataFrame:
-        """A ledger of simulated rounds; ``first_spin`` replays a range."""
+    def simulate(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0, bank: tuner.SeedBank | None = None) -> DataFrame:
+        """A ledger of simulated rounds; ``first_spin`` replays a range, a ``bank`` weights what is played."""
         game = self.game(key)
         if rounds < 0 or not 0 <= bet_mode < len(game.bet_units) or bet_mult < 1:
             raise ConfigError("rounds from 0, a known bet mode and a multiplier from 1 are needed")
-        return sims.simulate(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin)
+        return sims.simulate(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin, bank)
 
     def simulate_players(self, key: int | str | Game, players: int, rounds: int, init_bets: int, seed: int = 1, bet_mode: int = 0) -> DataFrame:
         game = self.game(key)
@@ -100,6 +100,22 @@ class Engine:
             "sessions": estimator.session_shares(rows, init_bets),
         }
 
+    def tune(self, key: int | str | Game, settings: Mapping[str, Any], spins: int, seed: int = 1) -> tuner.SeedBank:
+        """A seed bank from ``spins`` simulated spins: collect each class's quota, shape its weights, screen for the deviation."""
+        target, classes = tuner.parse_settings(settings)
+        tagger = tags.Tagger([t for c in classes for t in c.tags])
+        unit = self.game(key).bet_units[0]
+        rows = self.simulate(key, spins, seed).select("spin_id", (F.col("total_win") / unit).alias("win"), tagger.bits().alias("bits"))
+        strata = [(c.name, tags.covers(F.col("bits"), tagger.mask(c.tags)) & F.col("win").between(c.min_win, c.max_win), c.collect) for c in classes]
+        got = tags.collect_strata(rows, strata, "spin_id").orderBy("spin_id").collect()  # the quotas bound it
+        parts = []
+        for c in classes:
+            own = [r for r in got if r["cname"] == c.name]
+            if len(own) < c.collect:
+                raise tuner.TunerError(f"class {c.name}: {len(own)} of {c.collect} samples in {spins} spins")
+            parts.append((c, np.array([r["win"] for r in own]), [int(r["spin_id"]).to_bytes(8, "little") for r in own]))
+        return tuner.tune(parts, target, seed)[0]
+
     def service(self, name: str, **args: Any) -> list[dict[str, Any]]:
         """The service's routes as calls with their limits: ``sim``, ``simplayer``, ``stat``, ``games`` and ``health``."""
         if name == "games":

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rng
 from ..operators.cluster import Clusters
+from ..operators.sampling import alias_pick
+from ..operators.tuner import SeedBank
 from .config import ConfigError, Game, Mode, decode_fixed
 
 U64 = np.uint64
@@ -217,8 +219,18 @@ LOGICS: dict[str, Logic] = {"demo_normal": lines_logic, "demo_cascade": cascade_
 LEDGER = "spin_id long, player_id long, seq long, bet_unit long, bet long, total_win long, base_win long, trigger int"
 
 
-def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0) -> DataFrame:
-    """A ledger of ``spins`` spins.  The rows don't depend on ``partitions``; any range of spin ids can be replayed alone."""
+def banked(bank: SeedBank, state: np.ndarray) -> np.ndarray:
+    """Spin ids picked from a bank whose seeds are 8-byte ids."""
+    slot = rng.below(rng.draw(state, 0), len(bank.prob))
+    level = np.floor(rng.unit(rng.draw(state, 1)) * bank.total)
+    return np.frombuffer(bank.seeds, "<i8")[alias_pick(bank.prob, bank.alias, bank.total, slot, level)]
+
+
+def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0, bank: SeedBank | None = None) -> DataFrame:
+    """A ledger of ``spins`` spins.  The rows don't depend on ``partitions``; any range of spin ids can be replayed alone.
+
+    With a ``bank`` each spin plays a banked spin id, picked by the bank's weights.
+    """
     make = logic or LOGICS[game.logic_key]
     unit = game.bet_units[bet_mode]
 
@@ -228,7 +240,7 @@ def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mod
             ids = batch.column(0).to_numpy()
             for lo in range(0, len(ids), BATCH):
                 own = ids[lo : lo + BATCH]
-                base, total, trigger = play(rng.streams(seed, own), bet_mult)
+                base, total, trigger = play(rng.streams(seed, own if bank is None else banked(bank, rng.streams(~seed, own))), bet_mult)
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own), pa.array(np.zeros(n, np.int64)), pa.array(own), pa.array(np.full(n, unit)), pa.array(np.full(n, unit * bet_mult)), pa.array(total), pa.array(base), pa.array(trigger.astype(np.int32))],

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sparkreel.__main__ import main as command_line
 from sparkreel.functions import codec, render, rng
 from sparkreel.operators import report, sampling, sessions, tuner
 from sparkreel.plans import demo
@@ -325,3 +326,30 @@ def test_entry(spark):
     assert set(sql) <= set(queries) and len(queries) > 40
     if importlib.util.find_spec("corpus_pipeline"):
         assert "pipeline" in queries
+
+
+def test_tuned_bank_is_played(spark, tmp_path):
+    engine = Engine(spark, games=[demo.line_game()])
+    raw = tuner_settings()
+    raw["trget_std"] = 2.5
+    bank = engine.tune(0, raw, 20_000)
+    rows = engine.simulate(0, 20_000, bank=bank)
+    ids = set(np.frombuffer(bank.seeds, "<i8").tolist())
+    plain = {r.total_win for r in engine.simulate(0, 20_000).where(F.col("spin_id").isin(list(ids))).collect()}
+    assert {r.total_win for r in rows.select("total_win").distinct().collect()} <= plain
+    r = report.summary(rows).first()
+    assert abs(r.rtp - (0.75 * 0.9932 + 20 * 0.0068)) < 5 * r.std / math.sqrt(r.rounds)
+    tuner.save(bank, 0, tmp_path)
+    assert set(tuner.load_bundle([40], [0], tmp_path)) == {40}
+    with pytest.raises(tuner.TunerError):
+        tuner.load_bundle([40, 80], [0], tmp_path)
+    with pytest.raises(tuner.TunerError):
+        engine.tune(0, raw, 100)
+
+
+def test_command_line(spark, capsys):
+    command_line(["games"])
+    command_line(["run", "--rounds", "200", "--format", "json"])
+    command_line(["players", "--rounds", "5", "--players", "20", "--init-bets", "5"])
+    out = capsys.readouterr().out
+    assert "demo_cascade" in out and '"rounds": 200' in out and "cashout" in out
