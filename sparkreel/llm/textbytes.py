@@ -26,7 +26,6 @@ _LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,18 +35,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n; kept for the largest n seen, rounded up."""
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        up, down = np.ones(size, U64), np.ones(size, U64)
-        with np.errstate(over="ignore"):
-            up[1:] = U64(BASE)
-            down[1:] = U64(BASE_INV)
-            have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        _POWERS[0] = have
-    return have
+class _Powers:
+    """BASE**i and BASE**-i for i below n; kept for the largest n seen, rounded up, but not sent along with functions that use it."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.zeros(0, U64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << max(16, (n - 1).bit_length())
+            up, down = np.ones(size, U64), np.ones(size, U64)
+            with np.errstate(over="ignore"):
+                up[1:] = U64(BASE)
+                down[1:] = U64(BASE_INV)
+                self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
 
 def _words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    up, down = _powers(n)
+    up, down = _POWERS.get(n)
     space = between[data]
     solid = ~space
     fresh = np.ones(n, bool)
