@@ -51,8 +51,9 @@ BAD_NAMES = frozenset(
 #: The same, where the element is the article itself or its main container.
 BAD_ARTICLES = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Prefixes that say what a container has or is for, not what it is.
-NOT_NAMES = frozenset("has with no without main article post entry content".split())
+#: Prefixes that say what a container has, not what it is; and those of parts of an article, whose headers hold its title.
+NOT_NAMES = frozenset("has with no without".split())
+PARTS = frozenset("article post entry content story".split())
 KEPT = frozenset("html body".split())
 CONTAINERS = frozenset("article main".split())
 
@@ -73,7 +74,7 @@ def _bad(tag: str, text: str) -> bool:
     names = BAD_ARTICLES if tag in CONTAINERS else BAD_NAMES
     for name in f"{have.get('class', '')} {have.get('id', '')}".split():
         words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        if words and (words[0] not in NOT_NAMES or {"comment", "comments"} & set(words)) and any(w in names for w in words):
+        if words and words[0] not in NOT_NAMES and any(w in names and not (w == "header" and words[0] in PARTS) for w in words):
             return True
     return False
 

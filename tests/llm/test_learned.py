@@ -39,6 +39,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
         ("<article><h1>x</h1><div class=ad>1<div>2</div>3</div><p>y</p></article>", "x\n\ny"),
         ('<article><p title="a > b">q</p><!-- <p>no</p> --><p>r < s</p></article>', "q\n\nr < s"),
         ("<nav>only menu</nav>", ""),
+        ('<article><div class="article-header"><h1>t</h1></div><div class="main-menu">m</div><p class="no-ads">k</p><div class="postComments">c</div></article>', "t\n\nk"),
     ],
 )
 def test_main_text(page, text):
