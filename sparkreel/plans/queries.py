@@ -463,9 +463,10 @@ select p_partkey, floor(p_size::double / total::double * greatest({tuner.ACCURAC
 
 
 def gamma_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random gamma mixtures over the distinct wins of a share of the ledger, made on the executors."""
-    setting = tuner.ClassSetting("base", (), 0, 10000, 100, 0, 60.0, 20, 20, tuner.Mixture("gamma", (3, 5), 80.0, 15.0, (5.0, 30.0), (0.1, 0.7), (0.3, 0.4)), (0.0, 1e9))
-    wins = [r[0] for r in _rounds(spark, sf_dir).orderBy("spin_id").limit(400).select("total_win").collect()]  # a bounded sample, as the tuner collects
+    """Random gamma mixtures over a class's collected wins, made on the executors."""
+    setting = tuner.ClassSetting("base", (), 0, 10000, 400, 0, 60.0, 20, 20, tuner.Mixture("gamma", (3, 5), 80.0, 15.0, (5.0, 30.0), (0.1, 0.7), (0.3, 0.4)), (0.0, 1e9))
+    rows = tags.collect_disjoint(_rounds(spark, sf_dir).select("spin_id", "total_win"), [("base", F.col("total_win").between(0, 10000), setting.collect)], "spin_id")
+    wins = [r["total_win"] for r in rows.collect()]  # the class's quota bounds it
     return tuner.shapes_frame(spark, setting, wins, 200)
 
 
