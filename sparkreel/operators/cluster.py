@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 
 from ..sources.config import Mode
 
-U64 = np.uint64
 
 
 class Clusters:
@@ -24,54 +23,56 @@ class Clusters:
         self.mode, self.cells = mode, mode.columns * mode.rows
         if self.cells > 63:
             raise ValueError("cluster boards have at most 63 cells")
+        self.kind = np.uint32 if self.cells < 32 else np.uint64
         bit = lambda c: sum(1 << (r * mode.columns + c) for r in range(mode.rows))
         whole = (1 << self.cells) - 1
-        self.not_first, self.not_last, self.whole = U64(whole & ~bit(0)), U64(whole & ~bit(mode.columns - 1)), U64(whole)
-        self.pay = np.array(mode.pay_table, np.int64)
+        self.not_first, self.not_last, self.whole, self.one, self.up = map(self.kind, (whole & ~bit(0), whole & ~bit(mode.columns - 1), whole, 1, mode.columns))
+        self.pay, self.least = np.array(mode.pay_table, np.int64), mode.least_paid
         self.starts = [s for s, (w, p) in enumerate(zip(mode.wild, mode.paid, strict=True)) if p and not w]
-        self.wild = [s for s, w in enumerate(mode.wild) if w]
+        self.wild = np.array(mode.wild)
 
-    def bits(self, boards: np.ndarray, symbols: list[int]) -> np.ndarray:
-        out = np.zeros(len(boards), U64)
-        for k in range(self.cells):
-            hit = boards[:, k] == symbols[0] if len(symbols) == 1 else np.isin(boards[:, k], symbols)
-            out |= hit.astype(U64) << U64(k)
-        return out
+    def bits(self, cells: np.ndarray) -> np.ndarray:
+        """Each row of booleans as one integer, cell 0 lowest."""
+        packed = np.packbits(cells, axis=1, bitorder="little")
+        out = np.zeros((len(cells), np.dtype(self.kind).itemsize), np.uint8)
+        out[:, : packed.shape[1]] = packed
+        return out.view(self.kind)[:, 0]
 
     def grow(self, seed: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """All cells of the mask that are connected with the seed."""
-        up = U64(self.mode.columns)
         while True:
-            more = (seed | ((seed << U64(1)) & self.not_first) | ((seed & self.not_first) >> U64(1)) | ((seed << up) & self.whole) | (seed >> up)) & mask
+            more = (seed | ((seed << self.one) & self.not_first) | ((seed & self.not_first) >> self.one) | (seed << self.up) | (seed >> self.up)) & mask
             if np.array_equal(more, seed):
                 return seed
             seed = more
 
     def score(self, boards: np.ndarray, bet_mult: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-        """(win, bits of all hit cells, [(rows, symbol, sizes, wins, bits)]) of boards (n, cells)."""
+        """(win, bits of all hit cells, [(rows, symbols, sizes, wins, bits)]) of boards (n, cells).
+
+        All (board, symbol) pairs that have enough cells grow one cluster at a time together.
+        """
         n = len(boards)
-        wins, hit, found = np.zeros(n, np.int64), np.zeros(n, U64), []
+        wins, hit, found = np.zeros(n, np.int64), np.zeros(n, self.kind), []
         mult = np.broadcast_to(np.asarray(bet_mult, np.int64), (n,))
-        wild = self.bits(boards, self.wild) if self.wild else np.zeros(n, U64)
+        wild = self.bits(self.wild[boards])
+        parts = []
         for s in self.starts:
-            own = self.bits(boards, [s])
-            row = np.flatnonzero((own > 0) & (np.bitwise_count(own | wild) >= self.mode.least_paid))
-            left = own[row]
-            while len(row):
-                mask = own[row] | wild[row]
-                low = left & (~left + U64(1))
-                one = self.grow(low, mask)
-                size = np.minimum(np.bitwise_count(one).astype(np.int64), self.pay.shape[1])
-                pay = self.pay[s][size - 1] * mult[row]
-                good = pay > 0
-                if good.any():
-                    r = row[good]
-                    wins[r] += pay[good]
-                    hit[r] |= one[good]
-                    found.append((r, s, size[good], pay[good], one[good]))
-                left = left & ~one
-                more = left > 0
-                row, left = row[more], left[more]
+            own = self.bits(boards == s)
+            at = np.flatnonzero((own > 0) & (np.bitwise_count(own | wild) >= self.least))
+            parts.append((at, np.full(len(at), s), own[at], own[at] | wild[at]))
+        row, symbol, left, mask = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), hit[:0], hit[:0])
+        while len(row):
+            one = self.grow(left & (~left + self.one), mask)
+            size = np.minimum(np.bitwise_count(one).astype(np.int64), self.pay.shape[1])
+            pay = self.pay[symbol, size - 1] * mult[row]
+            good = pay > 0
+            r = row[good]
+            np.add.at(wins, r, pay[good])
+            np.bitwise_or.at(hit, r, one[good])
+            found.append((r, symbol[good], size[good], pay[good], one[good]))
+            left = left & ~one
+            more = left > 0
+            row, symbol, left, mask = row[more], symbol[more], left[more], mask[more]
         return wins, hit, found
 
 
@@ -85,11 +86,13 @@ def score_clusters(boards: DataFrame, mode: Mode, key: str = "id", board: str =
             if not batch.num_rows:
                 continue
             cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, tool.cells)
-            wins, _, found = tool.score(cells)
+            wins, _, found = tool.score(np.ascontiguousarray(cells))
             details: list[list[dict]] = [[] for _ in range(len(wins))]
             for rows, s, sizes, pays, bits in found:
-                for r, n, p, b in zip(rows.tolist(), sizes.tolist(), pays.tolist(), bits.tolist(), strict=True):
-                    details[r].append({"win": p, "symbol": s, "count": n, "hits": [k for k in range(tool.cells) if b >> k & 1]})
+                for r, sym, n, p, b in zip(*(x.tolist() for x in (rows, s, sizes, pays, bits)), strict=True):
+                    details[r].append({"win": p, "symbol": sym, "count": n, "hits": [k for k in range(tool.cells) if b >> k & 1]})
+            for d in details:
+                d.sort(key=lambda x: (x["symbol"], x["hits"][0]))
             detail = pa.struct([("win", pa.int64()), ("symbol", pa.int16()), ("count", pa.int32()), ("hits", pa.list_(pa.int16()))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wins), pa.array(details, pa.list_(detail))], names=[key, "win", "details"])
 

@@ -95,16 +95,23 @@ class LineGame:
             for line in mode.lines:
                 cells = [r * mode.columns + c for c, r in enumerate(line)]
                 self.tables.append(cells[::-1] if d else cells)
-        self.table, self.base = table, k
+        self.table = table
+        # the places of a line have rising powers of the base, from its last cell
+        self.powers = [k ** (mode.columns - 1 - i) for i in range(mode.columns)]
 
     def win(self, boards: np.ndarray) -> np.ndarray:
         cells = np.ascontiguousarray(boards.T).astype(np.int32)
+        scaled: dict[tuple[int, int], np.ndarray] = {}
         out = np.zeros(len(boards), np.int64)
+        at = np.empty(len(boards), np.int32)
         for line in self.tables:
-            at = cells[line[0]]
-            for c in line[1:]:
-                at = at * self.base + cells[c]
-            out += self.table[at]
+            for i, c in enumerate(line):
+                if (i, c) not in scaled:
+                    scaled[i, c] = cells[c] * np.int32(self.powers[i])
+            np.add(scaled[0, line[0]], scaled[1, line[1]] if len(line) > 1 else 0, out=at)
+            for i, c in enumerate(line[2:], 2):
+                at += scaled[i, c]
+            out += self.table.take(at)
         return out
 
 
@@ -131,6 +138,11 @@ class CascadeRules:
 PER_ROUND = 1 << 12
 
 
+def _free_rounds(state: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(streams, first draws) of all free rounds of these spins, round by round."""
+    return np.tile(state, rounds), np.repeat(np.arange(1, rounds + 1) * PER_ROUND, len(state))
+
+
 def lines_logic(game: Game) -> Play:
     """A base board; more than two scatters start free rounds on the second mode."""
     rules = decode_fixed(FreeRounds, {k: tuple(v) if isinstance(v, list) else v for k, v in game.fixed.items()})
@@ -144,8 +156,9 @@ def lines_logic(game: Game) -> Play:
         triggered = scatter[boards].sum(1) > 2
         hit = np.flatnonzero(triggered)
         total = base_win.copy()
-        for k in range(rules.free_round if len(hit) else 0):
-            total[hit] += free_score.win(free_reels.boards(state[hit], (k + 1) * PER_ROUND)) * bet_mult
+        if len(hit) and rules.free_round:
+            free_state, draws = _free_rounds(state[hit], rules.free_round)
+            total[hit] += free_score.win(free_reels.boards(free_state, draws)).reshape(rules.free_round, -1).sum(0) * bet_mult
         return base_win, total, triggered.astype(np.int64)
 
     return play
@@ -175,7 +188,7 @@ class Cascade:
     def __init__(self, mode: Mode, rules: CascadeRules) -> None:
         self.mode, self.rules, self.reels, self.tool = mode, rules, Reels(mode), Clusters(mode)
 
-    def play(self, state: np.ndarray, draw: int, bet_mult: int) -> tuple[np.ndarray, np.ndarray]:
+    def play(self, state: np.ndarray, draw: np.ndarray | int, bet_mult: int) -> tuple[np.ndarray, np.ndarray]:
         """(win, final boards): score, clear, fall and refill until nothing pays; all spins of a batch step together."""
         mode, reels, tool = self.mode, self.reels, self.tool
         boards = reels.boards(state, draw).copy()
@@ -189,7 +202,7 @@ class Cascade:
                 break
             wins[live] += won[keep]
             cleared = boards[live]
-            cleared[((hit[:, None] >> np.arange(tool.cells, dtype=U64)) & U64(1)).astype(bool)] = 0
+            cleared[((hit[:, None] >> np.arange(tool.cells, dtype=tool.kind)) & tool.one).astype(bool)] = 0
             own = pos[live]
             boards[live] = _fall_and_fill(cleared, reels, own, mode.columns, mode.rows)
             pos[live] = own
@@ -207,8 +220,8 @@ def cascade_logic(game: Game) -> Play:
         hit = scatter[boards].sum(1) >= rules.trigger
         base_win = base_win + np.where(hit, rules.scatter_pay * bet_mult, 0)
         total, rows = base_win.copy(), np.flatnonzero(hit)
-        for k in range(rules.free_rounds if len(rows) else 0):
-            total[rows] += free.play(state[rows], (k + 1) * PER_ROUND, bet_mult)[0]
+        if len(rows) and rules.free_rounds:
+            total[rows] += free.play(*_free_rounds(state[rows], rules.free_rounds), bet_mult)[0].reshape(rules.free_rounds, -1).sum(0)
         return base_win, total, hit.astype(np.int64)
 
     return play

@@ -155,8 +155,8 @@ def test_random_clusters():
     wins, hit, found = Clusters(m).score(np.array(screens))
     got = [[] for _ in screens]
     for rows, s, _, pays, bits in found:
-        for r, p, b in zip(rows.tolist(), pays.tolist(), bits.tolist(), strict=True):
-            got[r].append((p, s, [k for k in range(24) if b >> k & 1]))
+        for r, sym, p, b in zip(rows.tolist(), s.tolist(), pays.tolist(), bits.tolist(), strict=True):
+            got[r].append((p, sym, [k for k in range(24) if b >> k & 1]))
     plain = [plain_clusters(m, s) for s in screens]
     assert [sorted(g) for g in got] == [sorted(p) for p in plain]
     assert wins.tolist() == [sum(x[0] for x in p) for p in plain]
