@@ -77,7 +77,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap an item; rows with a null doc_id stay."""
-    leaks = small(contamination(docs, benchmark).select("doc_id").distinct(), 24)
+    leaks = small(cut(contamination(docs, benchmark).select("doc_id").distinct(), "leaks"), 24)
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
