@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -35,6 +38,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     return got["text"].combine_chunks(), got["y"].to_pylist()
 
 
+def learned(fit: Callable[[pa.Array, list[int]], object], docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int):
+    """``fit`` of a sample; what the driver needed for it is given back to the system."""
+    model = fit(*sample(docs, labels, label, modulus, held, rows))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, pages are kept
+        ctypes.CDLL(None).malloc_trim(0)
+    return model
+
+
 def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, held: int, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; ``score`` maps a column of texts to probabilities."""
 

@@ -147,7 +147,7 @@ def score(model: Model, column: pa.Array, pairs: list[np.ndarray] | None = None)
 
 def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int):
     """A function from a column of texts to probabilities, learned from the labels; it travels to the executors."""
-    model = fit(*labelled.sample(docs, labels, "quality", 5, 0, train_rows))
+    model = labelled.learned(fit, docs, labels, "quality", 5, 0, train_rows)
     model.place = model.place.astype(np.float32)
     kept: list[list[np.ndarray]] = []  # tables of pairs, made once in each worker
 

@@ -105,11 +105,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, thresho
     bias; repeated rows score alike and are each returned; a null doc_id is not held out; more columns are ignored; no
     rows give no rows, and without labels every score is 0.5.
     """
-    model = fit(*labelled.sample(docs, labels, "toxic", 4, 2, train_rows))
+    model = labelled.learned(fit, docs, labels, "toxic", 4, 2, train_rows)
     return labelled.scored(docs, lambda column: score(model, column), 4, 2, threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; the learned model and the defined cases are :func:`toxicity`'s."""
-    model = fit(*labelled.sample(docs, labels, "toxic", 4, 2, train_rows))
+    model = labelled.learned(fit, docs, labels, "toxic", 4, 2, train_rows)
     return labelled.kept(docs, lambda column: score(model, column), lambda s: s < threshold)
