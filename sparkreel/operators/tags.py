@@ -72,7 +72,7 @@ def collect_strata(rows: DataFrame, strata: Sequence[tuple[str, Column, int]], o
     for name, accepts, room in strata:
         own = left.where(accepts).orderBy(order).limit(room)
         mine = own.withColumn("cname", F.lit(name))
-        left = left.join(own.select(order), order, "left_anti")
+        left = left.join(F.broadcast(own.select(order)), order, "left_anti")  # `room` rows at most
         taken = mine if taken is None else taken.unionByName(mine)
     return taken
 
