@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,17 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage in the driver: Spark drops the shuffles and broadcasts of finished queries only when it does, and a chain of
+    short queries would pile them up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files under a frame made by :func:`cut`."""
     spark = df.sparkSession
