@@ -20,7 +20,8 @@ from sparkreel.plans.engine import Engine
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ("stat_summary", "win_buckets", "player_reports", "session_outcomes", "player_rtp_quantiles", "line_scores", "way_scores", "count_scores", "cluster_scores", "gravity", "fill_holes", "acts_running_totals", "stratified_collect", "weighted_sample", "weighted_moments", "simulate_line", "simulate_cascade", "player_study")
-LEDGER_ROWS, BOARDS, SPINS, CASCADES = 20_000_000, 400_000, 20_000_000, 1_000_000
+SCALE = float(os.environ.get("BENCH_SCALE", "1"))
+LEDGER_ROWS, BOARDS, SPINS, CASCADES = (int(SCALE * n) for n in (20_000_000, 400_000, 20_000_000, 1_000_000))
 
 
 def timed(run) -> float:
