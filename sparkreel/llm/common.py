@@ -59,6 +59,11 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python at most ``rows`` at a time, for the rest of the session: Spark's 10,000 texts a batch are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its counted size is under ``limit``; unmarked otherwise (Spark then shuffles)."""
     most = limit // row_bytes

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, folds
+from .common import bounded_sample, folds, short_batches
 
 #: Bytes of text that a classifier learns from, at most.
 TRAIN_BYTES = 48 << 20
@@ -55,12 +55,14 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, h
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
+    short_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(folds(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, score: Callable[[pa.Array], object], keep: Callable[[object], object]) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score ``keep`` accepts."""
+    short_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
