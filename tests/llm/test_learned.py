@@ -46,6 +46,16 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_main_text_beside_teaser_articles():
+    main = [f"Sentence {k} of the main text, which no article element marks at all." for k in range(6)]
+    cards = "".join(f'<article class="card"><h3><a href="/{k}">Teaser {k}</a></h3><p>Short lead {k}.</p></article>' for k in range(40))
+    page = f"<body><div class=content>{''.join(f'<p>{x}</p>' for x in main)}</div><hr><ul>{'<li><a href=x>y</a>' * 3}</ul>%s</body>"
+    assert main_text(page % cards[: cards.index("</article>") + 10]) == "\n\n".join(main)
+    assert all(x in main_text(page % cards) for x in main)  # many cards together have more text, none alone
+    # an article with more text than its surroundings is still all that comes out
+    assert main_text(page % f"<article><p>{'word ' * 200}</p><p>End.</p></article>") == ("word " * 200).strip() + "\n\nEnd."
+
+
 def test_surge_and_dive():
     assert htmltext.spans([0, 5, 0, 0, 0, 60, 50, 0, 40, 0, 0, 0, 3], 3, 86) == [(3, 9)]
     assert htmltext.spans([0, 5, 0, 0, 0, 9], 3, 86) == [(3, 6)]
