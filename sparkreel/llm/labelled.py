@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,27 +13,45 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, folds, short_batches
 
-#: Bytes of text that a classifier learns from, at most.
-TRAIN_BYTES = 48 << 20
+#: Bytes of text that a classifier learns from, at most; and of one text.
+TRAIN_BYTES, PIECE_BYTES = 48 << 20, 1 << 20
+
+
+def share(sizes: list[int], most: int) -> int:
+    """The greatest length to which texts of these sizes can be shortened so that together they fit in ``most``."""
+    left, n = most, len(sizes)
+    for i, size in enumerate(sorted(sizes)):
+        if size * (n - i) > left:
+            return left // (n - i)
+        left -= size
+    return max(sizes, default=0)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, most_bytes: int = TRAIN_BYTES) -> tuple[pa.Array, list[int]]:
     """(texts, labels) of labelled documents outside the held-out fold, in the order of a hash of doc_id.
 
-    At most ``rows`` of them, and at most ``most_bytes`` of text together: whole texts are taken while they fit.  Several labels of
-    one doc_id: the least counts.  Null labels and null doc_ids are no labels.
+    At most ``rows`` of them, one row a doc_id (the text of least md5), and at most ``most_bytes`` of text together.  No document
+    is left out for its size: if they don't fit, the longest texts give their first bytes only, of one length, and of one text never
+    more than PIECE_BYTES are taken.  Several labels of one doc_id: the least counts.  Null labels and null doc_ids are no labels.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(folds(modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = bounded_sample(known, "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(known), "doc_id")  # at most `rows` rows of 12 bytes
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.col("text").cast("binary")))
-    sizes = texts.select(F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "n").limit(rows).collect()
-    fits = sum(total <= most_bytes for total in accumulate(r["n"] for r in sizes))
-    if not fits:
+    digest = F.md5(F.col("text").cast("binary"))
+    least = texts.groupBy("doc_id").agg(F.min(F.struct(digest.alias("digest"), F.octet_length("text").alias("n"))).alias("least"))
+    picked = [(r["doc_id"], r["least"]["digest"], r["least"]["n"]) for r in least.collect()]
+    if not picked:
         return pa.array([], pa.string()), []
-    got = texts.where(F.xxhash64("doc_id") <= sizes[fits - 1]["h"]).where(F.octet_length("text") <= most_bytes).orderBy(*order).limit(fits).select("y", "text").toArrow()
+    most = min(PIECE_BYTES, share([n for _, _, n in picked], most_bytes))
+    if not most and any(n for _, _, n in picked):
+        raise ValueError(f"{len(picked)} labelled texts don't fit in {most_bytes} bytes, not even a byte of each")
+    one = F.broadcast(docs.sparkSession.createDataFrame([(d, m) for d, m, _ in picked], "doc_id long, digest string"))
+    short = F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, most).cast("string"))
+    texts = texts.withColumn("digest", digest).join(one, ["doc_id", "digest"])
+    texts = texts.select("doc_id", "y", F.when(F.octet_length("text") <= most, F.col("text")).otherwise(short).alias("text")).dropDuplicates(["doc_id"])
+    got = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(len(picked)).select("y", "text").toArrow()
     return got["text"].combine_chunks(), got["y"].to_pylist()
 
 

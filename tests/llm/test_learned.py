@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkreel.llm import ann, htmltext, quality, toxicity
+from sparkreel.llm import ann, htmltext, labelled, quality, toxicity
 from sparkreel.llm.htmltext import main_text
 
 SF = "/root/testdata/sf0.01"
@@ -146,6 +146,31 @@ def test_odd_rows_and_tables(spark, run):
     assert run(docs.limit(0), labels).collect() == []
 
 
+def test_sample_leaves_no_document_out(spark):
+    ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 4 != 2]
+    texts = {d: f"text {d}" for d in ids}
+    rows = [(d, t) for d, t in texts.items() if d != ids[0]]
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int")
+
+    def taken(rows, most_bytes):
+        got, y = labelled.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 4, 2, len(ids), most_bytes)
+        assert len(got) == len(y)
+        return got.to_pylist(), y
+
+    plain, _ = taken([*rows, (ids[0], texts[ids[0]])], 10_000)
+    assert sorted(plain) == sorted(texts.values())
+    for at, d in enumerate([int(t.split()[1]) for t in plain]):  # each of them too long, wherever its hash puts it
+        if at % 40 == 0:
+            got, y = taken([(k, "é" * 9000 if k == d else t) for k, t in texts.items()], 10_000)
+            assert got[:at] + got[at + 1 :] == plain[:at] + plain[at + 1 :] and set(got[at]) <= set("é\ufffd") and len(got[at]) > 3000
+            assert sum(len(t.encode()) for t in got) <= 10_000 + 3 and y == [int(t.split()[1]) % 2 for t in plain]
+    assert taken([*[(ids[3], texts[ids[3]])] * 500, (ids[3], "other"), *texts.items()], 10_000)[0].count("other") <= 1
+    assert len(taken([*[(ids[3], texts[ids[3]])] * 500, *texts.items()], 10_000)[0]) == len(ids)  # copies take no one's place
+    with pytest.raises(ValueError):
+        taken(list(texts.items()), 10)
+    assert [labelled.share(x, 10) for x in ([], [3, 4], [3, 9], [20, 20, 1], [10], [11])] == [0, 4, 7, 4, 10, 10]
+
+
 def test_whole_text_counts():
     rng = random.Random(1)
     clean = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(5, 60))) for _ in range(400)]
