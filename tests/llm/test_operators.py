@@ -124,6 +124,35 @@ def test_blocks_spread_to_aliases_and_allows_win(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.page_edges(pages.limit(0))).collect() == []
 
 
+def test_targets_resolve_against_the_page(spark):
+    at = "http://A.site/d/e/p?q=1#f"
+    cases = {
+        "/es/1": "a.site/es/1", "//H.site/x": "h.site/x", "r": "a.site/d/e/r", "../r?s=t": "a.site/d/r?s=t", "../../../..": "a.site/", "./": "a.site/d/e/", "x/../y/.": "a.site/d/e/y/",
+        "?k=2": "a.site/d/e/p?k=2", "HTTPS://h.site/a/../b": "h.site/a/../b", "/a?x=1&amp;y=2": "a.site/a?x=1&y=2", "/a?x=1&#38;y&#x3D;2": "a.site/a?x=1&y=2", "/a?x=&amp;#47": "a.site/a?x=&",
+        "&#x2F;&#233;": "a.site/é", "/a?x=1&copy=2&b": "a.site/a?x=1&copy=2&b", "/a?b&ampc=1": "a.site/a?b&ampc=1",
+        "mailto:x@y": None, "javascript:void(0)": None, "#top": None, "": None,
+    }
+    link, meta = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0;url=%s">'
+    rows = [(2 * k + j, at.replace("q=1", f"q={2 * k + j}"), form % t) for k, t in enumerate(cases) for j, form in enumerate((link, meta))]
+    edges = {r.a: r.b for r in urlfilter.page_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {(t, j): edges.get(f"a.site/d/e/p?q={2 * k + j}") for k, t in enumerate(cases) for j in (0, 1)} == {(t, j): b for t, b in cases.items() for j in (0, 1)}
+    more = [(1, "https://b.site", link % "x"), (2, "https://c.site/1", '<base href="/sub/">' + link % "x"), (3, "none", link % "/x"), (4, None, link % "/x"), (5, "http://e.site/", "<meta http-equiv=refresh content='1; URL=&quot;/y&quot;'>")]
+    edges = urlfilter.page_edges(spark.createDataFrame(more, "page_id long, url string, html string")).collect()
+    assert {(r.a, r.b) for r in edges} == {("b.site", "b.site/x"), ("c.site/1", "c.site/sub/x"), ("e.site/", "e.site/y")}
+
+
+def test_relative_redirects_spread_verdicts(spark):
+    rows = [
+        (1, "http://www.bad.org/start", '<meta http-equiv="refresh" content="0;url=/es/1">'),
+        (2, "http://b.site/y", '<link rel="canonical" href="//bad.com/en/1?a=1&amp;b=2">'),
+        (3, "http://bad.com/en/1?a=1&b=2", None),
+        (4, "http://c.site/z", '<link rel="canonical" href="y">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.alias_class) for r in urlfilter.judge(pages, urlfilter.page_edges(pages)).collect()}
+    assert got == {1: ("block", "www.bad.org/es/1"), 2: ("block", "b.site/y"), 3: ("block", "b.site/y"), 4: ("allow", "c.site/y")}
+
+
 # sharding
 
 
