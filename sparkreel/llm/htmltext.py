@@ -3,7 +3,8 @@
 Markup is stripped to one line for each block.  A line weighs as many characters as it has, but nothing if it stands in a menu,
 header, footer, sidebar, notice, advert, form or reader comment, and outside an article none for link text.  Weights are summed
 over sliding windows of WINDOW lines; text begins where the sums surge over a threshold and ends where they dive to zero, and
-the weighty lines between are kept.  Where a page marks its article, lines outside it weigh nothing and the threshold is zero,
+the lines between that are no boilerplate are kept, those of links alone too; but of such lines ahead of the first weighty one, only
+from the first heading or paragraph on, as others are a menu's end.  Where a page marks its article, lines outside it weigh nothing and the threshold is zero,
 so that nothing of the article is lost; but if the text that surges outside outweighs each marked article, the marks name
 no main text (teasers, cards), and all lines are weighed as on a page without them.
 """
@@ -80,16 +81,17 @@ def _bad(tag: str, text: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], bool]:
-    """((text, boilerplate, number of the outermost article around it or 0, characters of links) of each block in page order,
-    whether any article is marked)."""
-    out: list[tuple[str, bool, int, int]] = []
+def lines(page: str) -> tuple[list[tuple[str, bool, int, int, bool]], bool]:
+    """((text, boilerplate, number of the outermost article around it or 0, characters of links, whether a heading or paragraph) of
+    each block in page order, whether any article is marked)."""
+    out: list[tuple[str, bool, int, int, bool]] = []
     parts: list[str] = []
     linked = link = article = articles = 0
     marked = False
     bad: list[str] = []  # the tag that began the boilerplate, then nested elements of that name
     heads = 0  # open headers of an article, of which headings are kept
     in_heading = False
+    opened = ""  # the block that the last tag of one opened, if it did
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -97,7 +99,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], bool]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, bool(bad) or bool(heads) and not in_heading, articles if article else 0, linked))
+                out.append((text, bool(bad) or bool(heads) and not in_heading, articles if article else 0, linked, in_heading or opened == "p"))
             parts.clear()
         linked = 0
 
@@ -123,6 +125,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, int, int]], bool]:
         closing, rest = m[1] or m[4], m[3] if m[2] else m[6]
         if tag in BLOCK:
             flush()
+            opened = "" if closing else tag
         elif tag in SPACE:
             parts.append(" ")
         if closing:
@@ -194,11 +197,11 @@ def spans(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD)
     return over or [max(found, key=lambda x: x[0])[1:] for _ in found[:1]]
 
 
-def _outweighed(found: list[tuple[str, bool, int, int]], weights: list[int]) -> bool:
+def _outweighed(found: list[tuple[str, bool, int, int, bool]], weights: list[int]) -> bool:
     """Whether the text that surges outside of articles has more characters than any one of them."""
-    beside = [0 if inside else w for (_, _, inside, _), w in zip(found, weights, strict=True)]
-    own = [0] * (1 + max(inside for _, _, inside, _ in found))
-    for (_, _, inside, _), w in zip(found, weights, strict=True):
+    beside = [0 if inside else w for (_, _, inside, _, _), w in zip(found, weights, strict=True)]
+    own = [0] * (1 + max(inside for _, _, inside, _, _ in found))
+    for (_, _, inside, _, _), w in zip(found, weights, strict=True):
         own[inside] += w if inside else 0
     return sum(beside[k] for i, j in spans(beside) for k in range(i, j)) > max(THRESHOLD, *own)
 
@@ -206,13 +209,19 @@ def _outweighed(found: list[tuple[str, bool, int, int]], weights: list[int]) ->
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by two line feeds; empty if there is none."""
     found, marked = lines(page or "")
-    weights = [0 if bad else max(0, len(text.replace(" ", "")) - linked) for text, bad, _, linked in found]
-    if marked and any(inside and not bad for _, bad, inside, _ in found) and not _outweighed(found, weights):
-        weights = [0 if bad or not inside else len(text) for text, bad, inside, _ in found]
-        kept = spans(weights, WINDOW, 0)
-    else:
-        kept = spans(weights)
-    return "\n\n".join(found[k][0] for i, j in kept for k in range(i, j) if weights[k])
+    weights = [0 if bad else max(0, len(text.replace(" ", "")) - linked) for text, bad, _, linked, _ in found]
+    if marked and any(inside and not bad for _, bad, inside, _, _ in found) and not _outweighed(found, weights):
+        weights = [0 if bad or not inside else len(text) for text, bad, inside, _, _ in found]
+        return "\n\n".join(found[k][0] for i, j in spans(weights, WINDOW, 0) for k in range(i, j) if weights[k])
+    kept = []
+    for i, j in spans(weights):
+        begun = False
+        for k in range(i, j):
+            text, bad, _, _, prose = found[k]
+            begun = begun or weights[k] > 0 or prose and not bad
+            if begun and not bad:
+                kept.append(text)
+    return "\n\n".join(kept)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

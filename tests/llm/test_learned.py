@@ -56,6 +56,15 @@ def test_main_text_beside_teaser_articles():
     assert main_text(page % f"<article><p>{'word ' * 200}</p><p>End.</p></article>") == ("word " * 200).strip() + "\n\nEnd."
 
 
+def test_lines_of_links_inside_the_main_text():
+    text = "word " * 30
+    menu = "".join(f"<div><a href=/{k}>Menu {k}</a></div>" for k in range(9))
+    page = f"<body>{menu}<h1><a href=#t>Title</a></h1><p>{text}</p><p><a href=x>Whole paragraph</a></p><ul><li><a href=y>One item</a><li>Two</ul><div class=ad><a href=z>Buy</a></div><p>{text}</p>{menu}</body>"
+    assert main_text(page) == "\n\n".join(["Title", text.strip(), "Whole paragraph", "One item", "Two", text.strip()])
+    assert main_text(f"<body>{menu}<p>{text}</p>{menu}</body>") == text.strip()
+    assert main_text(f"<body>{menu}<p><a href=x>First</a><p>{text}</p></body>") == "First\n\n" + text.strip()
+
+
 def test_surge_and_dive():
     assert htmltext.spans([0, 5, 0, 0, 0, 60, 50, 0, 40, 0, 0, 0, 3], 3, 86) == [(3, 9)]
     assert htmltext.spans([0, 5, 0, 0, 0, 9], 3, 86) == [(3, 6)]
