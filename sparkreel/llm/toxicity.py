@@ -57,10 +57,11 @@ def rows_of(column: pa.Array, used: np.ndarray | None = None) -> Iterator[np.nda
             yield (keys[a:b] & ((1 << BINS) - 1)).astype(np.int32)
 
 
-def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.2, least_texts: int = 5) -> Model:
+def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.2) -> Model:
     """FTRL-proximal over the texts in order, ``passes`` times.  No texts: every score is 0.5.
 
-    Bins that fewer than ``least_texts`` of these texts have can't outgrow the L1 term and are left out at the start.
+    A step moves a bin's sum by less than 1 while its weight is zero, so bins that too few of these texts have for ``passes`` steps
+    each to exceed the L1 term keep a weight of exactly zero; they are left out at the start.
     """
     z, n = np.zeros((1 << BINS) + 1), np.zeros((1 << BINS) + 1)
     bias = 1 << BINS
@@ -73,7 +74,7 @@ def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0
     texts = np.zeros(bias, np.int32)
     for r in rows_of(column):
         texts[r] += 1
-    rows = [np.append(r, np.int32(bias)) for r in rows_of(column, texts >= least_texts)]
+    rows = [np.append(r, np.int32(bias)) for r in rows_of(column, texts * passes > l1)]
     for _ in range(passes):
         for at, y in zip(rows, labels, strict=True):
             w = weight(at)

@@ -195,6 +195,22 @@ def test_whole_text_counts():
     assert good > 0.5 > tail
 
 
+def test_rare_words_are_learned():
+    rng = random.Random(2)
+    clean = [" ".join(f"w{rng.randrange(50)}" for _ in range(20)) for _ in range(300)]
+    rare = {n: [f"rare{n}" for _ in range(n)] for n in (1, 2, 3, 4)}
+    texts = [t + " vile" for t in clean[:60]] + [f"{t} {w[0]}" for (w, t) in zip([w for w in rare.values() for _ in w], clean[60:70], strict=True)] + clean[70:]
+    y = [int(k < 70) for k in range(300)]
+    order = rng.sample(range(300), 300)
+    model = toxicity.fit(pa.array([texts[k] for k in order]), [y[k] for k in order])
+
+    def weight(word):
+        at = toxicity.features(*toxicity.tb.text_bytes(pa.array([word])))[0][0][0]
+        return float(model.weights[model.bins == at].sum())
+
+    assert weight("rare1") == 0 and min(weight("rare2"), weight("rare3"), weight("rare4")) > 0
+
+
 def test_stages_keep_columns_and_reject(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     kept = toxicity.without_toxic(docs, labels)
