@@ -120,6 +120,23 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(two.limit(0), two.limit(0)).collect() == []
 
 
+def test_rows_that_share_a_code_push_none_out():
+    rng = np.random.default_rng(3)
+    books = ann.train(rng.normal(size=(400, 8)).astype(np.float32), 8)
+    base = rng.normal(size=8)
+    rows = np.vstack([np.repeat(base[None], 100, 0), base + 0.2 * rng.normal(size=(100, 8))])  # 100 copies, before all others
+    cell, codes = ann.encode(books, rows.astype(np.float32))
+    at = np.flatnonzero(cell == cell[0])
+    query = base + 0.6 * (rows[at[-1]] - base)
+    table = pa.table({"vec_id": pa.array(at, pa.int64()), "vector": pa.array(rows[at].tolist()), "cell": pa.array(cell[at]), "codes": pa.array([codes[k].tobytes() for k in at], pa.binary())})
+    asked = pa.table({"query_id": pa.array([-1, int(at[-1])], pa.int64()), "query": pa.array([query.tolist(), rows[at[-1]].tolist()])})
+    kinds = len(np.unique(codes[at], axis=0))
+    out = ann._search(books, 8, 10, kinds)(table, asked).to_pylist()
+    for q_id, q in ((-1, query), (int(at[-1]), rows[at[-1]])):  # all codes are kept, so the answer is exact
+        exact = sorted((float(np.sqrt(((rows[k] - q) ** 2).sum())), int(k)) for k in at if k != q_id)[:10]
+        assert [r["vec_id"] for r in out if r["query_id"] == q_id] == [k for _, k in exact]
+
+
 # classifiers
 
 
