@@ -1,0 +1,128 @@
+"""Line-block distribution against a plain version that knows each page's lines from its making."""
+
+import random
+
+import pytest
+
+from sparkreel.llm.htmltext import ABOVE, OUTSIDE, SHARE, THRESHOLD, WINDOW, main_text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p>Read on <span class="ad">Buy now!</span> more.</p><p>Go <button>Press</button> on</p></article>', "Read on more.\n\nGo on"),
+        ("<article><p>Text with <select><option>a<option>b</select> end.</p></article>", "Text with end."),
+        ('<article><h2 id="social-effects">H</h2><section id="related-work"><p>W</p></section><p class="legal-history">L</p></article>', "H\n\nW\n\nL"),
+        ("<article><p>x</p><xmp><b>raw &amp;</b></xmp><textarea>a &lt; b</textarea><form><textarea>f</textarea></form></article>", "x\n\n<b>raw &amp;</b>\n\na < b"),
+        ('<article><p>x</p><p class="ad">1</p><p class="ad">2</p><p class="ad">3</p><p class="ad">4</p><p>y</p></article>', "x\n\ny"),
+        ("<main><article><p>a</p></article><section id=comments><p>c</p></section></main>", "a"),
+        ("<article><p>one <svg><title>t</title></svg><noscript><div>n</div></noscript>two</p></article>", "one two"),
+        ('<p class="legal-history">' + "word " * 40 + "</p>", ("word " * 40).strip()),
+        ("<article><p>" + "long " * 60 + "</p></article><p>" + "more " * 60 + "</p>", ("long " * 60).strip() + "\n\n" + ("more " * 60).strip()),
+    ],
+)
+def test_pieces_zones_and_names(page, text):
+    assert main_text(page) == text
+
+
+def test_small_cards_beside_a_marked_article_are_left_to_the_windows():
+    body = "".join(f"<p>Paragraph {k} of the article, with some more words in it.</p>" for k in range(6))
+    card = '<div>x</div><div>y</div><article><h3><a href="/">Card</a></h3><p>Short lead.</p></article>'
+    text = main_text(f"<body><article>{body}</article>{card * 3}</body>")
+    assert text == "\n\n".join(f"Paragraph {k} of the article, with some more words in it." for k in range(6))
+    # the rule of marks alone would have kept them, as it does cards as large as the article
+    assert "Short lead." in main_text(f"<body><article><p>An article of few words.</p></article>{card}</body>")
+
+
+def random_page(rng):
+    """(html, lines as (text, characters of links, zone, prose))."""
+    out, found, article = [], [], 0
+    words = lambda a, b: " ".join(rng.choice(["ab", "cde", "f&amp;g", "é", "w" * rng.randrange(1, 12)]) for _ in range(rng.randrange(a, b)))
+    shown = lambda t: t.replace("&amp;", "&")
+    solid = lambda t: len(t.replace(" ", ""))
+
+    def line(zone):
+        kind, tag = rng.randrange(8), rng.choice(["p", "div", "h2", "li", "section"])
+        text = words(1, rng.choice([3, 12, 60]))
+        prose = tag in ("p", "h2")
+        if kind == 0:
+            out.append(f"<{tag}><a href='#'>{text}</a></{tag}>")
+            found.append((shown(text), solid(shown(text)), zone, prose))
+        elif kind == 1:
+            out.append(rng.choice(["<nav>%s</nav>", "<aside>%s</aside>", "<div class='ad-box'>%s</div>", "<form>%s</form>", "<footer>%s</footer>", "<div class=comments>%s</div>"]) % text)
+            found.append(("", 0, zone, False))
+        elif kind == 2:
+            link = words(1, 4)
+            out.append(f"<{tag}>{text} <a>{link}</a> <span class=ad>{words(1, 9)}</span></{tag}>")
+            found.append((f"{shown(text)} {shown(link)}", solid(shown(link)), zone, prose))
+        elif kind == 3:
+            out.append(f"<{tag}><script>var a = '<p>{text}</p>';</script><!-- {text} --></{tag}>")
+        else:
+            out.append(f"<{tag}>{text}\n</{tag}>")
+            found.append((shown(text), 0, zone, prose))
+
+    def several(zone, n):
+        for _ in range(rng.randrange(n)):
+            line(zone)
+
+    several(0, 8)
+    for _ in range(rng.choice([0, 0, 1, 1, 3])):
+        article += 1
+        out.append("<article>")
+        several(article, rng.choice([2, 8]))
+        out.append("</article>")
+        several(0, 6)
+    if rng.randrange(4) == 0:
+        out.append("<main>")
+        several(-1, 6)
+        out.append("</main>")
+    return f"<html><body>{''.join(out)}</body></html>", found
+
+
+def plain_runs(weights):
+    """All windows one by one: places whose window has weight, joined into runs."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    runs, own = [], []
+    for i, s in enumerate([*sums, 0]):
+        if s:
+            own.append(i)
+        elif own:
+            runs.append(own)
+            own = []
+    high = [r for r in runs if any(sums[i] > THRESHOLD for i in r)]
+    most = max((sums[i] for r in runs for i in r), default=0)
+    return high or [next(r for r in runs if any(sums[i] == most for i in r))] if runs else []
+
+
+def plain_text(found):
+    own = [max(0, len(t.replace(" ", "")) - links) for t, links, _, _ in found]
+    zones = {z for t, _, z, _ in found if z and t}
+    mass = {z: sum(w for w, x in zip(own, found, strict=True) if x[2] == z) for z in zones}
+    outside = [w if not x[2] else 0 for w, x in zip(own, found, strict=True)]
+    believed = bool(zones) and sum(outside[i] for r in plain_runs(outside) for i in r) <= max([THRESHOLD, *mass.values()])
+    weights = list(own)
+    if believed:
+        for i, (text, _, z, _) in enumerate(found):
+            if not z:
+                weights[i] = max(0, own[i] - OUTSIDE)
+            elif text and mass[z] >= SHARE * max(mass.values()):
+                weights[i] = own[i] + ABOVE
+    kept = []
+    for run in plain_runs(weights):
+        first = min(i for i in run if weights[i] or (found[i][3] and found[i][0]))
+        for i in run:
+            if i >= first and found[i][0] and (weights[i] or found[i][2] or not believed):
+                kept.append(found[i][0])
+    return "\n\n".join(kept)
+
+
+def test_agrees_with_a_plain_line_block_version():
+    rng = random.Random(4)
+    differ = 0
+    for _ in range(3000):
+        page, found = random_page(rng)
+        text = main_text(page)
+        assert text == plain_text(found), page
+        marked = [t for t, _, z, _ in found if z and t]
+        differ += bool(marked) and text != "\n\n".join(marked)
+    assert differ > 300  # the windows decide, not the marks
