@@ -32,9 +32,13 @@ class Model:
 
 
 def _pad(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's bytes, filled with zero bytes to whole steps and at least one; and each text's first step."""
+    """Each text's bytes, filled with zero bytes to whole steps, WIDTH - 1 bytes at least; and each text's first step.
+
+    So every window that starts in a text ends among its own bytes.  The last WIDTH - 1 windows of its last step don't; they hold
+    none of the text and are left out (:func:`_own`).
+    """
     size = np.diff(offsets)
-    steps = np.maximum(1, -(-size // STEP))
+    steps = -(-(size + WIDTH - 1) // STEP)
     first = np.concatenate([[0], np.cumsum(steps)])
     out = np.zeros(first[-1] * STEP + WIDTH, np.uint8)
     shift = first[:-1] * STEP - offsets[:-1]
@@ -52,10 +56,21 @@ def _responses(model_pairs: list[np.ndarray], data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _step_maxima(pairs: list[np.ndarray], padded: np.ndarray, steps: int = 1024) -> np.ndarray:
+def _own(resp: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Responses (steps, STEP, FILTERS) without the windows that reach from the ``last`` step of a text into the next text."""
+    resp[last, STEP - WIDTH + 1 :] = -np.inf
+    return resp
+
+
+def _step_maxima(pairs: list[np.ndarray], padded: np.ndarray, first: np.ndarray, steps: int = 1024) -> np.ndarray:
     """Maximal responses within each step, a bounded number of steps at a time."""
-    total = (len(padded) - WIDTH) // STEP
-    return np.concatenate([_responses(pairs, padded[a * STEP : min(total, a + steps) * STEP + WIDTH]).reshape(-1, STEP, FILTERS).max(1) for a in range(0, total, steps)])
+    total, last = first[-1], first[1:] - 1
+    out = []
+    for a in range(0, total, steps):
+        b = min(total, a + steps)
+        resp = _responses(pairs, padded[a * STEP : b * STEP + WIDTH]).reshape(-1, STEP, FILTERS)
+        out.append(_own(resp, last[np.searchsorted(last, a) : np.searchsorted(last, b)] - a).max(1))
+    return np.concatenate(out)
 
 
 def _pairs(place: np.ndarray) -> list[np.ndarray]:
@@ -99,7 +114,7 @@ def fit(column: pa.Array, labels: list[int], passes: int = 14, batch: int = 64,
             own = np.concatenate([[0], np.cumsum(size)])
             text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in pick]) if own[-1] else data[:0]
             padded, first = _pad(text, own)
-            resp = _responses(_pairs(place), padded).reshape(-1, STEP, FILTERS)
+            resp = _own(_responses(_pairs(place), padded).reshape(-1, STEP, FILTERS), first[1:] - 1)
             top = resp.argmax(1)
             best = np.take_along_axis(resp, top[:, None, :], 1)[:, 0, :] + bias
             pos = top + np.arange(len(top))[:, None] * STEP
@@ -134,14 +149,17 @@ def fit(column: pa.Array, labels: list[int], passes: int = 14, batch: int = 64,
 
 
 def score(model: Model, column: pa.Array, pairs: list[np.ndarray] | None = None) -> np.ndarray:
-    """Probability of label 1 of each whole text; an empty or null text is one chunk of zero bytes."""
+    """Probability of label 1 of each whole text; an empty or null text is one chunk of zero bytes.
+
+    A score depends on nothing but the text: not on the texts around it, nor on how many there are.
+    """
     pairs = pairs or _pairs(model.place)
     out = np.zeros(len(column))
     for i, j, data, offsets in tb.blocks(column, 1 << 18):
         padded, first = _pad(data, offsets)
-        best = _step_maxima(pairs, padded) + model.bias
+        best = _step_maxima(pairs, padded, first) + model.bias
         feats = _combine(np.maximum(_chunks(best, first), 0), first)
-        out[i:j] = feats @ model.out + model.out_bias
+        out[i:j] = (feats * model.out).sum(1) + model.out_bias  # row by row: a matrix product's rounding depends on the rows' number
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 

@@ -238,3 +238,87 @@ def test_stages_keep_columns_and_reject(spark):
     scores = {r.doc_id: r.predicted for r in quality.quality(docs, labels).collect()}
     assert good.columns == docs.columns
     assert sorted(r.doc_id for r in good.select("doc_id").collect()) == sorted(d for d, p in scores.items() if p)
+
+
+# the quality network, byte by byte
+
+
+def plain_score(model, text):
+    """The network as its definition says, one window at a time."""
+    data = list(text.encode())
+    steps = -(-(len(data) + quality.WIDTH - 1) // quality.STEP)
+    data += [0] * (steps * quality.STEP - len(data))
+    top = []
+    for s in range(steps):
+        ends = [p for p in range(s * quality.STEP, (s + 1) * quality.STEP) if p + quality.WIDTH <= len(data)]
+        top.append([max(sum(float(model.place[w, data[p + w], f]) for w in range(quality.WIDTH)) for p in ends) + float(model.bias[f]) for f in range(quality.FILTERS)])
+    chunks = [[max(0.0, a, b) for a, b in zip(top[s], top[min(s + 1, steps - 1)], strict=True)] for s in range(steps)]
+    feats = [sum(c[f] for c in chunks) / steps for f in range(quality.FILTERS)] + [max(c[f] for c in chunks) for f in range(quality.FILTERS)]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(feats, model.out, strict=True)) - model.out_bias))
+
+
+@pytest.fixture(scope="module")
+def net():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc deé #%") for _ in range(rng.choice([0, 3, 200, 251, 252, 256, 257, 600, 1100]))) for _ in range(120)]
+    return quality.fit(pa.array(texts), [k % 2 for k in range(120)], passes=2), texts
+
+
+def test_network_agrees_with_the_plain_one(net):
+    model, texts = net
+    got = quality.score(model, pa.array(texts[:30]))
+    assert np.allclose(got, [plain_score(model, t) for t in texts[:30]], atol=1e-5)
+
+
+def test_scores_depend_on_the_text_alone(net, spark):
+    model, texts = net
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + texts + [None, "", "x" * 3_000_000]
+    whole = quality.score(model, pa.array(texts))
+    assert (quality.score(model, pa.array(texts[::-1]))[::-1] == whole).all()
+    for size in (1, 7, 1000):
+        assert (np.concatenate([quality.score(model, pa.array(texts[k : k + size], pa.string())) for k in range(0, len(texts), size)]) == whole).all()
+
+
+# FTRL as plain dictionaries
+
+
+def plain_words(text):
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    out, word = [], b""
+    for b in [*data, 32]:
+        if b < 128 and not chr(b).isalnum():
+            out, word = out + [word] * bool(word), b""
+        else:
+            word += bytes([b])
+    return out
+
+
+def plain_features(text):
+    w = plain_words(text)
+    return {("w", a) for a in w} | {("p", a, b) for a, b in zip(w, w[1:], strict=False)} | {("s", a, b) for a, b in zip(w, w[2:], strict=False)}
+
+
+def test_ftrl_agrees_with_the_plain_one():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Ab", "cd,", "éf", "gh", f"x{rng.randrange(30)}"]) for _ in range(rng.randrange(0, 25))) for _ in range(150)]
+    texts = [t + " Vile!" if k % 3 == 0 else t for k, t in enumerate(texts)] + [None, ""]
+    y = [int(k % 3 == 0) for k in range(150)] + [0, 0]
+    passes, alpha, beta, l1, l2 = 4, 1.0, 1.0, 1.5, 0.2
+    z, n = {}, {}
+
+    def weight(f):
+        x, limit = z.get(f, 0.0), 0.0 if f == "bias" else l1
+        return 0.0 if abs(x) <= limit else -(x - math.copysign(limit, x)) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    def chance(text):
+        return 1 / (1 + math.exp(-max(-35, min(35, sum(map(weight, [*plain_features(text), "bias"]))))))
+
+    for _ in range(passes):
+        for text, label in zip(texts, y, strict=True):
+            g, used = chance(text) - label, [*plain_features(text), "bias"]
+            for f, w in [(f, weight(f)) for f in used]:
+                have = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(have + g * g) - math.sqrt(have)) / alpha * w
+                n[f] = have + g * g
+    model = toxicity.fit(pa.array(texts), y, passes, alpha, beta, l1, l2)
+    assert np.allclose(toxicity.score(model, pa.array(texts)), [chance(t) for t in texts], atol=1e-9)
