@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -18,9 +18,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset and driver and executors are one process, a temporary folder is made; on a cluster that would be another
+    folder on each machine, so there it is an error.
+    """
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master!r} share")
         have = "file://" + tempfile.mkdtemp(prefix="sparkreel-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
@@ -34,17 +41,9 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect garbage in the driver: Spark drops the shuffles and broadcasts of finished queries only when it does, and a chain of
-    short queries would pile them up."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove(df: DataFrame) -> None:
     """Delete the files under a frame made by :func:`cut`."""
     spark = df.sparkSession
@@ -59,11 +58,6 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python at most ``rows`` at a time, for the rest of the session: Spark's 10,000 texts a batch are large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its counted size is under ``limit``; unmarked otherwise (Spark then shuffles)."""
     most = limit // row_bytes

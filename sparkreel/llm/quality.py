@@ -92,8 +92,49 @@ def _combine(chunks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([np.add.reduceat(chunks, first[:-1]) / np.diff(first)[:, None], np.maximum.reduceat(chunks, first[:-1])], 1)
 
 
+def _bounded(pick: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> list[np.ndarray]:
+    """Texts in groups of at most ``most`` bytes together, or of one."""
+    upto = np.cumsum(sizes[pick])
+    out, lo = [], 0
+    while lo < len(pick):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        out.append(pick[lo:hi])
+        lo = hi
+    return out
+
+
+def _gradients(params: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Sums over the texts of the log-loss's gradients, through the positions that gave the maxima."""
+    place, bias, out, out_bias = params
+    padded, first = _pad(data, offsets)
+    resp = _own(_responses(_pairs(place), padded).reshape(-1, STEP, FILTERS), first[1:] - 1)
+    top = resp.argmax(1)
+    best = np.take_along_axis(resp, top[:, None, :], 1)[:, 0, :] + bias
+    pos = top + np.arange(len(top))[:, None] * STEP
+    chunk = _chunks(best, first)
+    inner = np.ones(len(best), bool)
+    inner[first[1:] - 1] = False
+    follow = np.arange(len(best)) + inner
+    source = np.where(best >= best[follow], pos, pos[follow])
+    act = np.maximum(chunk, 0)
+    feats = _combine(act, first)
+    g = 1 / (1 + np.exp(-np.clip(feats @ out + out_bias, -35, 35))) - y
+    d_feat = g[:, None] * out
+    count = np.diff(first)
+    owner = np.repeat(np.arange(len(y)), count)
+    is_max = act == feats[owner, FILTERS:]
+    share_max = np.add.reduceat(is_max.astype(float), first[:-1])
+    d_chunk = d_feat[owner, :FILTERS] / count[owner][:, None] + is_max * (d_feat[:, FILTERS:] / share_max)[owner]
+    d_chunk *= chunk > 0
+    d_place = np.zeros_like(place)
+    f = np.broadcast_to(np.arange(FILTERS), source.shape)
+    for w in range(WIDTH):
+        np.add.at(d_place[w], (padded[source + w], f), d_chunk)
+    return [d_place, d_chunk.sum(0), feats.T @ g, np.array([g.sum()])]
+
+
 def fit(column: pa.Array, labels: list[int], passes: int = 14, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Model:
-    """Adam on the log-loss, gradients through the positions that gave the maxima.  No texts: every score is 0.5."""
+    """Adam on the log-loss, a bounded number of bytes at a time.  No texts: every score is 0.5."""
     rng = np.random.default_rng(seed)
     place = rng.normal(0, 0.3, (WIDTH, 256, FILTERS))
     bias, out, out_bias = np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), np.zeros(1)
@@ -109,37 +150,12 @@ def fit(column: pa.Array, labels: list[int], passes: int = 14, batch: int = 64,
     for _ in range(passes):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
-            pick = order[lo : lo + batch]
-            size = offsets[pick + 1] - offsets[pick]
-            own = np.concatenate([[0], np.cumsum(size)])
-            text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in pick]) if own[-1] else data[:0]
-            padded, first = _pad(text, own)
-            resp = _own(_responses(_pairs(place), padded).reshape(-1, STEP, FILTERS), first[1:] - 1)
-            top = resp.argmax(1)
-            best = np.take_along_axis(resp, top[:, None, :], 1)[:, 0, :] + bias
-            pos = top + np.arange(len(top))[:, None] * STEP
-            chunk = _chunks(best, first)
-            inner = np.ones(len(best), bool)
-            inner[first[1:] - 1] = False
-            follow = np.arange(len(best)) + inner
-            source = np.where(best >= best[follow], pos, pos[follow])
-            act = np.maximum(chunk, 0)
-            feats = _combine(act, first)
-            p = 1 / (1 + np.exp(-np.clip(feats @ out + out_bias, -35, 35)))
-            g = (p - y[pick]) / len(pick)
-            d_feat = g[:, None] * out
-            count = np.diff(first)
-            owner = np.repeat(np.arange(len(pick)), count)
-            d_chunk = d_feat[owner, :FILTERS] / count[owner][:, None]
-            is_max = act == feats[owner, FILTERS:]
-            share_max = np.add.reduceat(is_max.astype(float), first[:-1])
-            d_chunk = d_chunk + is_max * (d_feat[:, FILTERS:] / share_max)[owner]
-            d_chunk *= chunk > 0
-            d_place = np.zeros_like(place)
-            f = np.broadcast_to(np.arange(FILTERS), source.shape)
-            for w in range(WIDTH):
-                np.add.at(d_place[w], (padded[source + w], f), d_chunk)
-            grads = [d_place + 1e-5 * place, d_chunk.sum(0), feats.T @ g + 1e-4 * out, np.array([g.sum()])]
+            grads = [1e-5 * place, np.zeros_like(bias), 1e-4 * out, np.zeros(1)]
+            for pick in _bounded(order[lo : lo + batch], np.diff(offsets)):
+                text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in pick])
+                parts = _gradients(params, text, np.concatenate([[0], np.cumsum(np.diff(offsets)[pick])]), y[pick])
+                for whole, part in zip(grads, parts, strict=True):
+                    whole += part / min(batch, len(order) - lo)
             t += 1
             for q, grad, (m, v) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (grad - m)
@@ -163,9 +179,9 @@ def score(model: Model, column: pa.Array, pairs: list[np.ndarray] | None = None)
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int):
+def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: int):
     """A function from a column of texts to probabilities, learned from the labels; it travels to the executors."""
-    model = labelled.learned(fit, docs, labels, "quality", 5, 0, train_rows)
+    model = labelled.learned(Model, fit, docs, labels, "quality", 5, 0, train_rows, train_bytes)
     model.place = model.place.astype(np.float32)
     kept: list[list[np.ndarray]] = []  # tables of pairs, made once in each worker
 
@@ -177,16 +193,17 @@ def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3, train_bytes: int = labelled.TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted (1: good) for every row of ``docs``.
 
-    Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0.  Null and empty texts are one
+    Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0, and from at most ``train_bytes`` of their
+    text (see :func:`.labelled.sample_frame`).  Null and empty texts are one
     blank chunk; repeated rows score alike and are each returned; a null doc_id is not held out; more columns are ignored;
     no rows give no rows, and without labels every score is 0.5.
     """
-    return labelled.scored(docs, _scorer(docs, labels, train_rows), 5, 0, threshold)
+    return labelled.scored(docs, _scorer(docs, labels, train_rows, train_bytes), 5, 0, threshold)
 
 
-def of_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3) -> DataFrame:
+def of_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.3, train_bytes: int = labelled.TRAIN_BYTES) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more; the learned model and the defined cases are :func:`quality`'s."""
-    return labelled.kept(docs, _scorer(docs, labels, train_rows), lambda s: s >= threshold)
+    return labelled.kept(docs, _scorer(docs, labels, train_rows, train_bytes), lambda s: s >= threshold)

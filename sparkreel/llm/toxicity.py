@@ -99,18 +99,19 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3, train_bytes: int = labelled.TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted (1: toxic) for every row of ``docs``.
 
-    Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 4 is not 2.  Null and empty texts score the
+    Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 4 is not 2, and from at most ``train_bytes`` of their
+    text (see :func:`.labelled.sample_frame`).  Null and empty texts score the
     bias; repeated rows score alike and are each returned; a null doc_id is not held out; more columns are ignored; no
     rows give no rows, and without labels every score is 0.5.
     """
-    model = labelled.learned(fit, docs, labels, "toxic", 4, 2, train_rows)
+    model = labelled.learned(Model, fit, docs, labels, "toxic", 4, 2, train_rows, train_bytes)
     return labelled.scored(docs, lambda column: score(model, column), 4, 2, threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3, train_bytes: int = labelled.TRAIN_BYTES) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; the learned model and the defined cases are :func:`toxicity`'s."""
-    model = labelled.learned(fit, docs, labels, "toxic", 4, 2, train_rows)
+    model = labelled.learned(Model, fit, docs, labels, "toxic", 4, 2, train_rows, train_bytes)
     return labelled.kept(docs, lambda column: score(model, column), lambda s: s < threshold)
