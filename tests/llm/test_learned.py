@@ -104,12 +104,11 @@ def test_ties_bad_vectors_and_repeats(spark):
     good = [(i, [1.0, 2.0, float(i // 40)]) for i in range(1, 120)]
     bad = [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 1.0]), (203, [nan, 1.0, 1.0]), (204, [1.0, inf, 1.0]), (205, [1.0]), (206, []), (None, [1.0, 2.0, 0.0])]
     rows = spark.createDataFrame([(*r, "x") for r in good + bad + [good[0]]], "vec_id long, embedding array<double>, score string")
-    old = ann.ROWS, ann.QUERIES
-    ann.ROWS, ann.QUERIES = 16, 2
+    old, ann.BLOCK_BYTES = ann.BLOCK_BYTES, 16 * 24
     try:
         out = ann.nearest(rows, rows.where("vec_id in (1, 2, 3, 50, 200, 201, 205) or vec_id is null"), 4).collect()
     finally:
-        ann.ROWS, ann.QUERIES = old
+        ann.BLOCK_BYTES = old
     got = {q: [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in out}}
     assert got == {1: [(k, 0.0) for k in (2, 3, 4, 5)], 2: [(k, 0.0) for k in (1, 3, 4, 5)], 3: [(k, 0.0) for k in (1, 2, 4, 5)], 50: [(k, 0.0) for k in (40, 41, 42, 43)]}
 
@@ -125,16 +124,53 @@ def test_rows_that_share_a_code_push_none_out():
     books = ann.train(rng.normal(size=(400, 8)).astype(np.float32), 8)
     base = rng.normal(size=8)
     rows = np.vstack([np.repeat(base[None], 100, 0), base + 0.2 * rng.normal(size=(100, 8))])  # 100 copies, before all others
-    cell, codes = ann.encode(books, rows.astype(np.float32))
+    cell, codes = ann.encode(books, rows)
     at = np.flatnonzero(cell == cell[0])
     query = base + 0.6 * (rows[at[-1]] - base)
-    table = pa.table({"vec_id": pa.array(at, pa.int64()), "vector": pa.array(rows[at].tolist()), "cell": pa.array(cell[at]), "codes": pa.array([codes[k].tobytes() for k in at], pa.binary())})
-    asked = pa.table({"query_id": pa.array([-1, int(at[-1])], pa.int64()), "query": pa.array([query.tolist(), rows[at[-1]].tolist()])})
+    block = ann.Block(books, cell[0], at, rows[at], codes[at])
     kinds = len(np.unique(codes[at], axis=0))
-    out = ann._search(books, 8, 10, kinds)(table, asked).to_pylist()
     for q_id, q in ((-1, query), (int(at[-1]), rows[at[-1]])):  # all codes are kept, so the answer is exact
         exact = sorted((float(np.sqrt(((rows[k] - q) ** 2).sum())), int(k)) for k in at if k != q_id)[:10]
-        assert [r["vec_id"] for r in out if r["query_id"] == q_id] == [k for _, k in exact]
+        for keep in (None, kinds):
+            assert [x.tolist() for x in next(block.search(np.array([q_id]), q[None], 10, keep))[1:2]] == [[k for _, k in exact]]
+        some = next(block.search(np.array([q_id]), q[None], 200, 1))  # one code, but all its copies
+        assert len(some[1]) >= np.unique(codes[at], axis=0, return_counts=True)[1].min()
+
+
+def test_exact_search_equals_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    out = ann.nearest(table, table.where("vec_id % 50 = 0"), 10, exact=True).collect()
+    for q in (q for q in rows if q % 50 == 0):
+        exact = sorted((math.sqrt(float(((rows[v] - rows[q]) ** 2).sum())), v) for v in rows if v != q)[:10]
+        mine = sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == [v for _, v in exact]
+
+
+def test_recall_of_the_contracts_queries(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        got = table.toArrow()
+        ids, x = got["vec_id"].to_numpy(), np.array(got["embedding"].to_pylist(), float)
+        out = {(r.query_id, r.vec_id) for r in ann.nearest(table, table.where("vec_id % 100 = 0"), 10).collect()}
+        hits = []
+        for at in np.flatnonzero(ids % 100 == 0):
+            far = ((x - x[at]) ** 2).sum(1)
+            far[at] = np.inf
+            hits += [(int(ids[at]), int(ids[k])) in out for k in np.lexsort((ids, far))[:10]]
+        assert np.mean(hits) >= 0.9
+
+
+def test_finite_vectors_of_any_size_take_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 300)]
+    rows += [(1000, [1e25] * 8), (1001, [1e25] * 7 + [2e25]), (1002, [1e200] * 8), (1003, [1e-200] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(table, table.where("vec_id >= 1000"), 10).collect()
+    got = {q: {r["rank"]: (r.vec_id, r.score) for r in out if r.query_id == q} for q in (1000, 1001, 1002, 1003)}
+    assert all(len(v) == 10 for v in got.values())
+    assert got[1000][1] == (1001, 1e25) and got[1001][1] == (1000, 1e25)
+    assert got[1003][1][1] < 10
 
 
 # classifiers
