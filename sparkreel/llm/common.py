@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,25 +39,54 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkreel/{what}-{uuid.uuid4().hex}"
 
 
+_MADE: list[set[str]] = []
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    for made in _MADE:
+        made.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files under a frame made by :func:`cut`."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove(*frames: DataFrame) -> None:
+    """Delete the files under frames made by :func:`cut`, which nothing reads any more."""
+    for df in frames:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def leaving(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what :func:`cut` wrote inside it, but for the frame that was cut by the function it gives."""
+    made: set[str] = set()
+    left: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        before = set(made)
+        out = cut(df, "kept")
+        left.update(made - before)
+        return out
+
+    _MADE.append(made)
+    try:
+        yield keep
+    finally:
+        _MADE.remove(made)
+        for path in made - left:
+            _delete(spark, path)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete everything that :func:`cut` and the writers left in the shared folder; call it when no result is in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkreel")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/sparkreel")
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

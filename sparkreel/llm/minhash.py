@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import connected_components, cut, small
+from .common import connected_components, cut, remove, small
 
 CHUNKS, ROWS, ERRORS, BITS = 10, 5, 1, 16
 K = CHUNKS * ROWS
@@ -86,18 +86,19 @@ def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for n, values, starts in _sets(batch.column(1), width):
+            for n, values, starts in _sets(batch.column(2), width):
                 raw = signatures(values, starts).tobytes()
                 step = 2 * K
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(done, n),
+                        batch.column(1).slice(done, n),
                         pa.array(np.diff(starts)),
                         pa.array(_class_key(values, starts), pa.binary()),
                         pa.array([raw[step * i : step * i + step] for i in range(n)], pa.binary()),
                         pa.array([odd_sketch(values[starts[i] : starts[i + 1]]) for i in range(n)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "sig", "sketch"],
+                    names=["doc_id", "digest", "n_shingles", "cls", "sig", "sketch"],
                 )
                 done += n
 
@@ -240,7 +241,7 @@ def _full_sets(width: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets satisfy 100 * intersection >= percent * union."""
+    """The pairs (a, b) of classes whose full shingle sets satisfy 100 * intersection >= percent * union, written to the shared folder."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "cls", "min_doc"), "cid")
     wanted = cut(wanted, "wanted")
     ids = small(wanted.select(F.col("min_doc").alias("doc_id")).distinct(), 24)
@@ -250,23 +251,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     sets = cut(sets, "sets")
     one, two = sets.select(F.col("cid").alias("a"), F.col("members").alias("s")), sets.select(F.col("cid").alias("b"), F.col("members").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
+    sure = cut(pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b"), "links")
+    remove(wanted, sets)
+    return sure
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string, any more columns).
+def _components(spark: SparkSession, docs: DataFrame, width: int, percent: int, digest: Column) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id, first_digest for every row of ``docs``.
 
-    Texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles.  Null, empty
-    and blank texts have an empty set and are linked with nothing: they are their own component, and kept.  A text of fewer
-    words than ``width`` is one shingle.  Equal sets are one class, so copies cost one row each.  Repeated rows share
-    their component and are each returned.  Rows with a null doc_id get their class's component and are not kept; a class of
-    nothing but null ids is linked with no other class (component_id null, kept true).  No rows give no rows.
+    (component_id, first_digest) is the least (doc_id, digest) of the row's component, nulls last; first_digest is null for empty sets.
     """
-    schema = "doc_id long, n_shingles long, cls binary, sig binary, sketch binary"
-    described = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe(width), schema), "described")
+    schema = "doc_id long, digest binary, n_shingles long, cls binary, sig binary, sketch binary"
+    described = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(_describe(width), schema), "described")
     full = described.where("n_shingles > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = full.groupBy("cls").agg(least.alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("min_doc", F.col("least.doc_id")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("cid", "sig").mapInArrow(_keys, "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("slot", "key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("rep")).where("n > 1")
@@ -281,7 +281,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     stars = stars.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
     stars = cut(stars.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_bound_pairs(percent), "a long, b long"), "stars")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = cut(confirm(stars, docs, classes, width, percent), "links")
+    links = confirm(stars, docs, classes, width, percent)
     comps = cut(connected_components(links).withColumnRenamed("node", "cid"), "comps")
 
     # what is left: buckets whose members are in several components
@@ -293,28 +293,48 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("key", "slot", "cid", "comp", "n_shingles", "sketch", "sig", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     left = rest.groupBy("key", "lo", "hi").applyInArrow(_cross(percent), "a long, b long").distinct()
-    more = confirm(cut(left, "left"), docs, classes, width, percent)
-    comps = cut(connected_components(links.unionByName(more)).withColumnRenamed("node", "cid"), "comps")
+    left = cut(left, "left")
+    more = confirm(left, docs, classes, width, percent)
+    settled = cut(connected_components(links.unionByName(more)).withColumnRenamed("node", "cid"), "comps")
+    remove(met, stars, links, comps, left, more)
+
+    named = classes.select("cls", "cid", "least").join(settled, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    firsts = named.groupBy("component").agg(F.min("least").alias("first"))
+    named = named.join(firsts, "component").select("cls", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("first_digest"))
+    linked = full.select("doc_id", "digest", "n_shingles", "cls").join(named, "cls").drop("cls")
+    alone = described.where("n_shingles = 0").select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("first_digest"))
+    return linked.unionByName(alone)
+
 
-    named = classes.select("cls", "cid", "min_doc").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    linked = full.select("doc_id", "n_shingles", "cls").join(named, "cls").drop("cls")
-    alone = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string, any more columns).
+
+    Texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles.  Null, empty
+    and blank texts have an empty set and are linked with nothing: they are their own component, and kept.  A text of fewer
+    words than ``width`` is one shingle.  Equal sets are one class, so copies cost one row each.  Repeated rows share
+    their component and are each returned.  Rows with a null doc_id get their class's component and are not kept; a class of
+    nothing but null ids is linked with no other class (component_id null, kept true).  No rows give no rows.
+    """
+    near = _components(spark, docs, width, percent, F.lit(None).cast("binary"))
+    return near.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps: of each component the row of its least doc_id.
+    """One row of ``docs`` from each component that :func:`near_duplicates` finds: the least by doc_id (nulls last), then by md5 of the text.
 
-    Rows that repeat both doc_id and text are kept once; rows with a null doc_id can't be named and all stay.
+    A row is removed for itself and not for its doc_id, so an unrelated text under the same doc_id stays.  Rows that repeat both doc_id and
+    text are kept once.  Rows without words are no one's copies: they stay, once for each doc_id and text, and all of those with a null doc_id.
     """
-    near = cut(near_duplicates(spark, docs, width, percent), "near")
-    gone = small(near.where("doc_id is not null and not kept").select("doc_id").distinct(), 24)
-    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    again = small(near.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id")), 24)
-    apart = left.join(again, left["doc_id"] == again["again_id"], "left_anti")
-    return apart.unionByName(left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    near = cut(_components(spark, docs, width, percent, digest), "near")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("first_digest"))
+    gone = near.where((F.col("n_shingles") > 0) & ~first).select(F.col("doc_id").alias("gone_id__"), F.col("digest").alias("gone_digest__")).distinct()
+    own_id = docs["doc_id"].cast("long")
+    left = docs.join(small(gone, 48), own_id.eqNullSafe(F.col("gone_id__")) & (digest == F.col("gone_digest__")), "left_anti")
+    again = near.where("n_shingles > 0 or doc_id is not null").groupBy("doc_id", "digest").count().where("count > 1")
+    again = small(again.select(F.col("doc_id").alias("again_id__"), F.col("digest").alias("again_digest__")), 48)
+    same = own_id.eqNullSafe(F.col("again_id__")) & (digest == F.col("again_digest__"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: Every pair that shares a shingle, counted: the definition itself, for 2-word shingles at 0.8.

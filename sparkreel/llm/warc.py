@@ -108,32 +108,51 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     return cut(rows.mapInArrow(_writer(folder, dictionary), "file string, records long, bytes long"), "manifest")
 
 
+class _Reader:
+    """Bytes of a stream, up to a mark or of a given number; each is copied a fixed number of times."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.buffer, self.at = stream, b"", 0
+
+    def upto(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
+        """What comes before ``mark``, which is passed over; null at the end of the stream."""
+        have = self.buffer[self.at :]
+        while (end := have.find(mark)) < 0:
+            got = self.stream.read(1 << 16)
+            if not got:
+                if have:
+                    raise ValueError("no WARC record here")
+                return None
+            if len(have) > most:
+                raise ValueError("a record's head has no end")
+            have += got
+        self.buffer, self.at = have, end + len(mark)
+        return have[:end]
+
+    def take(self, n: int) -> bytes:
+        parts = [self.buffer[self.at : self.at + n]]
+        self.at += len(parts[0])
+        n -= len(parts[0])
+        while n:
+            got = self.stream.read(min(n, 1 << 20))
+            if not got:
+                raise ValueError("a record was cut off")
+            parts.append(got)
+            n -= len(got)
+        return b"".join(parts)
+
+
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of a WARC stream."""
-    buffer = b""
-
-    def more() -> bool:
-        nonlocal buffer
-        got = stream.read(1 << 16)
-        buffer += got
-        return bool(got)
-
-    while True:
-        while b"\r\n\r\n" not in buffer and more():
-            pass
-        if not buffer:
-            return
-        head, found, rest = buffer.partition(b"\r\n\r\n")
-        if not found or not head.startswith(b"WARC/"):
+    reader = _Reader(stream)
+    while (head := reader.upto(b"\r\n\r\n")) is not None:
+        if not head.startswith(b"WARC/"):
             raise ValueError("no WARC record here")
         fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
-        size = int(fields["content-length"])
-        buffer = rest
-        while len(buffer) < size + 4:
-            if not more():
-                raise ValueError("a record was cut off")
-        yield fields, buffer[:size]
-        buffer = buffer[size + 4 :]
+        block = reader.take(int(fields["content-length"]))
+        if reader.take(4) != b"\r\n\r\n":
+            raise ValueError("a record is longer than it says")
+        yield fields, block
 
 
 def open_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -130,3 +130,19 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_go_for_themselves_and_not_for_their_id(spark):
+    t, u = "a b c d e f g", "other words are here now and then"
+    rows = [(0, t), (1, t), (1, u), (None, u), (None, "one more text of several words"), (None, "one more text of several words"), (5, ""), (5, ""), (None, ""), (None, None)]
+    left = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(spark, frame(spark, rows)).collect()), key=str)
+    assert left == sorted([(0, t), (1, u), (None, "one more text of several words"), (5, ""), (None, ""), (None, None)], key=str)
+    near = [(7, " ".join(f"w{k}" for k in range(60))), (7, " ".join(f"w{k}" for k in range(1, 61))), (7, "nothing like it at all, that is")]
+    assert len(minhash.one_of_each(spark, frame(spark, near)).collect()) == 2
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(400_000))
+    rows = [(1, long), (2, long + " end"), (3, long.replace("w7 ", "x ")), (4, long[: len(long) // 2])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, frame(spark, rows), 2, 80).collect()}
+    assert got == {1: (399_999, 1), 2: (400_000, 1), 3: (399_999, 1), 4: (len(rows[3][1].split()) - 1, 4)}
