@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkreel.llm import decontaminate, minhash, packing, quality, toxicity
-from sparkreel.llm.common import cut, read
+from sparkreel.llm.common import leaving, read
 
 #: Learned models, MinHash and packing have no SQL.
 ORACLE_SQL = None
@@ -41,10 +41,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each but the last is written to the shared folder and read again."""
+    """The stages applied to ``documents``; each but the last is written to the shared folder and read again, and what else it wrote there
+    is deleted."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with leaving(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
