@@ -274,3 +274,75 @@ def test_warc_small_payloads_and_no_pages(spark, tmp_path):
 def test_pairs_of_masks_need_both():
     assert not any(decontaminate.covers((m,)) for m in decontaminate.MASKS)
     assert len(list(combinations(decontaminate.MASKS, 2))) == 1
+
+
+# sharding of hot keys, and writing
+
+
+def test_hot_ids_and_copies_are_spread(spark):
+    rng = random.Random(2)
+    rows = [(None, f"t{i}", "a") for i in range(400)] + [(7, "same", "b")] * 400 + [(i, "x" * rng.randrange(9), "c") for i in range(400)]
+    old, sharding.BIN_ROWS, sharding.COPIES = (sharding.BIN_ROWS, sharding.COPIES), 8, 50
+    try:
+        out = sharding.interleave(docs_frame(spark, rows), 24)
+        assert collections.Counter((r.doc_id, r.size) for r in out.collect()) == collections.Counter((d, len(t) + 8) for d, t, _ in rows)
+        assert collections.Counter(r.shard for r in out.collect()) == {k: 50 for k in range(24)}
+        source = collections.Counter((r.shard, "b") for r in out.where("doc_id = 7 and size = 12").collect())
+        assert all(16 <= n <= 18 for n in source.values()) and len(source) == 24
+    finally:
+        sharding.BIN_ROWS, sharding.COPIES = old
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i % 40 if i % 5 else None, None if i % 7 == 0 else f"t{i % 60}", "s" if i % 2 else None) for i in range(240)]
+    docs = docs_frame(spark, rows)
+    assert sharding.write_shards(docs, 6, str(tmp_path / "a")) == "shard"
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in back.collect()) == collections.Counter(rows)
+    assert collections.Counter(r.shard for r in back.collect()) == {k: 40 for k in range(6)}
+    assert sharding.write_shards(docs.withColumnRenamed("h", "shard").withColumnRenamed("rank", "row"), 6, str(tmp_path / "b")) == "shard_"
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 240
+
+
+# very long texts
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    items = [(1, " ".join(f"q{k}" for k in range(20)))]
+    long = " ".join(words[:200_000] + items[0][1].split() + words[200_000:])
+    docs = docs_frame(spark, [(1, long, "s"), (2, " ".join(words), "s"), (3, "short", "s")])
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.windows, r.doc_pos) for r in got] == [(1, 1, 8, 200_000)]
+    packed = packing.best_fit(docs).collect()
+    assert {d: sum(r.length for r in packed if r.doc_id == d) for d in (1, 2, 3)} == {1: 300_021, 2: 300_001, 3: 2}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in sharding.interleave(docs, 2).collect()}[1] == (len(long) + 8, zlib.crc32(long.encode()))
+    url = "http://a.site/" + "x" * 100_000
+    page = f"<p>{long}</p>" + '<link rel="canonical" href="http://bad.com/en/1">'
+    pages = spark.createDataFrame([(1, url, page), (2, url, None), (3, "http://b.site", "<!-- " + page + " -->"), (4, "http://c.site", f"<script>{page}</script>")], "page_id long, url string, html string")
+    verdicts = {r.page_id: (r.path, r.verdict) for r in urlfilter.judge(pages, urlfilter.page_edges(pages)).collect()}
+    assert verdicts == {1: (url[13:], "block"), 2: (url[13:], "block"), 3: ("", "allow"), 4: ("", "allow")}
+    big = "é" * 20_000_000
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "x")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}/w")).collect()}
+    assert got == {1: (40_000_000, "response"), 2: (40_000_000, "revisit"), 3: (1, "response")}
+
+
+# packing against a packer that looks at every bin
+
+
+def test_bins_agree_with_a_plain_best_fit():
+    rng = random.Random(11)
+    for _ in range(60):
+        capacity, limit = rng.choice([10, 50, 200]), rng.randrange(1, 5)
+        pieces = [(rng.randrange(1, capacity + 1), rng.randrange(4), rng.randrange(30)) for _ in range(rng.randrange(1, 200))]
+        bins, plain = packing.Bins(capacity), []
+        for length, source, cluster in pieces:
+            fits = [k for k, (room, sources, clusters) in enumerate(plain) if room >= length and sources.count(source) < limit and cluster not in clusters]
+            k = min(fits, key=lambda k: (plain[k][0], k), default=len(plain))
+            if k == len(plain):
+                plain.append((capacity, [], set()))
+            room, sources, clusters = plain[k]
+            assert bins.place(length, source, cluster, limit) == (k, capacity - room)
+            plain[k] = (room - length, [*sources, source], clusters | {cluster})
