@@ -15,9 +15,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import BROADCAST_BYTES, cut, small
 
 WINDOW, ERRORS, LEAST = 13, 2, 8
+#: Rows of 64 bits that the filter of a large benchmark has at most.
+FILTER_WORDS = 1 << 20
 #: Positions that count; every overlap of WINDOW tokens with ERRORS substitutions has one of these, somewhere, intact.
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 2, 4, 5, 6))
 
@@ -44,19 +46,38 @@ def _seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...])
     return at.select(*keys, "pos", F.explode(F.array(*hashes)).alias("h")).where("h is not null")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _matches(seeds: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """``seeds`` joined with ``wanted`` on h, without a shuffle of all seeds.
+
+    Up to ``limit`` bytes, counted, the benchmark's seeds are broadcast.  More of them become a filter of bits first, a row for each 64, which is
+    broadcast and never larger than twice ``FILTER_WORDS`` longs; only seeds whose bit is set are shuffled and joined.
+    """
+    most = limit // 40
+    if wanted.limit(most + 1).count() <= most:
+        return seeds.join(F.broadcast(wanted), "h")
+    wanted = cut(wanted, "seeds")
+    hashes = wanted.select("h").distinct()
+    words = min(FILTER_WORDS, 1 << max(4, (hashes.count() // 4).bit_length()))
+    word = F.pmod(F.shiftright("h", 6), F.lit(words)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    bits = hashes.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    likely = seeds.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    return likely.join(wanted, "h")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, windows, matched, doc_pos, item_pos of every document that overlaps an item; no others.
 
     ``windows``: aligned windows that count; ``matched``: most equal tokens in one; ``doc_pos`` and ``item_pos``: where the first
     such window starts.  Null, empty and short texts and null ids match nothing.  Rows that repeat a doc_id are one
     document, which overlaps if any of them does; the same holds for item_id.  More columns are ignored.  The benchmark's hashes
-    are broadcast if their counted size allows it and shuffled otherwise.
+    are broadcast if they are counted under ``broadcast_bytes``; beyond, a filter of them is (:func:`_matches`).
     """
     items = benchmark.where("item_id is not null").select("item_id", tokens("text").alias("tok")).where(F.size("tok") >= LEAST)
     wanted = _seeds(items, ["item_id"], MASKS).select("item_id", F.col("pos").alias("item_at"), "h").distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     seeds = _seeds(texts.select("doc_id", tokens("text").alias("tok")), ["doc_id"], MASKS)
-    hits = seeds.join(small(wanted, 40), "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_at")).alias("diagonal")).distinct()
+    hits = _matches(seeds, wanted, broadcast_bytes).select("doc_id", "item_id", (F.col("pos") - F.col("item_at")).alias("diagonal")).distinct()
     hits = cut(hits, "hits")
     hit_ids = small(hits.select("doc_id").distinct(), 24)
     again = texts.join(hit_ids, "doc_id", "left_semi").select("doc_id", tokens("text").alias("tok"))

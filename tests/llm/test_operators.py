@@ -66,6 +66,8 @@ def test_overlaps_agree_with_all_alignments(spark):
     items += [(None, "a b c d e f g h i j k l m n o"), (50, None)]
     got = decontaminate.contamination(docs_frame(spark, [(d, t, "s") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): (r.windows, r.matched) for r in got.collect() if r.doc_id != 202} == {k: v for k, v in plain_overlaps(docs, items).items() if k[0] != 202}
+    filtered = decontaminate.contamination(docs_frame(spark, [(d, t, "s") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=40)
+    assert sorted(map(tuple, filtered.collect())) == sorted(map(tuple, got.collect()))
     clean = decontaminate.decontaminated(docs_frame(spark, [(d, t, "s") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string"))
     dirty = {d for d, _ in plain_overlaps(docs, items)}
     assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter(d for d, _ in docs if d not in dirty)
