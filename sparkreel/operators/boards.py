@@ -1,15 +1,22 @@
-"""Board scoring as array expressions: lines, ways and counts.
+"""Board scoring and transforms.
 
-A board is an array of symbol indexes, row by row.  A scorer gives an array of structs (win, symbol, line, count, comb, direction,
-hits), one for each paid hit; :func:`win` adds them up.  The rules' tables are literals of the plan.
+A board is an array of symbol indexes, row by row.  Boards are scored in steps, each a projection of its own, so that every step is a short piece of
+generated code and computes once what the next one names often: first the cells, then the state of each line, or the symbols' masks of
+cells, then the wins.  The rules' tables are literals of the plan: a line is read by a small automaton, and ways and counts are bits of masks.
+Structs (win, symbol, line, count, comb, direction, hits) are built last, for paid hits alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.config import Mode
+from ..sources.config import ConfigError, Mode
+from .cluster import score_clusters
 
 DETAIL = "struct<win:long,symbol:short,line:int,count:int,comb:int,direction:short,hits:array<short>>"
 
@@ -18,219 +25,298 @@ def _array(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-class Rules:
-    """A mode's tables as columns."""
-
-    def __init__(self, mode: Mode) -> None:
-        self.mode = mode
-        self.wild, self.paid = _array(mode.wild), _array(mode.paid)
-        self.pay_table = F.array(*(_array(r) for r in mode.pay_table))
-
-    def is_wild(self, s: Column) -> Column:
-        return F.coalesce(F.get(self.wild, s.cast("int")), F.lit(False))
-
-    def is_paid(self, s: Column) -> Column:
-        return F.coalesce(F.get(self.paid, s.cast("int")), F.lit(False))
-
-    def pay(self, s: Column, n: Column) -> Column:
-        """Pay of a run of n; 0 outside the table."""
-        return F.coalesce(F.get(F.get(self.pay_table, s.cast("int")), n - 1), F.lit(0))
-
+def _table(values: Iterable[int], kind: str = "int") -> Column:
+    """A literal array, folded from text when the plan is made: a list of literals would be an expression for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-def _detail(win: Column, symbol: Column, line: Column, count: Column, comb: Column, direction: int, hits: Column) -> Column:
-    return F.struct(
-        win.cast("long").alias("win"),
-        symbol.cast("short").alias("symbol"),
-        line.cast("int").alias("line"),
-        count.cast("int").alias("count"),
-        comb.cast("int").alias("comb"),
-        F.lit(direction).cast("short").alias("direction"),
-        hits.cast("array<short>").alias("hits"),
-    )
 
+def _sum(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
 
-def _paid_only(details: Column) -> Column:
-    return F.filter(details, lambda d: d["win"] > 0)
 
+def _any(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), columns)
 
-def _line_run(rules: Rules, board: Column, cells: Column, line: Column, direction: int, bet_mult: Column) -> Column:
-    """One line: a leading run of wilds, and the run of the first other symbol with wilds; the better of the two."""
-    start = F.struct(F.lit(0).alias("w"), F.lit(-1).alias("s"), F.lit(0).alias("n"), F.lit(True).alias("on"))
 
-    def step(a: Column, at: Column) -> Column:
-        x = F.get(board, at).cast("int")
-        wild, fresh = rules.is_wild(x), a["s"] < 0
-        begins = fresh & ~wild & rules.is_paid(x)
-        goes = a["on"] & F.when(fresh, wild | begins).otherwise(wild | (x == a["s"]))
-        return F.struct(
-            F.when(goes & fresh & wild, a["w"] + 1).otherwise(a["w"]).alias("w"),
-            F.when(goes & begins, x).otherwise(a["s"]).alias("s"),
-            F.when(goes & begins, a["w"] + 1).when(goes & ~fresh, a["n"] + 1).otherwise(a["n"]).alias("n"),
-            goes.alias("on"),
-        )
-
-    def finish(a: Column) -> Column:
-        first = F.get(board, F.get(cells, 0)).cast("int")
-        wild_pay = F.when(a["w"] > 0, rules.pay(first, a["w"])).otherwise(0)
-        pay = F.when(a["s"] >= 0, rules.pay(a["s"], a["n"])).otherwise(0)
-        by_wild = wild_pay > pay
-        count = F.when(by_wild, a["w"]).otherwise(a["n"])
-        return _detail(F.greatest(wild_pay, pay) * bet_mult, F.when(by_wild, first).otherwise(a["s"]), line, count, F.lit(0), direction, F.slice(cells, 1, F.greatest(count, F.lit(0))))
-
-    return F.aggregate(cells, start, step, finish)
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def _directions(bet_type: str) -> list[int]:
     return {"ltr": [0], "rtl": [1], "both": [0, 1]}[bet_type.rpartition("_")[2]]
 
 
-def _line_scorer(rules: Rules, board: Column, direction: int, mult: Column):
-    return lambda cells, line: _line_run(rules, board, cells, line, direction, mult)
-
+def line_automaton(mode: Mode) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(next state by state and symbol, (win, symbol, count) by state) for reading the cells of a line from its start.
 
-def score_lines(mode: Mode, board: Column, bet_mult: Column | None = None) -> Column:
-    """Left to right, right to left or both; a full-width run pays once in each direction."""
-    rules, mult = Rules(mode), F.lit(1) if bet_mult is None else bet_mult
-    if not any(mode.paid):
-        return F.array().cast(f"array<{DETAIL}>")
-    cells = [[r * mode.columns + c for c, r in enumerate(line)] for line in mode.lines]
+    A state knows the leading run of wilds and its first one, the first other symbol, and how long it runs on with wilds.  The better of the
+    two runs pays.  The last symbol stands for cells of no known symbol.
+    """
+    k, wild, paid = len(mode.symbols), (*mode.wild, False), (*mode.paid, False)
+
+    def step(state: tuple, x: int) -> tuple:
+        wilds, first, symbol, run, on = state
+        if not on:
+            return state
+        if symbol < 0:
+            if wild[x]:
+                return wilds + 1, x if wilds == 0 else first, -1, 0, True
+            return (wilds, first, x, wilds + 1, True) if paid[x] else (wilds, first, -1, 0, False)
+        return (wilds, first, symbol, run + 1, True) if wild[x] or x == symbol else (wilds, first, symbol, run, False)
+
+    def pay(symbol: int, n: int) -> int:
+        return mode.pay_table[symbol][n - 1] if 0 < n <= len(mode.pay_table[symbol]) else 0
+
+    def result(state: tuple) -> tuple[int, int, int]:
+        wilds, first, symbol, run, _ = state
+        by_wild, by_run = pay(first, wilds), pay(symbol, run) if symbol >= 0 else 0
+        return (by_wild, first, wilds) if by_wild > by_run else (by_run, symbol, run)
+
+    states, goes, fresh = {(0, -1, -1, 0, True): 0}, {}, [(0, -1, -1, 0, True)]
+    for _ in range(mode.columns):
+        found = []
+        for state in fresh:
+            for x in range(k + 1):
+                after = step(state, x)
+                if after not in states:
+                    states[after] = len(states)
+                    found.append(after)
+                goes[states[state], x] = states[after]
+        fresh = found
+    return [goes.get((s, x), s) for s in range(len(states)) for x in range(k + 1)], [result(s) for s in states]
+
+
+def _pay(row: Sequence[int], n: Column, most: int) -> Column:
+    """Pay of a run of ``n``, which is ``most`` at most; a run beyond the table pays nothing."""
+    return F.get(_table([0, *list(row)[:most], *[0] * (most - len(row))], "bigint"), n)
+
+
+def _cells(boards: DataFrame, mode: Mode, board: Column) -> tuple[DataFrame, list[Column]]:
+    """The boards with a column for each cell; what is no symbol of the mode counts as one more symbol, which pays nothing."""
+    k, size = len(mode.symbols), mode.columns * mode.rows
+    if size > 63:
+        raise ConfigError("boards of at most 63 cells can be scored")
+    raw = [F.get(board, F.lit(i)).cast("int") for i in range(size)]
+    names = [f"__c{i}" for i in range(size)]
+    return boards.withColumns({n: F.coalesce(F.when(x.between(0, k - 1), x), F.lit(k)) for n, x in zip(names, raw, strict=True)}), [F.col(n) for n in names]
+
+
+def _masks(boards: DataFrame, mode: Mode, cells: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """The boards with a mask of cells for each symbol, cell 0 lowest, and a mask of all wilds behind them."""
+    k = len(mode.symbols)
+    own = {f"__m{s}": _any([F.when(c == s, _long(1 << i)).otherwise(_long(0)) for i, c in enumerate(cells)]) for s in range(k) if mode.paid[s] or mode.wild[s]}
+    out = boards.withColumns(own)
+    masks = [F.col(f"__m{s}") if f"__m{s}" in own else _long(0) for s in range(k)]
+    return out.withColumn("__wild", _any([_long(0), *(m for s, m in enumerate(masks) if mode.wild[s])])), [*masks, F.col("__wild")]
+
+
+def _places(mask: Column, size: int) -> Column:
+    """The cells of a mask, eight at a time by a table."""
     parts = []
-    for d in _directions(mode.bet_type):
-        table = F.array(*(_array(x[::-1] if d else x) for x in cells))
-        parts.append(F.transform(table, _line_scorer(rules, board, d, mult)))
-    return _paid_only(F.concat(*parts))
-
-
-def _way_scorer(rules: Rules, board: Column, columns: Column, direction: int, mult: Column, wild_leads: bool):
-    """A function from a symbol to its detail."""
-
-    def run(s: Column) -> Column:
-        leads = rules.is_wild(s) & F.lit(wild_leads)
-
-        def found(cells: Column, k: Column) -> Column:
-            def counts(i: Column) -> Column:
-                x = F.get(board, i).cast("int")
-                return F.when(leads, rules.is_wild(x)).otherwise((x == s) | ((k > 0) & rules.is_wild(x)))
+    for lo in range(0, size, 8):
+        table = F.from_json(F.lit(json.dumps([[lo + i for i in range(8) if v >> i & 1] for v in range(256)])), "array<array<smallint>>")
+        parts.append(F.get(table, F.shiftright(mask, lo).bitwiseAND(255).cast("int")))
+    return F.flatten(F.array(*parts))
+
+
+def _line_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
+    """Steps give the boards with __w0, __w1 ... (a win for each candidate), their number, and a function from its number to its detail."""
+    goes, results = line_automaton(mode)
+    table, wins, symbols, counts = _table(goes), *(_table((r[i] for r in results), "bigint" if i == 0 else "int") for i in range(3))
+    lines = [(d, number, [r * mode.columns + c for c, r in enumerate(line)][:: -1 if d else 1]) for d in _directions(mode.bet_type) for number, line in enumerate(mode.lines)]
+    k = len(mode.symbols)
+    name = lambda cells: "__s" + "_".join(map(str, cells))  # noqa: E731  lines that begin alike are read once
+    for n in range(1, mode.columns + 1):
+        states = {}
+        for _, _, at in lines:
+            before = F.col(name(at[: n - 1])) * (k + 1) if n > 1 else F.lit(0)
+            states[name(at[:n])] = F.coalesce(F.get(table, before + cells[at[n - 1]]), F.lit(0))
+        boards = boards.withColumns(states)
+    ends = [F.col(name(at)) for _, _, at in lines]
+    boards = boards.withColumns({f"__w{i}": F.coalesce(F.get(wins, e), _long(0)) * mult for i, e in enumerate(ends)} | {"__end": F.array(*ends)})
+
+    def detail(i: Column) -> Column:
+        state = F.get("__end", i)
+        own = F.from_json(F.lit(json.dumps([at for _, _, at in lines])), "array<array<smallint>>")
+        n = F.get(counts, state)
+        return _detail(i, F.get(symbols, state), F.get(_table(x for _, x, _ in lines), i), n, F.lit(0), F.get(_table(d for d, _, _ in lines), i), F.slice(F.get(own, i), F.lit(1), n))
+
+    return boards, len(lines), detail
+
+
+def _way_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
+    boards, masks = _masks(boards, mode, cells)
+    wild, size = masks[-1], mode.columns * mode.rows
+    wild_leads = any(w and p for w, p in zip(mode.wild, mode.paid, strict=True))
+    column = [sum(1 << (r * mode.columns + c) for r in range(mode.rows)) for c in range(mode.columns)]
+    found = [(d, s) for d in _directions(mode.bet_type) for s in range(len(mode.symbols)) if mode.paid[s] and (wild_leads or not mode.wild[s])]
+    held, later = {}, {}
+    for i, (d, s) in enumerate(found):
+        order = column[:: -1 if d else 1]
+        # wilds don't stand in for a symbol in the first column, and lead there alone
+        match = [(wild if mode.wild[s] else masks[s] if k == 0 else masks[s].bitwiseOR(wild)).bitwiseAND(c) for k, c in enumerate(order)]
+        held |= {f"__h{i}_{k}": F.bit_count(m) for k, m in enumerate(match)}
+        h = [F.col(f"__h{i}_{k}") for k in range(len(order))]
+        n, comb = F.lit(len(order)), h[-1]
+        for k in range(len(order) - 1, 0, -1):
+            n = F.when(h[k] == 0, F.lit(k)).otherwise(n)
+            comb = F.when(h[k] == 0, h[k - 1]).otherwise(h[k - 1] * comb)
+        upto = [0, 0] + [sum(order[1:k]) for k in range(2, len(order) + 1)]
+        later[f"__n{i}"] = n
+        later[f"__k{i}"] = comb
+        later[f"__b{i}"] = masks[s].bitwiseAND(order[0])  # its own cells in the first column; none: no hit
+        held[f"__a{i}"] = match[0]
+        later[f"__u{i}"] = _table(upto, "bigint")
+    boards = boards.withColumns(held).withColumns({k: v for k, v in later.items() if not k.startswith("__u")})
+    boards = boards.withColumns({f"__w{i}": F.when(F.col(f"__b{i}") != 0, _pay(mode.pay_table[s], F.col(f"__n{i}"), mode.columns) * mult).otherwise(_long(0)) for i, (_, s) in enumerate(found)})
+    rest = [(wild if mode.wild[s] else masks[s].bitwiseOR(wild)).bitwiseAND(F.get(later[f"__u{i}"], F.col(f"__n{i}"))).bitwiseOR(F.col(f"__a{i}")) for i, (_, s) in enumerate(found)]
+    arrays = {"__n": [F.col(f"__n{i}") for i in range(len(found))], "__k": [F.col(f"__k{i}") for i in range(len(found))], "__hit": rest}
+    # the order of hits: by direction, then by the first row that has the symbol
+    arrays["__first"] = [F.col(f"__b{i}").bitwiseAND(-F.col(f"__b{i}")) for i in range(len(found))]
+    boards = boards.withColumns({k: F.array(*v) if v else F.array() for k, v in arrays.items()})
+
+    def detail(i: Column) -> Column:
+        d = F.get(_table(d for d, _ in found), i)
+        return _detail(i, F.get(_table(s for _, s in found), i), F.lit(0), F.get("__n", i), F.get("__k", i), d, _places(F.get("__hit", i), size), F.get("__first", i))
+
+    return boards, len(found), detail
+
+
+def _count_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
+    boards, masks = _masks(boards, mode, cells)
+    wild, size = masks[-1], len(cells)
+    found = [s for s in range(len(mode.symbols)) if mode.paid[s]]
+    boards = boards.withColumns({f"__h{i}": wild if mode.wild[s] else masks[s].bitwiseOR(wild) for i, s in enumerate(found)})
+    boards = boards.withColumns({f"__w{i}": _pay(mode.pay_table[s], F.bit_count(F.col(f"__h{i}")), size) * mult for i, s in enumerate(found)})
+    boards = boards.withColumn("__hit", F.array(*(F.col(f"__h{i}") for i in range(len(found)))))
+
+    def detail(i: Column) -> Column:
+        hit = F.get("__hit", i)
+        return _detail(i, F.get(_table(found), i), F.lit(0), F.bit_count(hit), F.lit(0), F.lit(0), _places(hit, size))
+
+    return boards, len(found), detail
+
+
+def _detail(i: Column, symbol: Column, line: Column, count: Column, comb: Column, direction: Column, hits: Column, first: Column | None = None) -> Column:
+    """What one candidate gives: its place in the order, and the struct."""
+    detail = F.struct(
+        F.get("__w", i).alias("win"),
+        symbol.cast("short").alias("symbol"),
+        line.cast("int").alias("line"),
+        count.cast("int").alias("count"),
+        comb.cast("int").alias("comb"),
+        direction.cast("short").alias("direction"),
+        hits.cast("array<short>").alias("hits"),
+    )
+    return F.struct(direction.cast("int").alias("direction"), (i.cast("long") if first is None else first).alias("first"), detail.alias("detail"))
 
-            return F.filter(cells, counts)
 
-        hits = F.transform(columns, found)
-        start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("comb"), F.array().cast("array<int>").alias("at"), F.lit(True).alias("on"))
+_STEPS = {"line": _line_steps, "way": _way_steps, "count": _count_steps}
 
-        def step(a: Column, h: Column) -> Column:
-            on = a["on"] & (F.size(h) > 0)
-            return F.struct(
-                F.when(on, a["n"] + 1).otherwise(a["n"]).alias("n"),
-                F.when(on, a["comb"] * F.size(h)).otherwise(a["comb"]).alias("comb"),
-                F.when(on, F.concat(a["at"], h)).otherwise(a["at"]).alias("at"),
-                on.alias("on"),
-            )
 
-        ok = leads | rules.is_paid(s)
-        return F.aggregate(hits, start, step, lambda a: _detail(F.when(ok, rules.pay(s, a["n"])).otherwise(0) * mult, s, F.lit(0), a["n"], a["comb"], direction, a["at"]))
+def score_boards(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None) -> DataFrame:
+    """``boards`` with ``win`` and ``details`` (the paid hits of each board), by the mode's bet type: lines, ways, counts or clusters.
 
-    return run
+    Lines and ways run left to right, right to left or both; a full-width run pays once in each direction.  Of a line, the better
+    of the leading wilds' run and the first other symbol's run with wilds pays.
 
+    Ways: each distinct symbol of the first column runs over columns that hold it or a wild.  Wilds don't stand in for it in the first column.  A
+    wild leads only if some wild is paid, and then runs over wilds alone.  The win is the pay of the run's length; the number of combinations
+    is reported, not multiplied in.
 
-def score_ways(mode: Mode, board: Column, bet_mult: Column | None = None) -> Column:
-    """Each distinct symbol of the first column runs over columns that hold it or a wild.
+    Counts: each paid symbol by its number on the board plus all wilds, though it has none itself; a paid wild by the wilds alone.
 
-    Wilds don't stand in for it in the first column.  A wild leads only if some wild is paid, and then runs over wilds alone.  The win is
-    the pay of the run's length; the number of combinations is reported, not multiplied in.
+    Clusters are grown a batch of boards at a time, and come in the order of symbol, then first cell.  No column of ``boards`` may
+    be called win, details or begin with two underscores.
     """
-    rules, mult = Rules(mode), F.lit(1) if bet_mult is None else bet_mult
-    wild_leads = any(w and p for w, p in zip(mode.wild, mode.paid, strict=True))
-    parts = []
-    for d in _directions(mode.bet_type):
-        order = range(mode.columns - 1, -1, -1) if d else range(mode.columns)
-        columns = F.array(*(_array(r * mode.columns + c for r in range(mode.rows)) for c in order))
-        symbols = F.array_distinct(F.transform(F.get(columns, 0), lambda i: F.get(board, i).cast("int")))
+    kind, names = mode.bet_type.partition("_")[0], boards.columns
+    if kind == "cluster":
+        return score_clusters(boards, mode, board, bet_mult)
+    if not any(mode.paid):
+        return boards.select("*", _long(0).alias("win"), F.array().cast(f"array<{DETAIL}>").alias("details"))
+    out, cells = _cells(boards, mode, F.col(board))
+    out, n, detail = _STEPS[kind](out, mode, cells, _long(1) if bet_mult is None else bet_mult.cast("long"))
+    wins = [F.col(f"__w{i}") for i in range(n)]
+    out = out.withColumns({"win": _sum([_long(0), *wins]), "__w": F.array(*wins) if wins else F.array().cast("array<long>")})
+    paid = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("__w", i) > 0) if n else F.array().cast("array<int>")
+    details = F.when(F.col("win") > 0, F.transform(F.array_sort(F.transform(paid, detail)), lambda x: x["detail"])).otherwise(F.array().cast(f"array<{DETAIL}>"))
+    return out.select(*names, "win", details.cast(f"array<{DETAIL}>").alias("details"))
 
-        parts.append(F.transform(symbols, _way_scorer(rules, board, columns, d, mult, wild_leads)))
-    return _paid_only(F.concat(*parts))
 
+def score_wins(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None) -> DataFrame:
+    """``boards`` with ``win`` alone: the same without building details."""
+    return score_boards(boards, mode, board, bet_mult).drop("details")
 
-def score_counts(mode: Mode, board: Column, bet_mult: Column | None = None) -> Column:
-    """Each paid symbol by its number on the board plus all wilds, though it has none itself; a paid wild by the wilds alone."""
-    rules, mult = Rules(mode), F.lit(1) if bet_mult is None else bet_mult
-    paid = [i for i, p in enumerate(mode.paid) if p]
-    if not paid:
-        return F.array().cast(f"array<{DETAIL}>")
-    places = F.sequence(F.lit(0), F.lit(mode.columns * mode.rows - 1))
 
-    def hit(s: Column) -> Column:
-        own = F.filter(places, lambda i: (F.get(board, i).cast("int") == s) & ~rules.is_wild(s))
-        at = F.concat(own, F.filter(places, lambda i: rules.is_wild(F.get(board, i))))
-        n = F.size(at)
-        return _detail(F.when(n > 0, rules.pay(s, n)).otherwise(0) * mult, s, F.lit(0), n, F.lit(0), 0, at)
+def scatters(mode: Mode, board: Column) -> Column:
+    """Positions of scatter symbols."""
+    own = [i for i, x in enumerate(mode.scatter) if x]
+    return F.array_remove(F.array(*(F.when(F.get(board, F.lit(i)).isin(own), F.lit(i)).otherwise(F.lit(-1)) for i in range(mode.columns * mode.rows))), -1)
 
-    return _paid_only(F.transform(_array(paid), hit))
 
+# transforms: 0 is the empty cell
 
-def win(details: Column) -> Column:
-    return F.aggregate(details, F.lit(0).cast("long"), lambda a, d: a + d["win"])
 
+def clear(board: Column, hits: Column, size: int | None = None) -> Column:
+    """The board with hit cells emptied; places outside it are ignored.  With the board's size the plan needs no lambda."""
+    hits, none = hits.cast("array<int>"), F.lit(0).cast("short")
+    if size is None:
+        return F.transform(board, lambda x, i: F.when(F.array_contains(hits, i), none).otherwise(x.cast("short")))
+    return F.array(*(F.when(F.array_contains(hits, F.lit(i)), none).otherwise(F.get(board, F.lit(i)).cast("short")) for i in range(size)))
 
-def scatters(mode: Mode, board: Column) -> Column:
-    """Positions of scatter symbols."""
-    table = _array(mode.scatter)
-    return F.filter(F.sequence(F.lit(0), F.lit(mode.columns * mode.rows - 1)), lambda i: F.coalesce(F.get(table, F.get(board, i).cast("int")), F.lit(False)))
 
+def _column(board: Column, c: int, columns: int, rows: int) -> list[Column]:
+    return [F.get(board, F.lit(r * columns + c)).cast("short") for r in range(rows)]
 
-# transforms: 0 is the empty cell
 
+def _full(cells: Sequence[Column]) -> Column:
+    """How many cells are not empty."""
+    return _sum([F.lit(0), *(F.when(x != 0, 1).otherwise(0) for x in cells)])
 
-def clear(board: Column, hits: Column) -> Column:
-    """The board with hit cells emptied; places outside it are ignored."""
-    return F.transform(board, lambda x, i: F.when(F.array_contains(hits.cast("array<int>"), i), F.lit(0).cast("short")).otherwise(x.cast("short")))
 
+def _fallen(cells: list[Column]) -> list[Column]:
+    """A column's cells after they fell: a cell takes the lowest symbol that lies at or above it and isn't taken by a lower cell.
 
-def _column(board: Column, c: int, columns: int, rows: int) -> Column:
-    return F.transform(_array(range(c, columns * rows, columns)), lambda i: F.get(board, i).cast("short"))
+    The symbols, from the top, are pushed into longs of four 16-bit places, of which the last one pushed is the lowest.
+    """
+    rows = len(cells)
+    if rows > 4:
+        # a symbol falls as far as there are empty cells below it
+        below = [len(cells[i + 1 :]) - _full(cells[i + 1 :]) for i in range(rows)]
+        return [F.coalesce(*(F.when((cells[i] != 0) & (below[i] == r - i), cells[i]) for i in range(r + 1)), F.lit(0).cast("short")) for r in range(rows)]
+    pushed = F.lit(0).cast("long")
+    for x in cells:
+        pushed = F.when(x != 0, F.shiftleft(pushed, 16).bitwiseOR(x.cast("long").bitwiseAND(0xFFFF))).otherwise(pushed)
+    return [F.shiftright(pushed, 16 * (rows - 1 - r)).bitwiseAND(0xFFFF).cast("short") for r in range(rows)]
 
 
-def _board(parts: list[Column], columns: int, rows: int) -> Column:
-    return F.array(*(F.get(parts[c], F.lit(r)).cast("short") for r in range(rows) for c in range(columns)))
+def _board(parts: Sequence[Sequence[Column]]) -> Column:
+    return F.array(*(parts[c][r] for r in range(len(parts[0])) for c in range(len(parts))))
 
 
 def gravity(board: Column, columns: int, rows: int) -> Column:
     """Symbols of each column dropped to the bottom in their order, empty cells on top."""
-    parts = []
-    for c in range(columns):
-        full = F.filter(_column(board, c, columns, rows), lambda x: x != 0)
-        parts.append(F.concat(F.array_repeat(F.lit(0).cast("short"), rows - F.size(full)), full))
-    return _board(parts, columns, rows)
+    return _board([_fallen(_column(board, c, columns, rows)) for c in range(columns)])
 
 
 def fill_index(board: Column, columns: int, rows: int) -> Column:
     """For each column the place of its lowest empty cell above the fallen symbols; negative where it is full."""
-    return F.array(*((F.lit(rows) - F.size(F.filter(_column(board, c, columns, rows), lambda x: x != 0)) - 1) * columns + c for c in range(columns)))
-
-
-def _refill(cells: Column, strip: Column, n: int, pos: Column, rows: int):
-    """A function from (cell, place in its column) to the filled cell: the k-th hole from the bottom takes the symbol k back."""
-
-    def cell(x: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(cells, i + 1, F.lit(rows)), lambda y: y == 0))
-        return F.when(x == 0, F.get(strip, F.pmod(pos - nth, F.lit(n)).cast("int"))).otherwise(x)
-
-    return cell
+    return F.array(*((rows - _full(_column(board, c, columns, rows)) - 1) * columns + c for c in range(columns)))
 
 
 def fill(board: Column, strips: list[list[int]], positions: Column, columns: int, rows: int) -> Column:
     """struct(board, positions): empty cells filled from the bottom; a reel steps back one symbol before each, and wraps."""
     parts, left = [], []
     for c in range(columns):
-        cells, strip, n = _column(board, c, columns, rows), _array(strips[c]), len(strips[c])
-        pos = F.get(positions, F.lit(c))
-
-        parts.append(F.transform(cells, _refill(cells, strip, n, pos, rows)))
-        left.append(F.pmod(pos - F.size(F.filter(cells, lambda y: y == 0)), F.lit(n)).cast("int"))
-    return F.struct(_board(parts, columns, rows).alias("board"), F.array(*left).alias("positions"))
+        cells, strip, n = _column(board, c, columns, rows), _table(strips[c], "short"), len(strips[c])
+        pos = F.get(positions, F.lit(c)).cast("int")
+        # the k-th hole from the bottom takes the symbol k back
+        parts.append([F.when(x == 0, F.get(strip, F.pmod(pos - (rows - r - _full(cells[r:])), F.lit(n)))).otherwise(x) for r, x in enumerate(cells)])
+        left.append(F.pmod(pos - (rows - _full(cells)), F.lit(n)))
+    return F.struct(_board(parts).alias("board"), F.array(*left).alias("positions"))
 
 
 def window_of_reels(strips: list[list[int]], starts: Column, rows: int) -> Column:
     """The board that reels show from their start positions."""
-    columns = len(strips)
-    cells = [[F.get(_array(strips[c]), F.pmod(F.get(starts, F.lit(c)) + r, F.lit(len(strips[c]))).cast("int")).cast("short") for c in range(columns)] for r in range(rows)]
-    return F.array(*(x for row in cells for x in row))
+    tables = [_table(s, "short") for s in strips]
+    return F.array(*(F.get(tables[c], F.pmod(F.get(starts, F.lit(c)) + r, F.lit(len(strips[c]))).cast("int")) for r in range(rows) for c in range(len(strips))))

@@ -150,15 +150,13 @@ def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOARD_SQL = "b as (select o_orderkey id, [" + ", ".join(f"({_cell('o_orderkey', r, k)})::int" for r in range(ROWS) for k in range(COLS)) + "] board from orders)"
 
 
-def _totals(df: DataFrame, details: Column) -> DataFrame:
-    rows = df.select("id", details.alias("d"))
-    hits = F.aggregate("d", F.lit(0), lambda a, d: a + F.size(d["hits"]))
-    return rows.select("id", boards.win(F.col("d")).alias("win"), F.size("d").alias("n_details"), hits.alias("n_hits"))
+def _totals(df: DataFrame, mode: Mode) -> DataFrame:
+    return boards.score_boards(df, mode).select("id", "win", F.size("details").alias("n_details"), F.size(F.flatten("details.hits")).alias("n_hits"))
 
 
 def _line_scores(bet_type: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _totals(_boards(spark, sf_dir), boards.score_lines(dataclasses.replace(BOARD_MODE, bet_type=bet_type), F.col("board")))
+        return _totals(_boards(spark, sf_dir), dataclasses.replace(BOARD_MODE, bet_type=bet_type))
 
     return run
 
@@ -181,7 +179,7 @@ from f group by id"""
 
 def _way_scores(bet_type: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _totals(_boards(spark, sf_dir), boards.score_ways(dataclasses.replace(BOARD_MODE, bet_type=bet_type), F.col("board")))
+        return _totals(_boards(spark, sf_dir), dataclasses.replace(BOARD_MODE, bet_type=bet_type))
 
     return run
 
@@ -199,7 +197,7 @@ select b.id, coalesce(sum(win), 0)::bigint win, (count(*) filter (win > 0))::int
 
 def count_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = dataclasses.replace(BOARD_MODE, bet_type="count", pay_table=COUNT_PAYS)
-    return _totals(_boards(spark, sf_dir), boards.score_counts(mode, F.col("board")))
+    return _totals(_boards(spark, sf_dir), mode)
 
 
 COUNT_SQL = f"""with {BOARD_SQL}, s as (select id, s, len(list_filter(board, lambda v: v = 0 or v = s)) n from b, range(6) t(s)),
@@ -210,8 +208,7 @@ CLUSTER_MODE = dataclasses.replace(BOARD_MODE, bet_type="cluster", pay_table=tup
 
 
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cluster.score_clusters(_boards(spark, sf_dir), CLUSTER_MODE)
-    return scored.select("id", "win", F.size("details").alias("n_details"), F.aggregate("details", F.lit(0), lambda a, d: a + F.size(d["hits"])).alias("n_hits"))
+    return _totals(_boards(spark, sf_dir), CLUSTER_MODE)
 
 
 CLUSTER_SQL = f"""with recursive {BOARD_SQL},
@@ -235,7 +232,7 @@ STRIPS = [[3 + (i * 3 + c) % 4 for i in range(7 + c)] for c in range(COLS)]
 
 
 def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boards(spark, sf_dir).select("id", boards.clear(F.col("board"), F.expr(HITS)).alias("board"))
+    return _boards(spark, sf_dir).select("id", boards.clear(F.col("board"), F.expr(HITS), COLS * ROWS).alias("board"))
 
 
 def clear_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,10 @@ def mode(columns, rows, bet_type, symbols, pays, lines=()):
     return Mode(columns, rows, "GenReelByReelIdx", (), tuple(symbols), tuple(map(tuple, pays)), bet_type, tuple(map(tuple, lines)))
 
 
-SCORERS = {"line": boards.score_lines, "way": boards.score_ways, "count": boards.score_counts}
-
-
 def native(spark, m, screens):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(screens)], "id long, board array<short>")
-    out = df.select("id", SCORERS[m.bet_type.split("_")[0]](m, F.col("board")).alias("d")).orderBy("id").collect()
+    out = boards.score_boards(df, m).select("id", "win", F.col("details").alias("d")).orderBy("id").collect()
+    assert all(r.win == sum(d.win for d in r.d) for r in out)
     return [[(d.win, d.symbol, d["count"], d.direction, sorted(d.hits)) for d in r.d] for r in out]
 
 
