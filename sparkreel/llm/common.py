@@ -40,6 +40,8 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 _MADE: list[set[str]] = []
+#: Bytes of text that go to Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
@@ -48,7 +50,23 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     df.write.parquet(path)
     for made in _MADE:
         made.add(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def cut_in_small_batches(df: DataFrame, what: str = "cut") -> DataFrame:
+    """:func:`cut` of a frame whose rows pass through Python, at most BATCH_BYTES of them at a time; the session's own limit is set back.
+
+    Spark sends up to 10,000 rows or 64 MB at once, and both the JVM and the worker hold some copies of them.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return cut(df, what)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -65,14 +83,14 @@ def remove(*frames: DataFrame) -> None:
 
 @contextlib.contextmanager
 def leaving(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes at its end what :func:`cut` wrote inside it, but for the frame that was cut by the function it gives."""
+    """Deletes at its end what :func:`cut` wrote inside it, but for the frame that goes through the function it gives,
+    which cuts it unless it was cut already."""
     made: set[str] = set()
     left: set[str] = set()
 
     def keep(df: DataFrame) -> DataFrame:
-        before = set(made)
-        out = cut(df, "kept")
-        left.update(made - before)
+        out = df if getattr(df, "_cut_path", None) in made else cut(df, "kept")
+        left.add(out._cut_path)
         return out
 
     _MADE.append(made)

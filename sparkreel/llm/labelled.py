@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, folds
+from .common import bounded_sample, cut_in_small_batches, folds
 
 T = TypeVar("T")
 #: Bytes of text that a classifier learns from, at most, unless its caller says otherwise; and of one text.
@@ -80,15 +80,16 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, h
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = cut_in_small_batches(out, "scores")
     return out.select("doc_id", F.coalesce(folds(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, score: Callable[[pa.Array], object], keep: Callable[[object], object]) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score ``keep`` accepts."""
+    """The rows of ``docs``, with all their columns, whose score ``keep`` accepts, written to the shared folder."""
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(keep(score(batch.column(at)))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return cut_in_small_batches(docs.mapInArrow(run, docs.schema), "kept")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import connected_components, cut, remove, small
+from .common import connected_components, cut, cut_in_small_batches, remove, small
 
 CHUNKS, ROWS, ERRORS, BITS = 10, 5, 1, 16
 K = CHUNKS * ROWS
@@ -262,7 +262,7 @@ def _components(spark: SparkSession, docs: DataFrame, width: int, percent: int,
     (component_id, first_digest) is the least (doc_id, digest) of the row's component, nulls last; first_digest is null for empty sets.
     """
     schema = "doc_id long, digest binary, n_shingles long, cls binary, sig binary, sketch binary"
-    described = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(_describe(width), schema), "described")
+    described = cut_in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(_describe(width), schema), "described")
     full = described.where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     classes = full.groupBy("cls").agg(least.alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
