@@ -1,28 +1,49 @@
 """Board scoring and transforms.
 
-A board is an array of symbol indexes, row by row.  Boards are scored in steps, each a projection of its own, so that every step is a short piece of
-generated code and computes once what the next one names often: first the cells, then the state of each line, or the symbols' masks of
-cells, then the wins.  The rules' tables are literals of the plan: a line is read by a small automaton, and ways and counts are bits of masks.
-Structs (win, symbol, line, count, comb, direction, hits) are built last, for paid hits alone.
+A board is an array of symbol indexes, row by row.  Boards are scored a batch at a time in numpy inside ``mapInArrow``: a line is read by a small
+automaton, ways and counts are sums of matches by column and board, clusters grow as integers of bits (see :mod:`.cluster`).  As expressions the
+same rules are either lambdas, which are interpreted for each cell, or methods too large for the JVM to compile; both were measured
+to be ten times slower and more.  Transforms are expressions without lambdas.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple, Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.config import ConfigError, Mode
-from .cluster import score_clusters
+from .cluster import Clusters
 
-DETAIL = "struct<win:long,symbol:short,line:int,count:int,comb:int,direction:short,hits:array<short>>"
+DETAIL = "struct<win:bigint,symbol:smallint,line:int,count:int,comb:int,direction:smallint,hits:array<smallint>>"
+ARROW_DETAIL = pa.struct([("win", pa.int64()), ("symbol", pa.int16()), ("line", pa.int32()), ("count", pa.int32()), ("comb", pa.int32()), ("direction", pa.int16()), ("hits", pa.list_(pa.int16()))])
+#: Boards that are scored at once; bounds the temporary arrays.
+BATCH = 1 << 14
 
 
-def _array(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+class Found(NamedTuple):
+    """Paid hits of one candidate over a batch: rows, a key of their order within a row, what a detail holds, and (rows, cells) of hits."""
+
+    row: np.ndarray
+    order: np.ndarray
+    win: np.ndarray
+    symbol: np.ndarray
+    line: int
+    count: np.ndarray
+    comb: np.ndarray
+    direction: int
+    cells: np.ndarray
+
+
+class Scorer(Protocol):
+    """Scores boards (n, cells) whose cells of no known symbol are ``k``: their hits, one candidate after another."""
+
+    def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]: ...
 
 
 def _table(values: Iterable[int], kind: str = "int") -> Column:
@@ -34,18 +55,15 @@ def _sum(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _any(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), columns)
-
-
-def _long(x: int) -> Column:
-    return F.lit(x).cast("long")
-
-
 def _directions(bet_type: str) -> list[int]:
     return {"ltr": [0], "rtl": [1], "both": [0, 1]}[bet_type.rpartition("_")[2]]
 
 
+def _pays(mode: Mode, most: int) -> np.ndarray:
+    """Pay by symbol and length from 0 to ``most``; a run beyond the table pays nothing."""
+    return np.array([[0, *list(r)[:most], *[0] * (most - len(r))] for r in mode.pay_table], np.int64)
+
+
 def line_automaton(mode: Mode) -> tuple[list[int], list[tuple[int, int, int]]]:
     """(next state by state and symbol, (win, symbol, count) by state) for reading the cells of a line from its start.
 
@@ -86,166 +104,166 @@ def line_automaton(mode: Mode) -> tuple[list[int], list[tuple[int, int, int]]]:
     return [goes.get((s, x), s) for s in range(len(states)) for x in range(k + 1)], [result(s) for s in states]
 
 
-def _pay(row: Sequence[int], n: Column, most: int) -> Column:
-    """Pay of a run of ``n``, which is ``most`` at most; a run beyond the table pays nothing."""
-    return F.get(_table([0, *list(row)[:most], *[0] * (most - len(row))], "bigint"), n)
-
-
-def _cells(boards: DataFrame, mode: Mode, board: Column) -> tuple[DataFrame, list[Column]]:
-    """The boards with a column for each cell; what is no symbol of the mode counts as one more symbol, which pays nothing."""
-    k, size = len(mode.symbols), mode.columns * mode.rows
-    if size > 63:
-        raise ConfigError("boards of at most 63 cells can be scored")
-    raw = [F.get(board, F.lit(i)).cast("int") for i in range(size)]
-    names = [f"__c{i}" for i in range(size)]
-    return boards.withColumns({n: F.coalesce(F.when(x.between(0, k - 1), x), F.lit(k)) for n, x in zip(names, raw, strict=True)}), [F.col(n) for n in names]
-
-
-def _masks(boards: DataFrame, mode: Mode, cells: list[Column]) -> tuple[DataFrame, list[Column]]:
-    """The boards with a mask of cells for each symbol, cell 0 lowest, and a mask of all wilds behind them."""
-    k = len(mode.symbols)
-    own = {f"__m{s}": _any([F.when(c == s, _long(1 << i)).otherwise(_long(0)) for i, c in enumerate(cells)]) for s in range(k) if mode.paid[s] or mode.wild[s]}
-    out = boards.withColumns(own)
-    masks = [F.col(f"__m{s}") if f"__m{s}" in own else _long(0) for s in range(k)]
-    return out.withColumn("__wild", _any([_long(0), *(m for s, m in enumerate(masks) if mode.wild[s])])), [*masks, F.col("__wild")]
-
-
-def _places(mask: Column, size: int) -> Column:
-    """The cells of a mask, eight at a time by a table."""
-    parts = []
-    for lo in range(0, size, 8):
-        table = F.from_json(F.lit(json.dumps([[lo + i for i in range(8) if v >> i & 1] for v in range(256)])), "array<array<smallint>>")
-        parts.append(F.get(table, F.shiftright(mask, lo).bitwiseAND(255).cast("int")))
-    return F.flatten(F.array(*parts))
-
-
-def _line_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
-    """Steps give the boards with __w0, __w1 ... (a win for each candidate), their number, and a function from its number to its detail."""
-    goes, results = line_automaton(mode)
-    table, wins, symbols, counts = _table(goes), *(_table((r[i] for r in results), "bigint" if i == 0 else "int") for i in range(3))
-    lines = [(d, number, [r * mode.columns + c for c, r in enumerate(line)][:: -1 if d else 1]) for d in _directions(mode.bet_type) for number, line in enumerate(mode.lines)]
-    k = len(mode.symbols)
-    name = lambda cells: "__s" + "_".join(map(str, cells))  # noqa: E731  lines that begin alike are read once
-    for n in range(1, mode.columns + 1):
-        states = {}
-        for _, _, at in lines:
-            before = F.col(name(at[: n - 1])) * (k + 1) if n > 1 else F.lit(0)
-            states[name(at[:n])] = F.coalesce(F.get(table, before + cells[at[n - 1]]), F.lit(0))
-        boards = boards.withColumns(states)
-    ends = [F.col(name(at)) for _, _, at in lines]
-    boards = boards.withColumns({f"__w{i}": F.coalesce(F.get(wins, e), _long(0)) * mult for i, e in enumerate(ends)} | {"__end": F.array(*ends)})
-
-    def detail(i: Column) -> Column:
-        state = F.get("__end", i)
-        own = F.from_json(F.lit(json.dumps([at for _, _, at in lines])), "array<array<smallint>>")
-        n = F.get(counts, state)
-        return _detail(i, F.get(symbols, state), F.get(_table(x for _, x, _ in lines), i), n, F.lit(0), F.get(_table(d for d, _, _ in lines), i), F.slice(F.get(own, i), F.lit(1), n))
-
-    return boards, len(lines), detail
-
-
-def _way_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
-    boards, masks = _masks(boards, mode, cells)
-    wild, size = masks[-1], mode.columns * mode.rows
-    wild_leads = any(w and p for w, p in zip(mode.wild, mode.paid, strict=True))
-    column = [sum(1 << (r * mode.columns + c) for r in range(mode.rows)) for c in range(mode.columns)]
-    found = [(d, s) for d in _directions(mode.bet_type) for s in range(len(mode.symbols)) if mode.paid[s] and (wild_leads or not mode.wild[s])]
-    held, later = {}, {}
-    for i, (d, s) in enumerate(found):
-        order = column[:: -1 if d else 1]
-        # wilds don't stand in for a symbol in the first column, and lead there alone
-        match = [(wild if mode.wild[s] else masks[s] if k == 0 else masks[s].bitwiseOR(wild)).bitwiseAND(c) for k, c in enumerate(order)]
-        held |= {f"__h{i}_{k}": F.bit_count(m) for k, m in enumerate(match)}
-        h = [F.col(f"__h{i}_{k}") for k in range(len(order))]
-        n, comb = F.lit(len(order)), h[-1]
-        for k in range(len(order) - 1, 0, -1):
-            n = F.when(h[k] == 0, F.lit(k)).otherwise(n)
-            comb = F.when(h[k] == 0, h[k - 1]).otherwise(h[k - 1] * comb)
-        upto = [0, 0] + [sum(order[1:k]) for k in range(2, len(order) + 1)]
-        later[f"__n{i}"] = n
-        later[f"__k{i}"] = comb
-        later[f"__b{i}"] = masks[s].bitwiseAND(order[0])  # its own cells in the first column; none: no hit
-        held[f"__a{i}"] = match[0]
-        later[f"__u{i}"] = _table(upto, "bigint")
-    boards = boards.withColumns(held).withColumns({k: v for k, v in later.items() if not k.startswith("__u")})
-    boards = boards.withColumns({f"__w{i}": F.when(F.col(f"__b{i}") != 0, _pay(mode.pay_table[s], F.col(f"__n{i}"), mode.columns) * mult).otherwise(_long(0)) for i, (_, s) in enumerate(found)})
-    rest = [(wild if mode.wild[s] else masks[s].bitwiseOR(wild)).bitwiseAND(F.get(later[f"__u{i}"], F.col(f"__n{i}"))).bitwiseOR(F.col(f"__a{i}")) for i, (_, s) in enumerate(found)]
-    arrays = {"__n": [F.col(f"__n{i}") for i in range(len(found))], "__k": [F.col(f"__k{i}") for i in range(len(found))], "__hit": rest}
-    # the order of hits: by direction, then by the first row that has the symbol
-    arrays["__first"] = [F.col(f"__b{i}").bitwiseAND(-F.col(f"__b{i}")) for i in range(len(found))]
-    boards = boards.withColumns({k: F.array(*v) if v else F.array() for k, v in arrays.items()})
-
-    def detail(i: Column) -> Column:
-        d = F.get(_table(d for d, _ in found), i)
-        return _detail(i, F.get(_table(s for _, s in found), i), F.lit(0), F.get("__n", i), F.get("__k", i), d, _places(F.get("__hit", i), size), F.get("__first", i))
-
-    return boards, len(found), detail
-
-
-def _count_steps(boards: DataFrame, mode: Mode, cells: list[Column], mult: Column) -> tuple[DataFrame, int, Column]:
-    boards, masks = _masks(boards, mode, cells)
-    wild, size = masks[-1], len(cells)
-    found = [s for s in range(len(mode.symbols)) if mode.paid[s]]
-    boards = boards.withColumns({f"__h{i}": wild if mode.wild[s] else masks[s].bitwiseOR(wild) for i, s in enumerate(found)})
-    boards = boards.withColumns({f"__w{i}": _pay(mode.pay_table[s], F.bit_count(F.col(f"__h{i}")), size) * mult for i, s in enumerate(found)})
-    boards = boards.withColumn("__hit", F.array(*(F.col(f"__h{i}") for i in range(len(found)))))
-
-    def detail(i: Column) -> Column:
-        hit = F.get("__hit", i)
-        return _detail(i, F.get(_table(found), i), F.lit(0), F.bit_count(hit), F.lit(0), F.lit(0), _places(hit, size))
-
-    return boards, len(found), detail
-
-
-def _detail(i: Column, symbol: Column, line: Column, count: Column, comb: Column, direction: Column, hits: Column, first: Column | None = None) -> Column:
-    """What one candidate gives: its place in the order, and the struct."""
-    detail = F.struct(
-        F.get("__w", i).alias("win"),
-        symbol.cast("short").alias("symbol"),
-        line.cast("int").alias("line"),
-        count.cast("int").alias("count"),
-        comb.cast("int").alias("comb"),
-        direction.cast("short").alias("direction"),
-        hits.cast("array<short>").alias("hits"),
-    )
-    return F.struct(direction.cast("int").alias("direction"), (i.cast("long") if first is None else first).alias("first"), detail.alias("detail"))
-
-
-_STEPS = {"line": _line_steps, "way": _way_steps, "count": _count_steps}
-
-
-def score_boards(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None) -> DataFrame:
-    """``boards`` with ``win`` and ``details`` (the paid hits of each board), by the mode's bet type: lines, ways, counts or clusters.
-
-    Lines and ways run left to right, right to left or both; a full-width run pays once in each direction.  Of a line, the better
-    of the leading wilds' run and the first other symbol's run with wilds pays.
-
-    Ways: each distinct symbol of the first column runs over columns that hold it or a wild.  Wilds don't stand in for it in the first column.  A
-    wild leads only if some wild is paid, and then runs over wilds alone.  The win is the pay of the run's length; the number of combinations
-    is reported, not multiplied in.
-
-    Counts: each paid symbol by its number on the board plus all wilds, though it has none itself; a paid wild by the wilds alone.
-
-    Clusters are grown a batch of boards at a time, and come in the order of symbol, then first cell.  No column of ``boards`` may
-    be called win, details or begin with two underscores.
+class Lines:
+    """Lines left to right, right to left or both; a full-width run pays once in each direction."""
+
+    def __init__(self, mode: Mode) -> None:
+        goes, results = line_automaton(mode)
+        self.base = len(mode.symbols) + 1
+        self.goes = np.array(goes, np.int32)
+        self.wins, self.symbols, self.counts = np.array(results, np.int64).T
+        self.lines = [(d, number, [r * mode.columns + c for c, r in enumerate(line)][:: -1 if d else 1]) for d in _directions(mode.bet_type) for number, line in enumerate(mode.lines)]
+
+    def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]:
+        cells = np.ascontiguousarray(boards.T).astype(np.int32)
+        known: dict[tuple[int, ...], np.ndarray] = {(): np.zeros(len(boards), np.int32)}  # lines that begin alike are read once
+        for i, (d, number, at) in enumerate(self.lines):
+            for n in range(1, len(at) + 1):
+                if tuple(at[:n]) not in known:
+                    known[tuple(at[:n])] = self.goes.take(known[tuple(at[: n - 1])] * self.base + cells[at[n - 1]])
+            state = known[tuple(at)]
+            row = np.flatnonzero(self.wins.take(state) > 0)
+            state = state[row]
+            count = self.counts[state]
+            hit = np.zeros((len(row), boards.shape[1]), bool)
+            hit[:, at] = np.arange(len(at)) < count[:, None]
+            yield Found(row, np.full(len(row), i), self.wins[state] * mult[row], self.symbols[state], number, count, np.zeros(len(row), np.int64), d, hit)
+
+
+class Ways:
+    """Each distinct symbol of the first column runs over columns that hold it or a wild.
+
+    Wilds don't stand in for it in the first column.  A wild leads only if some wild is paid, and then runs over wilds alone.  The win is
+    the pay of the run's length; the number of combinations is reported, not multiplied in.
+    """
+
+    def __init__(self, mode: Mode) -> None:
+        self.mode, self.pays = mode, _pays(mode, mode.columns)
+        self.wild = np.array([*mode.wild, False])
+        leads = any(w and p for w, p in zip(mode.wild, mode.paid, strict=True))
+        self.starts = [s for s, p in enumerate(mode.paid) if p and (leads or not mode.wild[s])]
+
+    def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]:
+        mode, n = self.mode, len(boards)
+        grid = boards.reshape(n, mode.rows, mode.columns)
+        wild = self.wild[grid]
+        for d in _directions(mode.bet_type):
+            order = np.arange(mode.columns)[:: -1 if d else 1]
+            for s in self.starts:
+                own = grid == s
+                begins = own[:, :, order[0]]
+                at = np.flatnonzero(begins.any(1))
+                match = wild[at] if self.wild[s] else own[at] | wild[at]
+                if not self.wild[s]:
+                    match[:, :, order[0]] = begins[at]
+                held = match.sum(1)[:, order]
+                run = np.cumprod(held > 0, 1).sum(1)
+                win = self.pays[s, run] * mult[at]
+                good = win > 0
+                at, match, held, run, win = at[good], match[good], held[good], run[good], win[good]
+                inside = np.zeros((len(at), mode.columns), bool)
+                inside[:, order] = np.arange(mode.columns) < run[:, None]
+                comb = np.where(np.arange(mode.columns) < run[:, None], held, 1).prod(1)
+                yield Found(at, d * mode.rows + begins[at].argmax(1), win, np.full(len(at), s), 0, run, comb, d, (match & inside[:, None, :]).reshape(len(at), -1))
+
+
+class Counts:
+    """Each paid symbol by its number on the board plus all wilds, though it has none itself; a paid wild by the wilds alone."""
+
+    def __init__(self, mode: Mode) -> None:
+        self.pays, self.wild = _pays(mode, mode.columns * mode.rows), np.array([*mode.wild, False])
+        self.paid = [s for s, p in enumerate(mode.paid) if p]
+
+    def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]:
+        wild = self.wild[boards]
+        for s in self.paid:
+            hit = wild if self.wild[s] else (boards == s) | wild
+            count = hit.sum(1)
+            win = self.pays[s, count] * mult
+            row = np.flatnonzero(win > 0)
+            yield Found(row, np.full(len(row), s), win[row], np.full(len(row), s), 0, count[row], np.zeros(len(row), np.int64), 0, hit[row])
+
+
+class ClusterHits:
+    """Clusters in the order of symbol, then first cell."""
+
+    def __init__(self, mode: Mode) -> None:
+        self.tool = Clusters(mode)
+
+    def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]:
+        tool = self.tool
+        shift = np.arange(tool.cells, dtype=tool.kind)
+        for row, symbol, size, win, bits in tool.score(boards, mult)[2]:
+            cells = ((bits[:, None] >> shift) & tool.one).astype(bool)
+            yield Found(row, symbol * tool.cells + cells.argmax(1), win, symbol, 0, size, np.zeros(len(row), np.int64), 0, cells)
+
+
+SCORERS: dict[str, type] = {"line": Lines, "way": Ways, "count": Counts, "cluster": ClusterHits}
+
+
+def scorer(mode: Mode) -> Scorer:
+    """What scores boards of the mode's bet type."""
+    kind = mode.bet_type.partition("_")[0]
+    if kind not in SCORERS:
+        raise ConfigError(f"unknown bet type {mode.bet_type!r}")
+    return SCORERS[kind](mode)
+
+
+def cells_of(column: pa.Array, size: int, symbols: int) -> np.ndarray:
+    """int16 (boards, size) of a list column; missing cells and what is no symbol become ``symbols``."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().fill_null(symbols).to_numpy(zero_copy_only=False)
+    length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if (length == size).all():
+        out = flat.reshape(-1, size)
+    else:
+        out = np.full((len(length), size), symbols, flat.dtype)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+        row = np.repeat(np.arange(len(length)), length)
+        out[row[place < size], place[place < size]] = flat[place < size]
+    return np.where((out >= 0) & (out < symbols), out, symbols).astype(np.int16)
+
+
+def _details(found: list[Found], n: int) -> pa.Array:
+    """Lists of details for ``n`` boards."""
+    row, order, win, symbol, count, comb = (np.concatenate([getattr(f, c) for f in found]) for c in ("row", "order", "win", "symbol", "count", "comb"))
+    line, direction = (np.repeat([getattr(f, c) for f in found], [len(f.row) for f in found]) for c in ("line", "direction"))
+    by = np.lexsort((order, row))
+    cells = np.concatenate([f.cells for f in found])[by]
+    hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cells.sum(1))]).astype(np.int32)), pa.array(np.nonzero(cells)[1].astype(np.int16)))
+    columns = [win, symbol.astype(np.int16), line.astype(np.int32), count.astype(np.int32), comb.astype(np.int32), direction.astype(np.int16)]
+    flat = pa.StructArray.from_arrays([*(pa.array(c[by]) for c in columns), hits], fields=list(ARROW_DETAIL))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[by], np.arange(n + 1)).astype(np.int32)), flat)
+
+
+def score_boards(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None, details: bool = True) -> DataFrame:
+    """``boards`` with ``win`` and, if wanted, ``details``: the paid hits of each board, by the mode's bet type.
+
+    Hits of a detail are cells in rising order.  A null or short board counts its missing cells as no symbol, a long one is cut.  No column of
+    ``boards`` may be called win or details.
     """
-    kind, names = mode.bet_type.partition("_")[0], boards.columns
-    if kind == "cluster":
-        return score_clusters(boards, mode, board, bet_mult)
-    if not any(mode.paid):
-        return boards.select("*", _long(0).alias("win"), F.array().cast(f"array<{DETAIL}>").alias("details"))
-    out, cells = _cells(boards, mode, F.col(board))
-    out, n, detail = _STEPS[kind](out, mode, cells, _long(1) if bet_mult is None else bet_mult.cast("long"))
-    wins = [F.col(f"__w{i}") for i in range(n)]
-    out = out.withColumns({"win": _sum([_long(0), *wins]), "__w": F.array(*wins) if wins else F.array().cast("array<long>")})
-    paid = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("__w", i) > 0) if n else F.array().cast("array<int>")
-    details = F.when(F.col("win") > 0, F.transform(F.array_sort(F.transform(paid, detail)), lambda x: x["detail"])).otherwise(F.array().cast(f"array<{DETAIL}>"))
-    return out.select(*names, "win", details.cast(f"array<{DETAIL}>").alias("details"))
-
-
-def score_wins(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None) -> DataFrame:
-    """``boards`` with ``win`` alone: the same without building details."""
-    return score_boards(boards, mode, board, bet_mult).drop("details")
+    scorer(mode)  # an unknown bet type fails here and not in a task
+    size, k, width = mode.columns * mode.rows, len(mode.symbols), len(boards.columns)
+    names = [*boards.columns, "win", *(["details"] if details else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = scorer(mode)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(lo, BATCH)
+                n, mult = batch.num_rows, batch.column(width + 1).fill_null(1).to_numpy()
+                found = list(tool.found(cells_of(batch.column(width), size, k), mult)) if any(mode.paid) else []
+                win = np.zeros(n, np.int64)
+                for f in found:
+                    np.add.at(win, f.row, f.win)
+                out = [*batch.columns[:width], pa.array(win)]
+                if details:
+                    out.append(_details(found, n) if found else pa.array([[]] * n, pa.list_(ARROW_DETAIL)))
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    rows = boards.select("*", F.col(board).cast("array<smallint>").alias("__cells"), (F.lit(1) if bet_mult is None else bet_mult).cast("long").alias("__mult"))
+    kinds = {"win": F.lit(0).cast("long")} | ({"details": F.lit(None).cast(f"array<{DETAIL}>")} if details else {})
+    return rows.mapInArrow(run, boards.withColumns(kinds).schema)
 
 
 def scatters(mode: Mode, board: Column) -> Column:

@@ -6,12 +6,7 @@ together.  Wilds join any cluster, once in each; other cells belong to one clust
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..sources.config import Mode
 
@@ -74,33 +69,3 @@ class Clusters:
             more = left > 0
             row, symbol, left, mask = row[more], symbol[more], left[more], mask[more]
         return wins, hit, found
-
-
-def score_clusters(boards: DataFrame, mode: Mode, board: str = "board", bet_mult: Column | None = None) -> DataFrame:
-    """``boards`` with win and details; details are structs (win, symbol, line, count, comb, direction, hits), in the order of symbol, then
-    first cell, of which line, comb and direction are 0."""
-    detail = pa.struct([("win", pa.int64()), ("symbol", pa.int16()), ("line", pa.int32()), ("count", pa.int32()), ("comb", pa.int32()), ("direction", pa.int16()), ("hits", pa.list_(pa.int16()))])
-    at = len(boards.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Clusters(mode)
-        shift = np.arange(tool.cells, dtype=tool.kind)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, tool.cells)
-            wins, _, found = tool.score(np.ascontiguousarray(cells), batch.column(at + 1).to_numpy())
-            rows, symbol, size, pay, bits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, tool.kind),)
-            order = np.lexsort((bits & (~bits + tool.one), symbol, rows))
-            rows, symbol, size, pay, bits = (x[order] for x in (rows, symbol, size, pay, bits))
-            inside = ((bits[:, None] >> shift) & tool.one).astype(bool)
-            hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)), pa.array(np.nonzero(inside)[1].astype(np.int16)))
-            none = np.zeros(len(rows), np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(pay), pa.array(symbol.astype(np.int16)), pa.array(none), pa.array(size.astype(np.int32)), pa.array(none), pa.array(none.astype(np.int16)), hits], fields=list(detail))
-            first = np.searchsorted(rows, np.arange(len(wins) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(wins), pa.ListArray.from_arrays(pa.array(first), flat)], names=[*names, "win", "details"])
-
-    names = boards.columns
-    rows = boards.select("*", F.col(board).cast("array<smallint>").alias("__cells"), (F.lit(1) if bet_mult is None else bet_mult).cast("long").alias("__mult"))
-    kind = "array<struct<win:bigint,symbol:smallint,line:int,count:int,comb:int,direction:smallint,hits:array<smallint>>>"
-    return rows.mapInArrow(run, boards.withColumns({"win": F.lit(0).cast("long"), "details": F.lit(None).cast(kind)}).schema)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkreel.operators import boards
-from sparkreel.operators.cluster import Clusters, score_clusters
+from sparkreel.operators.cluster import Clusters
 from sparkreel.sources import simulate as sims
 from sparkreel.sources.config import Mode
 
@@ -40,7 +40,7 @@ def test_literal_boards(spark, m, screen, win, hits):
 def test_literal_cluster(spark):
     m = mode(2, 2, "cluster", ["H1"], [[0, 0, 5, 10]])
     df = spark.createDataFrame([(1, [0, 0, 0, 0])], "id long, board array<short>")
-    (row,) = score_clusters(df, m).collect()
+    (row,) = boards.score_boards(df, m).collect()
     assert row.win == 10 and [(d["count"], list(d.hits)) for d in row.details] == [(4, [0, 1, 2, 3])]
 
 
@@ -161,6 +161,16 @@ def test_random_clusters():
     assert [{k for k in range(24) if b >> k & 1} for b in hit.tolist()] == [set().union(*(x[2] for x in p)) for p in plain]
 
 
+def test_odd_boards_and_multipliers(spark):
+    m = mode(3, 1, "line_ltr", ["H1", "W1"], [[0, 2, 9], [0, 0, 0]], [[0, 0, 0]])
+    df = spark.createDataFrame([(0, [0, 1, 0], 3), (1, None, 2), (2, [0, 0], 2), (3, [0, None, 0], 2), (4, [0, 0, 7], None), (5, [0, 0, -1], 1), (6, [0, 0, 0, 0], 1)], "id long, board array<int>, m int")
+    out = boards.score_boards(df, m, bet_mult=F.col("m")).orderBy("id").collect()
+    assert [r.win for r in out] == [27, 0, 4, 0, 2, 2, 9] and out[0].details[0].hits == [0, 1, 2]
+    assert boards.score_boards(df, m, details=False).columns == ["id", "board", "m", "win"]
+    with pytest.raises(ValueError):
+        boards.score_boards(df, dataclasses.replace(m, bet_type="none"))
+
+
 def test_nothing_paid(spark):
     m = mode(3, 1, "line_ltr", ["H1"], [[0, 0, 0]], [[0, 0, 0]])
     assert native(spark, m, [[0, 0, 0]]) == [[]]
