@@ -18,9 +18,9 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def streams(seed: int, spin_ids: np.ndarray) -> np.ndarray:
-    """A state for each spin."""
-    key = splitmix(np.array([seed & (2**64 - 1)], U64))
+def streams(seed: int | np.ndarray, spin_ids: np.ndarray) -> np.ndarray:
+    """A state for each spin, of one seed or of a seed for each."""
+    key = splitmix(seed.astype(np.int64).view(U64) if isinstance(seed, np.ndarray) else np.array([seed & (2**64 - 1)], U64))
     return splitmix(spin_ids.astype(np.int64).view(U64) ^ key)
 
 

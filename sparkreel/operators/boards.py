@@ -224,8 +224,8 @@ def cells_of(column: pa.Array, size: int, symbols: int) -> np.ndarray:
     return np.where((out >= 0) & (out < symbols), out, symbols).astype(np.int16)
 
 
-def _details(found: list[Found], n: int) -> pa.Array:
-    """Lists of details for ``n`` boards."""
+def found_details(found: list[Found], n: int) -> pa.Array:
+    """Lists of details for ``n`` boards, whose numbers are the rows of ``found``."""
     row, order, win, symbol, count, comb = (np.concatenate([getattr(f, c) for f in found]) for c in ("row", "order", "win", "symbol", "count", "comb"))
     line, direction = (np.repeat([getattr(f, c) for f in found], [len(f.row) for f in found]) for c in ("line", "direction"))
     by = np.lexsort((order, row))
@@ -258,7 +258,7 @@ def score_boards(boards: DataFrame, mode: Mode, board: str = "board", bet_mult:
                     np.add.at(win, f.row, f.win)
                 out = [*batch.columns[:width], pa.array(win)]
                 if details:
-                    out.append(_details(found, n) if found else pa.array([[]] * n, pa.list_(ARROW_DETAIL)))
+                    out.append(found_details(found, n) if found else pa.array([[]] * n, pa.list_(ARROW_DETAIL)))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = boards.select("*", F.col(board).cast("array<smallint>").alias("__cells"), (F.lit(1) if bet_mult is None else bet_mult).cast("long").alias("__mult"))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rng
 from ..operators import estimator, report, sessions, tags, tuner
 from ..sources import ledger as ledgers
 from ..sources import simulate as sims
@@ -67,21 +66,41 @@ class Engine:
                 raise ConfigError("the configuration contradicts the catalogue")
         return self.simulate(game, rounds, seed)
 
-    def spin(self, requests: DataFrame, seed: int = 1) -> DataFrame:
-        """Requests (request_id, gid, game, bet, bet_mode, bet_mult) answered with error or win: the request id is the spin id."""
+    def results(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mult: int = 1, first_spin: int = 0, partitions: int | None = None) -> DataFrame:
+        """(spin_id, gamemodes): the whole results of simulated rounds, or of a range of them played again; see ``wire.flatten_acts``."""
+        game = self.game(key)
+        if rounds < 0 or bet_mult < 1:
+            raise ConfigError("rounds from 0 and a multiplier from 1 are needed")
+        return sims.results(self.spark, game, rounds, seed, bet_mult, partitions, self.logics[game.logic_key], first_spin)
+
+    def spin(self, requests: DataFrame, seed: int = 1, full: bool = False, banks: Mapping[int, tuner.SeedBank] | None = None) -> DataFrame:
+        """Requests (request_id, gid, game, bet, bet_mode, bet_mult) answered with error or win: the request id is the spin id.
+
+        Requests may have a ``start_state`` (start_b64u, cp), whose snapshot is played again, and choice with has_choice.  Spins of games in
+        ``banks`` that begin anew are picked by the bank's weights.  With ``full`` a ``result`` holds what the wire sends: game, bet, the
+        snapshots before and after, and all modes with their acts, screens and details; it is null where there is an error.
+        """
         parts = []
+        have = set(requests.columns)
+        start = F.when(F.length("start_state.start_b64u") > 0, F.col("start_state.start_b64u")) if "start_state" in have else F.lit(None).cast("string")
+        chosen = (F.coalesce("choice", F.lit(0)) != 0) & ~F.coalesce("has_choice", F.lit(False)) if {"choice", "has_choice"} <= have else F.lit(False)
         for game in self.catalog.all():
             own = requests.where(F.col("gid") == game.game_id)
             bad = wire.spin_errors(F.col("gid"), F.col("game"), F.col("bet"), F.col("bet_mode"), F.col("bet_mult"), game.game_id, game.name, game.bet_units)
-            own = own.withColumn("error", bad)
-            logic = self.logics[game.logic_key]
-            parts.append(_answer(own, game, logic, seed))
-        known = requests.where(~F.col("gid").isin(self.catalog.ids()))
-        parts.append(known.select("request_id", "gid", F.lit(None).cast("long").alias("win"), F.lit(None).cast("long").alias("base_win"), F.lit(None).cast("int").alias("trigger"), F.lit("no such game").alias("error")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            error = F.coalesce(bad, F.when(chosen, F.lit("a choice without has_choice")))
+            slim = own.select(F.col("request_id").cast("long").alias("request_id"), F.col("gid").cast("long").alias("gid"), F.coalesce("bet_mult", F.lit(1)).cast("long").alias("bet_mult"), error.alias("error"), start.alias("start"))
+            if full:
+                found = sims.answers(slim, game, self.logics[game.logic_key], seed, (banks or {}).get(game.game_id))
+                asked = own.select(F.col("request_id").cast("long").alias("request_id"), F.col("bet").cast("long").alias("bet"), F.col("bet_mode").cast("int").alias("betmode"), F.coalesce("bet_mult", F.lit(1)).cast("int").alias("betmult"))
+                found = found.join(asked, "request_id")
+                result = F.struct(F.lit(game.name).alias("game"), F.col("gid").alias("gameid"), "win", "bet", "betmode", "betmult", F.lit(True).alias("isend"), "spin_state", "gamemodes")
+                parts.append(found.select("request_id", "gid", "win", "base_win", "trigger", "error", F.when(F.col("error").isNull(), result).alias("result")))
+            else:
+                parts.append(sims.wins(slim, game, self.logics[game.logic_key], seed, (banks or {}).get(game.game_id)))
+        known = requests.where(~F.coalesce(F.col("gid").isin(self.catalog.ids()), F.lit(False)))
+        lost = known.select("request_id", "gid", F.lit(None).cast("long").alias("win"), F.lit(None).cast("long").alias("base_win"), F.lit(None).cast("int").alias("trigger"), F.lit("no such game").alias("error"))
+        parts.append(lost.withColumn("result", F.lit(None).cast(f"struct<{wire.RESULT_FIELDS}>")) if full else lost)
+        return reduce(DataFrame.unionByName, parts)
 
     def stat(self, rows: DataFrame) -> DataFrame:
         return report.summary(rows)
@@ -135,22 +154,3 @@ class Engine:
             return [r.asDict() for r in self.stat(rows).collect()]
         raise ConfigError(f"no service {name!r}")
 
-
-def _answer(requests: DataFrame, game: Game, logic: sims.Logic, seed: int) -> DataFrame:
-    def run(batches):
-        play = logic(game)
-        for batch in batches:
-            ids, mult = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            ok = ~np.array([e is not None for e in batch.column(3).to_pylist()], bool)
-            win, base, trigger = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
-            for m in np.unique(mult[ok]):
-                at = np.flatnonzero(ok & (mult == m))
-                base[at], win[at], trigger[at] = play(rng.streams(seed, ids[at]), int(m))
-            bad = ~ok
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(win, mask=bad), pa.array(base, mask=bad), pa.array(trigger, mask=bad), batch.column(3)],
-                names=["request_id", "gid", "win", "base_win", "trigger", "error"],
-            )
-
-    slim = requests.select(F.col("request_id").cast("long").alias("request_id"), F.col("gid").cast("long").alias("gid"), F.coalesce("bet_mult", F.lit(1)).cast("long").alias("bet_mult"), "error")
-    return slim.mapInArrow(run, "request_id long, gid long, win long, base_win long, trigger int, error string")

@@ -7,20 +7,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rng
+from ..operators.boards import Found, scorer
 from ..operators.cluster import Clusters
 from ..operators.sampling import alias_pick
 from ..operators.tuner import SeedBank
 from .config import ConfigError, Game, Mode, decode_fixed
+from .record import Acts, assemble, restore, snapshot
+from .wire import MODE as MODE_TYPE
+from .wire import STATE as STATE_TYPE
 
 U64 = np.uint64
 #: Spins that a task handles at once.
 BATCH = 1 << 15
+#: Spins whose whole results a task holds at once.
+RECORDED = 1 << 11
 Rounds = tuple[np.ndarray, np.ndarray, np.ndarray]
 Play = Callable[[np.ndarray, int], Rounds]
 Logic = Callable[[Game], Play]
@@ -143,42 +150,82 @@ def _free_rounds(state: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray
     return np.tile(state, rounds), np.repeat(np.arange(1, rounds + 1) * PER_ROUND, len(state))
 
 
-def lines_logic(game: Game) -> Play:
+class LinesLogic:
     """A base board; more than two scatters start free rounds on the second mode."""
-    rules = decode_fixed(FreeRounds, {k: tuple(v) if isinstance(v, list) else v for k, v in game.fixed.items()})
-    base, free = game.modes[0], game.modes[min(1, len(game.modes) - 1)]
-    reels, score, free_reels, free_score = Reels(base), LineGame(base), Reels(free), LineGame(free)
-    scatter = np.array(base.scatter)
-
-    def play(state: np.ndarray, bet_mult: int) -> Rounds:
-        boards = reels.boards(state, 0)
-        base_win = score.win(boards) * bet_mult
-        triggered = scatter[boards].sum(1) > 2
+
+    def __init__(self, game: Game) -> None:
+        self.rules = decode_fixed(FreeRounds, {k: tuple(v) if isinstance(v, list) else v for k, v in game.fixed.items()})
+        base, free = game.modes[0], game.modes[min(1, len(game.modes) - 1)]
+        self.reels, self.free_reels, self.modes = Reels(base), Reels(free), (base, free)
+        self.score, self.free_score = LineGame(base), LineGame(free)
+        self.scatter = np.array(base.scatter)
+
+    def __call__(self, state: np.ndarray, bet_mult: int) -> Rounds:
+        boards = self.reels.boards(state, 0)
+        base_win = self.score.win(boards) * bet_mult
+        triggered = self.scatter[boards].sum(1) > 2
         hit = np.flatnonzero(triggered)
         total = base_win.copy()
-        if len(hit) and rules.free_round:
-            free_state, draws = _free_rounds(state[hit], rules.free_round)
-            total[hit] += free_score.win(free_reels.boards(free_state, draws)).reshape(rules.free_round, -1).sum(0) * bet_mult
+        if len(hit) and self.rules.free_round:
+            free_state, draws = _free_rounds(state[hit], self.rules.free_round)
+            total[hit] += self.free_score.win(self.free_reels.boards(free_state, draws)).reshape(self.rules.free_round, -1).sum(0) * bet_mult
         return base_win, total, triggered.astype(np.int64)
 
-    return play
+    def record(self, state: np.ndarray, bet_mult: int) -> tuple[list[Acts], dict[int, np.ndarray]]:
+        """The acts of the same spins: a screen, its win, and the trigger with its scatters; then a screen and its win for each free round."""
+        boards = self.reels.boards(state, 0)
+        scatter = self.scatter[boards]
+        triggered = scatter.sum(1) > 2
+        hit = np.flatnonzero(triggered)
+        ext = [{"is_trigger": True, "scatters": int(scatter[i].sum()), "scatter_hits": np.flatnonzero(scatter[i]).tolist()} for i in hit]
+        acts = _scored(self.modes[0], boards, np.arange(len(state)), 0, 0, bet_mult)
+        acts.append(Acts("trigger", hit, 0, 0, 2, ext=ext))
+        if len(hit) and self.rules.free_round:
+            free_state, draws = _free_rounds(state[hit], self.rules.free_round)
+            rounds = np.repeat(np.arange(self.rules.free_round), len(hit))
+            acts += _scored(self.modes[1], self.free_reels.boards(free_state, draws), np.tile(hit, self.rules.free_round), 1, rounds, bet_mult)
+        return acts, {0: triggered.astype(np.int32)}
+
+
+def _scored(mode: Mode, boards: np.ndarray, rows: np.ndarray, number: int, rounds: np.ndarray | int, bet_mult: int) -> list[Acts]:
+    """A screen, and its win if there is one."""
+    rounds = np.broadcast_to(rounds, rows.shape)
+    win, found = _hits(mode, boards, bet_mult)
+    paid = np.flatnonzero(win)
+    return [Acts("screen", rows, number, rounds, 0, screen=boards), Acts("win", rows[paid], number, rounds[paid], 1, win[paid], found=found)]
+
+
+def _hits(mode: Mode, boards: np.ndarray, bet_mult: int) -> tuple[np.ndarray, list[Found]]:
+    """(win of each board, hits whose rows count the boards that win)."""
+    found = list(scorer(mode).found(boards.astype(np.int16), np.full(len(boards), bet_mult, np.int64))) if any(mode.paid) else []
+    win = np.zeros(len(boards), np.int64)
+    for f in found:
+        np.add.at(win, f.row, f.win)
+    number = np.cumsum(win > 0) - 1
+    return win, [f._replace(row=number[f.row]) for f in found]
+
+
+def fall(boards: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(boards whose symbols fell in each column, empty cells of each column)."""
+    grid = boards.reshape(-1, rows, columns)
+    full = grid != 0
+    # a symbol's row is as far from the bottom as there are symbols below it
+    below = full[:, ::-1].cumsum(1, dtype=np.int8)[:, ::-1]
+    out = np.zeros_like(grid)
+    n, r, c = np.nonzero(full)
+    out[n, rows - below[n, r, c], c] = grid[n, r, c]
+    return out, rows - below[:, 0].astype(np.int64)
 
 
 def _fall_and_fill(boards: np.ndarray, reels: Reels, pos: np.ndarray, columns: int, rows: int) -> np.ndarray:
     """Symbols fall in each column; empty cells fill from the bottom with the refill reels stepping back."""
-    grid = boards.reshape(-1, rows, columns)
-    for c in range(columns):
-        column = grid[:, :, c]
-        order = np.argsort(column != 0, 1, kind="stable")
-        column = np.take_along_axis(column, order, 1)
-        empty = (column == 0).sum(1)
-        strip = reels.strips[1][c]
-        for r in range(rows):
-            back = empty - r  # the lowest empty cell takes the first step back
-            fill = back > 0
-            column[fill, r] = strip[(pos[fill, c] - back[fill]) % len(strip)]
-        pos[:, c] = (pos[:, c] - empty) % len(strip)
-        grid[:, :, c] = column
+    grid, empty = fall(boards, columns, rows)
+    size = np.array([len(s) for s in reels.strips[1]])
+    strips = np.stack([np.resize(s, size.max()) for s in reels.strips[1]])
+    n, r, c = np.nonzero(np.arange(rows)[None, :, None] < empty[:, None, :])
+    # the lowest empty cell takes the first step back
+    grid[n, r, c] = strips[c, (pos[n, c] - (empty[n, c] - r)) % size[c]]
+    pos[:] = (pos - empty) % size
     return grid.reshape(len(boards), -1)
 
 
@@ -188,47 +235,96 @@ class Cascade:
     def __init__(self, mode: Mode, rules: CascadeRules) -> None:
         self.mode, self.rules, self.reels, self.tool = mode, rules, Reels(mode), Clusters(mode)
 
-    def play(self, state: np.ndarray, draw: np.ndarray | int, bet_mult: int) -> tuple[np.ndarray, np.ndarray]:
-        """(win, final boards): score, clear, fall and refill until nothing pays; all spins of a batch step together."""
+    def play(self, state: np.ndarray, draw: np.ndarray | int, bet_mult: int, acts: list[Acts] | None = None, rows: np.ndarray | None = None, number: int = 0, rounds: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(win, final boards): score, clear, fall and refill until nothing pays; all spins of a batch step together.
+
+        With ``acts``, what happens to the spins ``rows`` in mode ``number`` is recorded.
+        """
         mode, reels, tool = self.mode, self.reels, self.tool
         boards = reels.boards(state, draw).copy()
         pos = np.stack([reels.pick(rng.draw(state, draw + 64 + c), 1, c) for c in range(mode.columns)], 1)
         wins, live = np.zeros(len(state), np.int64), np.arange(len(state))
-        for _ in range(self.rules.max_step):
-            won, hit, _ = tool.score(boards[live], bet_mult)
+        rounds = np.broadcast_to(rounds, (len(state),))
+        shift = np.arange(tool.cells, dtype=tool.kind)
+
+        def add(kind: str, at: np.ndarray, order: int, **what: Any) -> None:
+            if acts is not None:
+                acts.append(Acts(kind, rows[at], number, rounds[at], order, **what))
+
+        first = Acts("gen_screen", rows, number, rounds, 0, screen=boards.copy()) if acts is not None else None
+        for step in range(self.rules.max_step):
+            won, hit, found = tool.score(boards[live], bet_mult)
             keep = won > 0
+            if step == 0 and first is not None:
+                first.step_end = ~keep
+                acts.append(first)
+            if acts is not None:
+                index = np.cumsum(keep) - 1
+                add("win", live[keep], 4 * step + 1, win=won[keep], found=[Found(index[r], s.astype(np.int64) * tool.cells + ((b[:, None] >> shift) & tool.one).astype(bool).argmax(1), p, s, 0, k, np.zeros(len(r), np.int64), 0, ((b[:, None] >> shift) & tool.one).astype(bool)) for r, s, k, p, b in found])
             live, hit = live[keep], hit[keep]
             if not len(live):
                 break
             wins[live] += won[keep]
             cleared = boards[live]
-            cleared[((hit[:, None] >> np.arange(tool.cells, dtype=tool.kind)) & tool.one).astype(bool)] = 0
+            cleared[((hit[:, None] >> shift) & tool.one).astype(bool)] = 0
             own = pos[live]
+            add("clear", live, 4 * step + 2, screen=cleared, step_end=True)
+            if acts is not None:
+                add("gravity", live, 4 * step + 3, screen=fall(cleared, mode.columns, mode.rows)[0].reshape(len(live), -1), step_end=True)
             boards[live] = _fall_and_fill(cleared, reels, own, mode.columns, mode.rows)
             pos[live] = own
+            add("fillscreen", live, 4 * step + 4, screen=boards[live], step_end=True)
+        else:
+            if first is not None and not self.rules.max_step:
+                acts.append(first)
         return wins, boards
 
 
-def cascade_logic(game: Game) -> Play:
+class CascadeLogic:
     """A cascade; enough scatters on the last board pay and start free cascades on the second mode, which don't start more."""
-    rules = decode_fixed(CascadeRules, game.fixed)
-    base, free = Cascade(game.modes[0], rules), Cascade(game.modes[min(1, len(game.modes) - 1)], rules)
-    scatter = np.array(game.modes[0].scatter)
 
-    def play(state: np.ndarray, bet_mult: int) -> Rounds:
-        base_win, boards = base.play(state, 0, bet_mult)
-        hit = scatter[boards].sum(1) >= rules.trigger
+    def __init__(self, game: Game) -> None:
+        self.rules = decode_fixed(CascadeRules, game.fixed)
+        self.base, self.free = Cascade(game.modes[0], self.rules), Cascade(game.modes[min(1, len(game.modes) - 1)], self.rules)
+        self.scatter = np.array(game.modes[0].scatter)
+
+    def _play(self, state: np.ndarray, bet_mult: int, acts: list[Acts] | None) -> Rounds:
+        rules = self.rules
+        base_win, boards = self.base.play(state, 0, bet_mult, acts, np.arange(len(state)))
+        scatter = self.scatter[boards]
+        hit = scatter.sum(1) >= rules.trigger
         base_win = base_win + np.where(hit, rules.scatter_pay * bet_mult, 0)
         total, rows = base_win.copy(), np.flatnonzero(hit)
+        if acts is not None:
+            ext = [{"is_trigger": True, "scatters": int(scatter[i].sum()), "scatter_hits": np.flatnonzero(scatter[i]).tolist()} for i in rows]
+            acts.append(Acts("trigger", rows, 0, 0, 4 * rules.max_step + 5, rules.scatter_pay * bet_mult, ext=ext))
         if len(rows) and rules.free_rounds:
-            total[rows] += free.play(*_free_rounds(state[rows], rules.free_rounds), bet_mult)[0].reshape(rules.free_rounds, -1).sum(0)
+            free_state, draws = _free_rounds(state[rows], rules.free_rounds)
+            won = self.free.play(free_state, draws, bet_mult, acts, np.tile(rows, rules.free_rounds), 1, np.repeat(np.arange(rules.free_rounds), len(rows)))[0]
+            total[rows] += won.reshape(rules.free_rounds, -1).sum(0)
         return base_win, total, hit.astype(np.int64)
 
-    return play
+    def __call__(self, state: np.ndarray, bet_mult: int) -> Rounds:
+        return self._play(state, bet_mult, None)
+
+    def record(self, state: np.ndarray, bet_mult: int) -> tuple[list[Acts], dict[int, np.ndarray]]:
+        """The acts of the same spins: screens, wins, cleared, fallen and filled screens, and the trigger with its scatters and pay."""
+        acts: list[Acts] = []
+        trigger = self._play(state, bet_mult, acts)[2]
+        return acts, {0: trigger.astype(np.int32)}
+
+
+def record(play: Play, state: np.ndarray, bet_mult: int) -> tuple[list[Acts], dict[int, np.ndarray]]:
+    """What a logic records of these spins; of one that records nothing, an act for the base part and one for the free part."""
+    if hasattr(play, "record"):
+        return play.record(state, bet_mult)
+    base, total, trigger = play(state, bet_mult)
+    at = np.flatnonzero(trigger)
+    return [Acts("base", np.arange(len(base)), 0, 0, 0, base), Acts("free", at, 1, 0, 0, (total - base)[at])], {0: trigger.astype(np.int32)}
 
 
 #: Logic by key; :class:`sparkreel.plans.engine.Engine` adds its own to a copy.
-LOGICS: dict[str, Logic] = {"demo_normal": lines_logic, "demo_cascade": cascade_logic}
+LOGICS: dict[str, Logic] = {"demo_normal": LinesLogic, "demo_cascade": CascadeLogic}
 LEDGER = "spin_id long, player_id long, seq long, bet_unit long, bet long, total_win long, base_win long, trigger int"
 
 
@@ -288,3 +384,89 @@ def simulate_players(spark: SparkSession, game: Game, players: int, rounds: int,
                 live = live[(balance[live] >= unit) & (balance[live] < 3 * start)]
 
     return spark.range(0, players, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, LEDGER)
+
+
+def results(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0) -> DataFrame:
+    """(spin_id, gamemodes): the same spins as :func:`simulate`, with all their modes, acts, screens and details."""
+    make = logic or LOGICS[game.logic_key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        play = make(game)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, RECORDED):
+                ids = batch.column(0).slice(lo, RECORDED)
+                acts, triggers = record(play, rng.streams(seed, ids.to_numpy()), bet_mult)
+                yield pa.RecordBatch.from_arrays([ids, assemble(acts, len(ids), triggers, game.logic_key)], names=["spin_id", "gamemodes"])
+
+    return spark.range(first_spin, first_spin + spins, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, f"spin_id long, gamemodes array<{MODE_TYPE}>")
+
+
+def _starts(batch: pa.RecordBatch, seed: int, bank: SeedBank | None) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """(seed of each request, its spin, what is wrong): of its snapshot, or else of its id or the bank."""
+    ids, error, texts = batch.column(0).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+    seeds, spins = np.full(len(ids), seed, np.int64), ids.copy() if bank is None else banked(bank, rng.streams(~seed, ids)).copy()
+    for i, text in enumerate(texts):
+        if text and error[i] is None:
+            if found := restore(text):
+                seeds[i], spins[i] = found
+            else:
+                error[i] = "the start state can't be read"
+    return seeds, spins, error
+
+
+def wins(requests: DataFrame, game: Game, logic: Logic, seed: int, bank: SeedBank | None = None) -> DataFrame:
+    """(request_id, gid, win, base_win, trigger, error): :func:`answers` without the acts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        play = logic(game)
+        for batch in batches:
+            mult, n = batch.column(2).to_numpy(zero_copy_only=False), batch.num_rows
+            seeds, spins, error = _starts(batch, seed, bank)
+            ok = np.array([e is None for e in error], bool)
+            win, base, trigger = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+            for m in np.unique(mult[ok]):
+                at = np.flatnonzero(ok & (mult == m))
+                base[at], win[at], trigger[at] = play(rng.streams(seeds[at], spins[at]), int(m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(win, mask=~ok), pa.array(base, mask=~ok), pa.array(trigger, mask=~ok), pa.array(error, pa.string())], names=["request_id", "gid", "win", "base_win", "trigger", "error"])
+
+    return requests.mapInArrow(run, "request_id long, gid long, win long, base_win long, trigger int, error string")
+
+
+def answers(requests: DataFrame, game: Game, logic: Logic, seed: int, bank: SeedBank | None = None) -> DataFrame:
+    """(request_id, gid, win, base_win, trigger, error, spin_state, gamemodes) for checked requests (request_id, gid, bet_mult, error, start).
+
+    A request with a ``start`` plays the spin of that snapshot again; one without plays the spin of its id, or what the bank's weights pick for
+    it.  The state after a spin is the snapshot of the next one.  Where ``error`` is not null, or the snapshot can't be read, nothing is played.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        play = logic(game)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, RECORDED):
+                batch = whole.slice(lo, RECORDED)
+                mult, n = batch.column(2).to_numpy(zero_copy_only=False), batch.num_rows
+                seeds, spins, error = _starts(batch, seed, bank)
+                ok = np.array([e is None for e in error], bool)
+                acts: list[Acts] = []
+                triggers: dict[int, np.ndarray] = {}
+                for m in np.unique(mult[ok]):
+                    at = np.flatnonzero(ok & (mult == m))
+                    some, counts = record(play, rng.streams(seeds[at], spins[at]), int(m))
+                    for part in some:
+                        part.row = at[part.row]
+                    acts += some
+                    for mode, count in counts.items():
+                        triggers.setdefault(mode, np.zeros(n, np.int32))[at] = count
+                won = np.zeros((2, n), np.int64)
+                for part in acts:
+                    np.add.at(won[0], part.row, part.win)
+                    if part.mode == 0:
+                        np.add.at(won[1], part.row, part.win)
+                state = [{"start_b64u": snapshot(int(s), int(i)), "after_b64u": snapshot(int(s), int(i) + 1), "cp": None} if e is None else None for s, i, e in zip(seeds, spins, error, strict=True)]
+                kind = pa.struct([("start_b64u", pa.string()), ("after_b64u", pa.string()), ("cp", pa.string())])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(won[0], mask=~ok), pa.array(won[1], mask=~ok), pa.array(triggers.get(0, np.zeros(n, np.int32)), mask=~ok), pa.array(error, pa.string()), pa.array(state, kind), assemble(acts, n, triggers, game.logic_key)],
+                    names=["request_id", "gid", "win", "base_win", "trigger", "error", "spin_state", "gamemodes"],
+                )
+
+    return requests.mapInArrow(run, f"request_id long, gid long, win long, base_win long, trigger int, error string, spin_state {STATE_TYPE}, gamemodes array<{MODE_TYPE}>")

@@ -16,7 +16,10 @@ REQUEST = "uid string, game string, gid long, bet long, bet_mode int, bet_mult i
 DETAIL = "struct<win:long,symbol:short,line:int,count:int,comb:int,direction:short,hits:array<short>>"
 ACT = f"struct<acttype:string,id:int,round:int,step:int,act:int,is_round_end:boolean,is_step_end:boolean,nowtotalwin:long,roundaccwin:long,stepaccwin:long,actwin:long,screen:array<short>,ext:string,details:array<{DETAIL}>>"
 MODE = f"struct<win:long,modeid:int,isend:boolean,trigger:int,acts:array<{ACT}>>"
-RESULT = f"game string, gameid long, win long, bet long, betmode int, betmult int, isend boolean, spin_state struct<start_b64u:string,after_b64u:string,cp:string>, gamemodes array<{MODE}>"
+STATE = "struct<start_b64u:string,after_b64u:string,cp:string>"
+RESULT = f"game string, gameid long, win long, bet long, betmode int, betmult int, isend boolean, spin_state {STATE}, gamemodes array<{MODE}>"
+#: The same as the fields of a struct.
+RESULT_FIELDS = f"game:string,gameid:bigint,win:bigint,bet:bigint,betmode:int,betmult:int,isend:boolean,spin_state:{STATE},gamemodes:array<{MODE}>"
 MOST_BYTES = 1 << 20
 _NUMBERS = ("gid", "bet", "bet_mode", "bet_mult", "cycle", "choice")
 
