@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is run once to warm up and timed as the better of two runs.  Rates: rounds of ledger a second through the report, boards a second
-through the line scorer, and spins a second through the simulation with its report.
+through the line scorer, and spins a second through the simulation with its report (100 million of the line game,
+as in the published sample run).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ("stat_summary", "win_buckets", "player_reports", "session_outcomes", "player_rtp_quantiles", "line_scores", "way_scores", "count_scores", "cluster_scores", "gravity", "fill_holes", "acts_running_totals", "stratified_collect", "weighted_sample", "weighted_moments", "simulate_line", "simulate_cascade", "player_study")
 SCALE = float(os.environ.get("BENCH_SCALE", "1"))
-LEDGER_ROWS, BOARDS, SPINS, CASCADES = (int(SCALE * n) for n in (20_000_000, 4_000_000, 20_000_000, 1_000_000))
+LEDGER_ROWS, BOARDS, SPINS, CASCADES = (int(SCALE * n) for n in (20_000_000, 4_000_000, 100_000_000, 8_000_000))
 
 
 def timed(run) -> float:
@@ -46,8 +47,8 @@ def main() -> None:
     rates = {
         "ledger_rows_per_s": LEDGER_ROWS / timed(lambda: sink(report.summary(wide))),
         "boards_per_s": BOARDS / timed(lambda: sink(boards.score_boards(screens, game.modes[0]))),
-        "line_spins_per_s": SPINS / timed(lambda: sink(report.summary(engine.simulate(0, SPINS)))),
-        "cascade_spins_per_s": CASCADES / timed(lambda: sink(report.summary(engine.simulate(1, CASCADES)))),
+        "line_spins_per_s": SPINS / timed(lambda: sink(engine.simulate_report(0, SPINS)["summary"])),
+        "cascade_spins_per_s": CASCADES / timed(lambda: sink(engine.simulate_report(1, CASCADES)["summary"])),
     }
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "rates": {k: round(v) for k, v in rates.items()}, "sf": SF_DIR.rsplit("sf", 1)[-1], "cpus": int(CPUS)}))
     spark.stop()

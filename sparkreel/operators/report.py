@@ -5,7 +5,7 @@ Everything is summed in whole numbers and divided once at the end, so the figure
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bucket edges in bet units, and the names of the 14 buckets.
@@ -32,25 +32,41 @@ def _square_sum(x: Column) -> Column:
     return F.coalesce(high.cast("double") * float(1 << 31) + low.cast("double"), F.lit(0.0)) + F.coalesce(large.cast("double"), F.lit(0.0))
 
 
+WINS = ("total", "base", "free")
+
+
+def _unit() -> Column:
+    """The group's bet unit; reports of different ones don't add up."""
+    return F.when(F.min("bet_unit") == F.max("bet_unit"), F.max("bet_unit")).otherwise(F.when(F.max("bet_unit").isNotNull(), F.raise_error("rounds of different bet units in one report").cast("long")))
+
+
 def summary(ledger: DataFrame, *keys: str) -> DataFrame:
     """One report row, or one for each value of ``keys``; an empty ledger without keys gives zeros.
 
     Columns: rounds, total_bet, total_win, base_win, free_win, triggers, no_win_rounds, rtp, std, cv, ci_lo, ci_hi,
-    trigger_rate, hit_rate and the win multiples with their squares.  Bet units may differ between rows only as keys.
+    trigger_rate, hit_rate and the win multiples with their squares.  Rounds of different bet units in one group are an error.
     """
     w, b = F.col("total_win"), F.col("base_win")
     f = w - b
     sums = {"total_bet": F.col("bet"), "total_win": w, "base_win": b, "free_win": f, "triggers": F.col("trigger").cast("long"), "no_win_rounds": F.when(w <= 0, F.lit(1)).otherwise(F.lit(0)).cast("long")}
-    squares = {"total_sq": w, "base_sq": b, "free_sq": f}
     rows = ledger.groupBy(*keys).agg(
         F.count("*").alias("rounds"),
-        F.max("bet_unit").alias("bet_unit"),
+        _unit().alias("bet_unit"),
         *(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(k) for k, x in sums.items()),
-        *(_square_sum(x).alias(k) for k, x in squares.items()),
+        *(_square_sum(x).alias(f"{k}_sq") for k, x in zip(WINS, (w, b, f), strict=True)),
     )
-    n, unit = F.col("rounds").cast("double"), F.col("bet_unit").cast("double")
-    zero = F.lit(0.0)
-    rows = rows.withColumns({f"{k}_mult": F.coalesce(F.col(f"{k}_win") / unit, zero) for k in ("total", "base", "free")} | {f"{k}_mult_sq": F.coalesce(F.col(f"{k}_sq") / (unit * unit), zero) for k in ("total", "base", "free")})
+    return _rates(_multiples(rows)).drop(*(f"{k}_sq" for k in WINS))
+
+
+def _multiples(rows: DataFrame) -> DataFrame:
+    """Wins and their squares as multiples of the bet unit."""
+    unit, zero = F.col("bet_unit").cast("double"), F.lit(0.0)
+    return rows.withColumns({f"{k}_mult": F.coalesce(F.col(f"{k}_win") / unit, zero) for k in WINS} | {f"{k}_mult_sq": F.coalesce(F.col(f"{k}_sq") / (unit * unit), zero) for k in WINS})
+
+
+def _rates(rows: DataFrame) -> DataFrame:
+    """Sums with what follows from them."""
+    n, zero = F.col("rounds").cast("double"), F.lit(0.0)
     rows = rows.withColumn("rtp", F.when(F.col("total_bet") > 0, F.col("total_win") / F.when(F.col("total_bet") > 0, F.col("total_bet"))).otherwise(zero))
     spread = F.sqrt(F.greatest(zero, (F.col("total_mult_sq") - F.col("total_mult") * F.col("total_mult") / n) / (n - 1)))
     rows = rows.withColumn("std", F.when(F.col("rounds") < 2, zero).otherwise(F.coalesce(spread, zero)))
@@ -64,7 +80,27 @@ def summary(ledger: DataFrame, *keys: str) -> DataFrame:
             "trigger_rate": F.coalesce(F.col("triggers") / some, zero),
             "hit_rate": F.coalesce(1.0 - F.col("no_win_rounds") / some, zero),
         }
-    ).drop("total_sq", "base_sq", "free_sq")
+    )
+
+
+COUNTED = ("rounds", "total_bet", "total_win", "base_win", "free_win", "triggers", "no_win_rounds")
+
+
+def finalise(parts: DataFrame, *keys: str) -> DataFrame:
+    """Partial reports of a simulation, with exact sums of squares, added up to what :func:`summary` gives for all their rounds."""
+    parts = parts.withColumn("free_win", F.col("total_win") - F.col("base_win"))
+    rows = parts.groupBy(*keys).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTED),
+        _unit().alias("bet_unit"),
+        *(F.coalesce(F.sum(f"{k}_sq").cast("double"), F.lit(0.0)).alias(f"{k}_sq") for k in WINS),
+    )
+    return _rates(_multiples(rows)).drop(*(f"{k}_sq" for k in WINS))
+
+
+def finalise_buckets(parts: DataFrame, *keys: str) -> DataFrame:
+    """The same for the buckets: what :func:`distribution` gives."""
+    counts = parts.groupBy(*keys).agg(F.coalesce(F.sum("rounds"), F.lit(0)).alias("rounds"), *(F.coalesce(F.sum(F.col(f"{k}_buckets")[i]), F.lit(0)).alias(f"{k}{i}") for k in WINS for i in range(len(BUCKET_NAMES))))
+    return _unpivoted(counts, *keys)
 
 
 def distribution(ledger: DataFrame, *keys: str) -> DataFrame:
@@ -76,23 +112,27 @@ def distribution(ledger: DataFrame, *keys: str) -> DataFrame:
     at = {k: bucket(w, F.col("bet_unit")) for k, w in wins.items()}
     slim = ledger.select(*keys, *(c.alias(k) for k, c in at.items()))
     counts = slim.groupBy(*keys).agg(F.count("*").alias("rounds"), *(F.count_if(F.col(k) == i).alias(f"{k}{i}") for k in at for i in range(len(BUCKET_NAMES))))
-    entries = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(name).alias("label"), *(F.col(f"{k}{i}").alias(f"{k}_n") for k in at)) for i, name in enumerate(BUCKET_NAMES)))
+    return _unpivoted(counts, *keys)
+
+
+def _unpivoted(counts: DataFrame, *keys: str) -> DataFrame:
+    """A row for each bucket from counts total0, base0, free0 and so on."""
+    entries = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(name).alias("label"), *(F.col(f"{k}{i}").alias(f"{k}_n") for k in WINS)) for i, name in enumerate(BUCKET_NAMES)))
     rows = counts.select(*keys, "rounds", F.inline(entries))
-    share = {f"{k}_share": F.coalesce(F.col(f"{k}_n") / F.when(F.col("rounds") > 0, F.col("rounds")), F.lit(0.0)) for k in at}
+    share = {f"{k}_share": F.coalesce(F.col(f"{k}_n") / F.when(F.col("rounds") > 0, F.col("rounds")), F.lit(0.0)) for k in WINS}
     return rows.withColumns(share).drop("rounds")
 
 
 def merge(reports: DataFrame, *keys: str) -> DataFrame:
-    """Partial reports of one game added up to one report; session columns don't merge and are left out."""
-    parts = reports.select(
-        *keys,
-        "rounds",
-        "bet_unit",
-        "total_bet",
-        "total_win",
-        "base_win",
-        "triggers",
-        "no_win_rounds",
-        *(F.col(f"{k}_mult_sq") for k in ("total", "base", "free")),
-    )
-    return parts.groupBy(*keys).agg(F.max("bet_unit").alias("bet_unit"), *(F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "bet_unit")))
+    """Reports of one game and bet unit added up to one, with all its rates; session columns don't merge and are left out."""
+    sums = [*COUNTED, *(f"{k}_mult_sq" for k in WINS)]
+    rows = reports.groupBy(*keys).agg(_unit().alias("bet_unit"), *(F.coalesce(F.sum(c), F.lit(0)).cast("double" if c.endswith("sq") else "long").alias(c) for c in sums))
+    unit = F.col("bet_unit").cast("double")
+    return _rates(rows.withColumns({f"{k}_mult": F.coalesce(F.col(f"{k}_win") / unit, F.lit(0.0)) for k in WINS}))
+
+
+def merge_buckets(buckets: DataFrame, *keys: str) -> DataFrame:
+    """Distributions of one game added up: counts by bucket, and their shares."""
+    rows = buckets.groupBy(*keys, "bucket", "label").agg(*(F.sum(f"{k}_n").alias(f"{k}_n") for k in WINS))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # 14 rows a group
+    return rows.withColumns({f"{k}_share": F.coalesce(F.col(f"{k}_n") / F.nullif(F.sum(f"{k}_n").over(every), F.lit(0)), F.lit(0.0)) for k in WINS})

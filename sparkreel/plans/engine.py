@@ -51,6 +51,14 @@ class Engine:
             raise ConfigError("rounds from 0, a known bet mode and a multiplier from 1 are needed")
         return sims.simulate(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin, bank)
 
+    def simulate_report(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0, bank: tuner.SeedBank | None = None) -> dict[str, DataFrame]:
+        """``summary`` and ``buckets`` of a simulation whose rounds are added up in the tasks that play them."""
+        game = self.game(key)
+        if rounds < 0 or not 0 <= bet_mode < len(game.bet_units) or bet_mult < 1:
+            raise ConfigError("rounds from 0, a known bet mode and a multiplier from 1 are needed")
+        parts = sims.simulated_parts(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin, bank)
+        return {"summary": report.finalise(parts), "buckets": report.finalise_buckets(parts)}
+
     def simulate_players(self, key: int | str | Game, players: int, rounds: int, init_bets: int, seed: int = 1, bet_mode: int = 0) -> DataFrame:
         game = self.game(key)
         if players < 0 or rounds < 0 or init_bets < 0:

@@ -12,13 +12,16 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators.boards import Found, scorer
 from ..operators.cluster import Clusters
+from ..operators.report import BUCKET_EDGES
 from ..operators.sampling import alias_pick
 from ..operators.tuner import SeedBank
 from .config import ConfigError, Game, Mode, decode_fixed
+from .ledger import COLUMNS
 from .record import Acts, assemble, restore, snapshot
 from .wire import MODE as MODE_TYPE
 from .wire import STATE as STATE_TYPE
@@ -325,6 +328,12 @@ def record(play: Play, state: np.ndarray, bet_mult: int) -> tuple[list[Acts], di
 
 #: Logic by key; :class:`sparkreel.plans.engine.Engine` adds its own to a copy.
 LOGICS: dict[str, Logic] = {"demo_normal": LinesLogic, "demo_cascade": CascadeLogic}
+#: Columns of a partial report.
+PART_TYPES = {
+    **{k: pa.int64() for k in ("rounds", "bet_unit", "total_bet", "total_win", "base_win", "triggers", "no_win_rounds")},
+    **{f"{k}_sq": pa.decimal128(38, 0) for k in ("total", "base", "free")},
+    **{f"{k}_buckets": pa.list_(pa.int64()) for k in ("total", "base", "free")},
+}
 LEDGER = "spin_id long, player_id long, seq long, bet_unit long, bet long, total_win long, base_win long, trigger int"
 
 
@@ -335,28 +344,62 @@ def banked(bank: SeedBank, state: np.ndarray) -> np.ndarray:
     return np.frombuffer(bank.seeds, "<i8")[alias_pick(bank.prob, bank.alias, bank.total, slot, level)]
 
 
+def _chunks(spark: SparkSession, spins: int, partitions: int | None) -> DataFrame:
+    """A row for each BATCH spins; the spins themselves are numbered in the tasks."""
+    return spark.range(0, -(-spins // BATCH), 1, min(partitions or spark.sparkContext.defaultParallelism, max(1, -(-spins // BATCH))))
+
+
+def _played(make: Logic, game: Game, spins: int, seed: int, bet_mult: int, first_spin: int, bank: SeedBank | None):
+    """A function from batches of chunk numbers to (spin ids, base wins, total wins, triggers) of one chunk after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        play = make(game)
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                own = first_spin + np.arange(chunk * BATCH, min(spins, (chunk + 1) * BATCH))
+                yield own, *play(rng.streams(seed, own if bank is None else banked(bank, rng.streams(~seed, own))), bet_mult)
+
+    return run
+
+
 def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0, bank: SeedBank | None = None) -> DataFrame:
     """A ledger of ``spins`` spins.  The rows don't depend on ``partitions``; any range of spin ids can be replayed alone.
 
     With a ``bank`` each spin plays a banked spin id, picked by the bank's weights.
     """
-    make = logic or LOGICS[game.logic_key]
     unit = game.bet_units[bet_mode]
+    played = _played(logic or LOGICS[game.logic_key], game, spins, seed, bet_mult, first_spin, bank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        play = make(game)
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo in range(0, len(ids), BATCH):
-                own = ids[lo : lo + BATCH]
-                base, total, trigger = play(rng.streams(seed, own if bank is None else banked(bank, rng.streams(~seed, own))), bet_mult)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(np.zeros(n, np.int64)), pa.array(own), pa.array(np.full(n, unit)), pa.array(np.full(n, unit * bet_mult)), pa.array(total), pa.array(base), pa.array(trigger.astype(np.int32))],
-                    names=["spin_id", "player_id", "seq", "bet_unit", "bet", "total_win", "base_win", "trigger"],
-                )
+        for ids, base, total, trigger in played(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(base), pa.array(trigger.astype(np.int32))], names=["spin_id", "total_win", "base_win", "trigger"])
+
+    rows = _chunks(spark, spins, partitions).mapInArrow(run, "spin_id long, total_win long, base_win long, trigger int")
+    fixed = {"player_id": 0, "bet_unit": unit, "bet": unit * bet_mult}
+    return rows.withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()} | {"seq": F.col("spin_id")}).select(*COLUMNS)
+
+
+def simulated_parts(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0, bank: SeedBank | None = None) -> DataFrame:
+    """The ledger of :func:`simulate` as partial reports, a row for each BATCH spins: what ``operators.report.finalise`` adds up."""
+    unit = game.bet_units[bet_mode]
+    played = _played(logic or LOGICS[game.logic_key], game, spins, seed, bet_mult, first_spin, bank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, base, total, trigger in played(batches):
+            n, wins = len(base), {"total": total, "base": base, "free": total - base}
+            row = {"rounds": n, "bet_unit": unit, "total_bet": n * unit * bet_mult, "total_win": int(total.sum()), "base_win": int(base.sum()), "triggers": int(trigger.sum()), "no_win_rounds": int((total <= 0).sum())}
+            row |= {f"{k}_sq": _square_sum(w) for k, w in wins.items()}
+            row |= {f"{k}_buckets": np.bincount(np.where(w <= 0, 0, np.searchsorted(np.array(BUCKET_EDGES) * unit, w, "right")), minlength=len(BUCKET_EDGES) + 1).tolist() for k, w in wins.items()}
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], PART_TYPES[k]) for k, v in row.items()})
+
+    schema = ", ".join(f"{k} {'array<long>' if pa.types.is_list(t) else 'decimal(38,0)' if pa.types.is_decimal(t) else 'long'}" for k, t in PART_TYPES.items())
+    return _chunks(spark, spins, partitions).mapInArrow(run, schema)
+
 
-    return spark.range(first_spin, first_spin + spins, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, LEDGER)
+def _square_sum(x: np.ndarray) -> int:
+    """Exact: squares of 31-bit halves fit in 64 bits, also when a chunk of them is added up."""
+    high, low = x >> 20, x & ((1 << 20) - 1)
+    return (int((high * high).sum()) << 40) + (int((high * low).sum()) << 21) + int((low * low).sum())
 
 
 def simulate_players(spark: SparkSession, game: Game, players: int, rounds: int, init_bets: int, seed: int = 1, bet_mode: int = 0, partitions: int | None = None, logic: Logic | None = None) -> DataFrame:

@@ -188,3 +188,22 @@ def test_player_study(spark):
     assert study["quantiles"].count() == 5 and study["cdf"].count() == 4 and study["sessions"].agg(F.sum("k")).first()[0] == 50
     # the source stops where the session rule stops
     assert sessions.running(rows, 5).count() == rows.count()
+
+
+def test_reports_added_up_where_they_are_played(spark):
+    engine = Engine(spark, games=[demo.line_game(), demo.cascade_game()])
+    for gid, n in ((0, 70_000), (1, 3000), (0, 0)):
+        got, plain = engine.simulate_report(gid, n, partitions=3), engine.simulate(gid, n)
+        a, b = got["summary"].first().asDict(), report.summary(plain).first().asDict()
+        assert set(a) == set(b) and all(a[k] == b[k] if isinstance(b[k], int | None) else math.isclose(a[k], b[k], rel_tol=1e-12) for k in b if not (n == 0 and k == "bet_unit"))
+        if n:
+            assert sorted(map(tuple, got["buckets"].collect())) == sorted(map(tuple, report.distribution(plain).collect()))
+
+
+def test_merged_reports_are_whole(spark):
+    rows = rounds(spark, [i * 37 % 500 for i in range(1000)]).withColumn("k", F.col("spin_id") % 7)
+    whole, merged = report.summary(rows).first().asDict(), report.merge(report.summary(rows, "k")).first().asDict()
+    assert all(math.isclose(merged[c], whole[c], rel_tol=1e-9) for c in whole)
+    assert sorted(map(tuple, report.merge_buckets(report.distribution(rows, "k")).collect())) == sorted(map(tuple, report.distribution(rows).collect()))
+    with pytest.raises(Exception, match="different bet units"):
+        report.merge(report.summary(rounds(spark, [1])).unionByName(report.summary(rounds(spark, [1], unit=50)))).collect()
