@@ -3,6 +3,9 @@ and (seed, spin) is all it takes to replay a spin."""
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 U64 = np.uint64
@@ -24,15 +27,82 @@ def streams(seed: int | np.ndarray, spin_ids: np.ndarray) -> np.ndarray:
     return splitmix(spin_ids.astype(np.int64).view(U64) ^ key)
 
 
+def _splitmix_draw(state: np.ndarray, number: int | np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return splitmix(state + np.asarray(number).astype(U64) * U64(0xD1B54A32D192ED03))
+
+
+def _pcg_draw(state: np.ndarray, number: int | np.ndarray) -> np.ndarray:
+    """PCG RXS M XS 64: the congruential sequence from ``state``, jumped ahead by the draw's number, and permuted."""
+    number = np.asarray(number).astype(U64)
+    scale, shift = U64(6364136223846793005), U64(1442695040888963407)
+    with np.errstate(over="ignore"):
+        add, mult = np.zeros_like(number), np.ones_like(number)
+        left = number + U64(1)
+        while left.any():
+            odd = (left & U64(1)).astype(bool)
+            mult, add = np.where(odd, mult * scale, mult), np.where(odd, add * scale + shift, add)
+            shift, scale, left = (scale + U64(1)) * shift, scale * scale, left >> U64(1)
+        x = state * mult + add
+        x = ((x >> ((x >> U64(59)) + U64(5))) ^ x) * U64(12605985483714917081)
+        return x ^ (x >> U64(43))
+
+
+#: Generators by name: 64 bits as a function of (state, draw number), so that every draw can be made alone.
+GENERATORS: dict[str, Callable[[np.ndarray, int | np.ndarray], np.ndarray]] = {"splitmix": _splitmix_draw, "pcg64": _pcg_draw}
+_in_use = ["splitmix"]
+
+
+def register_generator(name: str, draw_bits: Callable[[np.ndarray, int | np.ndarray], np.ndarray]) -> None:
+    """Add a generator; a name can be registered once."""
+    if name in GENERATORS:
+        raise ValueError(f"there is a generator {name}")
+    GENERATORS[name] = draw_bits
+
+
+@contextlib.contextmanager
+def using(name: str) -> Iterator[None]:
+    """Draws inside come from this generator."""
+    if name not in GENERATORS:
+        raise ValueError(f"no generator {name}")
+    _in_use.append(name)
+    try:
+        yield
+    finally:
+        _in_use.pop()
+
+
 def draw(state: np.ndarray, number: int | np.ndarray) -> np.ndarray:
     """64 random bits for a draw number of each stream."""
+    return GENERATORS[_in_use[-1]](state, number)
+
+
+def _product(bits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High and low 64 bits of bits * n."""
+    mask, s = U64(0xFFFFFFFF), U64(32)
     with np.errstate(over="ignore"):
-        return splitmix(state + np.asarray(number).astype(U64) * U64(0xD1B54A32D192ED03))
+        b1, b0, n1, n0 = bits >> s, bits & mask, n >> s, n & mask
+        low = b0 * n0
+        mid = b1 * n0 + (low >> s)
+        mid2 = b0 * n1 + (mid & mask)
+        return b1 * n1 + (mid >> s) + (mid2 >> s), bits * n
 
 
 def below(bits: np.ndarray, n: int | np.ndarray) -> np.ndarray:
-    """0..n-1 by multiply-high on 32 bits; n under 2**31.  The bias is under n / 2**32."""
-    return (((bits >> U64(32)) * np.asarray(n).astype(U64)) >> U64(32)).astype(np.int64)
+    """0..n-1, each exactly as likely, by multiply-high; -1 where n is 0 or less.
+
+    The few bits that would make some numbers likelier are refused, and mixed again until they aren't.
+    """
+    n = np.broadcast_to(np.asarray(n, np.int64), bits.shape)
+    size = np.maximum(n, 1).astype(U64)
+    high, low = _product(bits, size)
+    if (low < size).any():
+        with np.errstate(over="ignore"):
+            least = (U64(0) - size) % size  # 2**64 modulo n
+        while (bad := low < least).any():
+            bits = np.where(bad, splitmix(bits), bits)
+            high, low = _product(bits, size)
+    return np.where(n > 0, high.astype(np.int64), -1)
 
 
 def unit(bits: np.ndarray) -> np.ndarray:

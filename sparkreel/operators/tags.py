@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +68,30 @@ def none_of(bits: Column, mask: int) -> Column:
 def collect_strata(rows: DataFrame, strata: Sequence[tuple[str, Column, int]], order: str) -> DataFrame:
     """``rows`` with ``cname``: each row in order goes to the first stratum that accepts it and still has room.
 
-    ``strata``: (name, accepts, room).  A stratum's takers are the first ``room`` of the rows that accept it and that no earlier
-    stratum took, so strata are filled one after another, each by a top-k that keeps ``room`` rows of a task.
+    ``strata``: (name, accepts, room); ``order`` is a sortable column without ties.  One pass: a row's strata are bits, and of all rows
+    with equal bits only the first can be taken, as many as their strata have room.  Spark keeps so many of a task, and what is left, bounded by
+    the rooms, is dealt out in one task.
     """
-    left, taken = rows, None
-    for name, accepts, room in strata:
-        own = left.where(accepts).orderBy(order).limit(room)
-        mine = own.withColumn("cname", F.lit(name))
-        left = left.join(F.broadcast(own.select(order)), order, "left_anti")  # `room` rows at most
-        taken = mine if taken is None else taken.unionByName(mine)
-    return taken
+    if not 1 <= len(strata) <= 63:
+        raise ValueError("from 1 to 63 strata")
+    bits = sum((F.when(accepts, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, accepts, _) in enumerate(strata)), F.lit(0).cast("long"))
+    room = sum((F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.lit(k)).otherwise(F.lit(0)) for i, (_, _, k) in enumerate(strata)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__bits").orderBy(order))
+    # the rank is bounded by a constant first, which tasks can apply before the shuffle
+    most = sum(k for _, _, k in strata)
+    kept = rows.withColumn("__bits", bits).where("__bits <> 0").withColumn("__place", place).where(F.col("__place") <= most).where(F.col("__place") <= room).drop("__place")
+    names, rooms = [n for n, _, _ in strata], [k for _, _, k in strata]
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(order, "ascending")]))
+        bits = table["__bits"].to_numpy()
+        taken = np.full(len(bits), -1)
+        for i, k in enumerate(rooms):
+            taken[np.flatnonzero((taken < 0) & (bits >> i & 1 == 1))[:k]] = i
+        mine = np.flatnonzero(taken >= 0)
+        return table.drop_columns(["__bits", "__all"]).take(mine).append_column("cname", pa.array([names[i] for i in taken[mine]], pa.string()))
+
+    return kept.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(deal, rows.withColumn("cname", F.lit(None).cast("string")).schema)
 
 
 def collect_disjoint(rows: DataFrame, strata: Sequence[tuple[str, Column, int]], order: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .sampling import alias_table
 BASE = 1_000_000
 ACCURACY = 1 << 52
 MOST_TRIES, RETRIES, MERCY = 100_000, 500, 100
+#: Samples of a class, at most: they meet in one task and then in the driver.
+MOST_SAMPLES = 5_000_000
 
 
 class TunerError(ValueError):
@@ -97,7 +99,7 @@ def _check(c: ClassSetting) -> None:
     m = c.mixture
     if m.method not in SHAPES:
         raise TunerError(f"class {c.name}: no shape method {m.method!r}")
-    ok = [c.collect > 0, c.basis > 0, c.shapes > 0, c.min_win <= c.max_win, c.ratio[0] <= c.ratio[1]]
+    ok = [0 < c.collect <= MOST_SAMPLES, c.basis > 0, c.shapes > 0, c.min_win <= c.max_win, c.ratio[0] <= c.ratio[1]]
     if m.method != "uniform":
         ok += [c.min_win <= m.mu_center <= c.max_win, 1 <= m.k_range[0] <= m.k_range[1], m.std_range[0] <= m.std_range[1], m.amp_range[0] <= m.amp_range[1], 0 <= m.zero_range[0] <= m.zero_range[1] <= 1]
         ok += [c.min_win <= lo <= hi <= c.max_win for lo, hi, _ in m.biases] + [sum(p for *_, p in m.biases) <= BASE]
@@ -151,8 +153,13 @@ def _mixture(pdf: Callable, c: ClassSetting, wins: np.ndarray, rng: np.random.Ge
             kind = rng.choice(len(probs), k, p=probs)
             center = np.array([rng.uniform(*m.biases[i][:2]) if i < len(m.biases) else m.mu_center for i in kind])
             mu = center + rng.standard_normal(k) * m.mu_std
-            while (bad := (mu < c.min_win) | (mu > c.max_win)).any():
+            for _ in range(MOST_TRIES):
+                bad = (mu < c.min_win) | (mu > c.max_win)
+                if not bad.any():
+                    break
                 mu[bad] = center[bad] + rng.standard_normal(bad.sum()) * m.mu_std
+            else:
+                raise TunerError(f"class {c.name}: no centre of a mixture falls between its wins")
             sd = np.maximum(1e-9, rng.uniform(*m.std_range, k))
             amp = rng.uniform(*m.amp_range, k)
             amp[amp <= 0] = 1e-9
@@ -180,8 +187,8 @@ def mean_of(wins: np.ndarray, weights: np.ndarray) -> float:
 
 
 def median_of(wins: np.ndarray, weights: np.ndarray) -> float:
-    """The first of the sorted wins at which the weights reach a half; the last one if rounding keeps them under it."""
-    at = int(np.searchsorted(np.cumsum(weights), 0.5))
+    """The first of the sorted wins at which the weights reach a half of their sum; the last one if rounding keeps them under it."""
+    at = int(np.searchsorted(np.cumsum(weights), 0.5 * np.sum(weights)))
     return float(wins[min(at, len(wins) - 1)]) if len(wins) else 0.0
 
 
