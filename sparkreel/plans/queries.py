@@ -5,11 +5,12 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import codec, rng
 from ..operators import acts, boards, cluster, estimator, report, sampling, sessions, tags, tuner
 from ..sources import ledger, wire
 from ..sources.config import Mode
@@ -78,12 +79,13 @@ def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.outcomes(_rounds(spark, sf_dir), 20)
 
 
-SESSION_SQL = f"""with {LEDGER_SQL},
+SESSION_CTE = f"""{LEDGER_SQL},
 r as (select *, row_number() over w rn, 800 + sum(total_win - 40) over (w rows unbounded preceding) balance from led window w as (partition by player_id order by ts, event_id)),
 e as (select *, min(case when balance < 40 or balance >= 2400 then rn end) over (partition by player_id) stop from r),
-p as (select * from e where stop is null or rn <= stop)
-select player_id, count(*)::bigint rounds, 800::bigint init_balance, arg_max(balance, rn)::bigint balance, greatest(800, max(balance))::bigint max_balance, least(800, min(balance))::bigint min_balance,
-  bool_or(balance < 40) bust, bool_or(balance >= 2400) cashout, not bool_or(balance < 40 or balance >= 2400) alive from p group by player_id"""
+p as (select * from e where stop is null or rn <= stop),
+so as (select player_id, count(*)::bigint rounds, 800::bigint init_balance, arg_max(balance, rn)::bigint balance, greatest(800, max(balance))::bigint max_balance, least(800, min(balance))::bigint min_balance,
+  bool_or(balance < 40) bust, bool_or(balance >= 2400) cashout, not bool_or(balance < 40 or balance >= 2400) alive from p group by player_id)"""
+SESSION_SQL = f"with {SESSION_CTE} select * from so"
 
 
 def player_rtp_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,37 +98,77 @@ q as (select * from (values ('p10', 0.1e0), ('p33', 1.0e0 / 3.0e0), ('p50', 0.5e
 select name, round(rtp, 9) "value" from q join o on rk = least(greatest(floor(q * n)::bigint, 0), n - 1)"""
 
 
+def _interval_sql(rows: str) -> str:
+    """CTEs: ci (id, lo, hi), the exact binomial intervals of ``rows`` (id, k, n), by halving on the binomial tail."""
+    x = "((a + b) / 2)"
+    tail = f"list_sum(list_transform(range(m, n + 1), lambda j: exp(lgamma(n + 1.0e0) - lgamma(j + 1.0e0) - lgamma(n - j + 1.0e0) + j * ln{x} + (n - j) * ln(1 - {x}))))"
+    return f"""bi as (select id, side, k + side m, n, case side when 0 then 0.025e0 else 0.975e0 end t, 0.0e0 a, 1.0e0 b, 0 i from {rows} cross join (values (0), (1)) s(side)
+  union all select id, side, m, n, t, case when {tail} < t then {x} else a end, case when {tail} < t then b else {x} end, i + 1 from bi where i < 54),
+ci as (select id, max(case when side = 0 then case when m = 0 then 0 else {x} end end) lo, max(case when side = 1 then case when m > n then 1 else {x} end end) hi from bi where i = 54 group by id)"""
+
+
+INTERVAL = ("share", "lo", "hi")
+
+
 def quantile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimator.rtp_quantiles(_rounds(spark, sf_dir))
+    return _rounded(estimator.rtp_quantiles(_rounds(spark, sf_dir)), ("q", "value", "lo", "hi"))
+
+
+QUANTILE_CI_SQL = f"""with recursive {LEDGER_SQL}, p as (select player_id, sum(total_win)::double / sum(bet)::double rtp from led group by player_id),
+o as (select rtp, row_number() over (order by rtp) - 1 rk, count(*) over () n from p),
+q as (select * from (values ('p10', 0.1e0), ('p33', 1.0e0 / 3.0e0), ('p50', 0.5e0), ('p67', 2.0e0 / 3.0e0), ('p90', 0.9e0)) v(name, q)),
+r as (select name id, least(greatest(floor(q * n)::bigint, 1), n - 1) k, n, q from q cross join (select count(*) n from p)),
+{_interval_sql('r')},
+places as (select id, q, n, least(greatest(floor(q * n)::bigint, 0), n - 1) mid, floor(lo * n)::bigint low, greatest(floor(hi * n)::bigint - 1, 0) high from r join ci using (id))
+select id "name", round(q, 9) q, round(m.rtp, 9) "value", round(l.rtp, 9) lo, round(h.rtp, 9) hi from places join o m on m.rk = mid join o l on l.rk = low join o h on h.rk = high"""
 
 
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimator.session_shares(_rounds(spark, sf_dir), 20)
+    return _rounded(estimator.session_shares(_rounds(spark, sf_dir), 20), INTERVAL)
+
+
+CLOPPER_SQL = f"""with recursive {SESSION_CTE},
+c as (select v.id, count(*) filter (case v.id when 'bust' then bust when 'cashout' then cashout else alive end) k, count(*) n from so cross join (values ('bust'), ('cashout'), ('alive')) v(id) group by v.id),
+{_interval_sql('c')}
+select id "name", k, n, round(k / n::double, 9) share, round(lo, 9) lo, round(hi, 9) hi from c join ci using (id)"""
 
 
 def player_rtp_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(estimator.rtp_cdf(_rounds(spark, sf_dir)), ("share",))
+    return _rounded(estimator.rtp_cdf(_rounds(spark, sf_dir)), INTERVAL)
 
 
-CDF_SQL = f"""with {LEDGER_SQL}, p as (select player_id, sum(total_win)::double / sum(bet)::double rtp from led group by player_id)
-select mark, count(*) players, count(*) filter (rtp <= mark) at_most, round(count(*) filter (rtp <= mark) / count(*)::double, 9) share
-from p cross join (values (0.3e0), (0.5e0), (0.7e0), (1.0e0)) v(mark) group by mark"""
+CDF_SQL = f"""with recursive {LEDGER_SQL}, p as (select player_id, sum(total_win)::double / sum(bet)::double rtp from led group by player_id),
+c as (select mark id, count(*) filter (rtp <= mark) k, count(*) n from p cross join (values (0.3e0), (0.5e0), (0.7e0), (1.0e0)) v(mark) group by mark),
+{_interval_sql('c')}
+select id mark, n players, k at_most, round(k / n::double, 9) share, round(lo, 9) lo, round(hi, 9) hi from c join ci using (id)"""
 
 
 def event_count_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimator.event_counts(_rounds(spark, sf_dir))
+    return _rounded(estimator.event_counts(_rounds(spark, sf_dir)), INTERVAL)
 
 
-EVENT_SQL = f"""with {LEDGER_SQL}, p as (select player_id, sum(trig) k from led group by player_id) select least(k, 3)::int times, count(*) players from p group by 1"""
+EVENT_SQL = f"""with recursive {LEDGER_SQL}, p as (select player_id, sum(trig) k from led group by player_id),
+c as (select t id, count(*) filter (least(k, 3) = t) k, count(*) n from p cross join range(4) v(t) group by t),
+{_interval_sql('c')}
+select id::int times, k players, n "of", round(k / n::double, 9) share, round(lo, 9) lo, round(hi, 9) hi from c join ci using (id)"""
 
 
 def bucket_count_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimator.bucket_counts(_rounds(spark, sf_dir))
+    return _rounded(estimator.bucket_counts(_rounds(spark, sf_dir)), INTERVAL)
+
 
+BUCKET_COUNT_SQL = f"""with recursive {LEDGER_SQL}, b as (select player_id, {_bucket_sql('total_win')} b from led),
+p as (select player_id, v.bucket, v.label, least(3, count(*) filter (b = v.bucket)) k from b cross join (values {_LABELS}) v(bucket, label) group by 1, 2, 3),
+c as (select 4 * bucket + t id, bucket, label, t, count(*) filter (k = t) k, count(*) n from p cross join range(4) v(t) group by bucket, label, t),
+{_interval_sql('c')}
+select bucket::int bucket, label, t::int times, k players, n "of", round(k / n::double, 9) share, round(lo, 9) lo, round(hi, 9) hi from c join ci using (id)"""
 
-BUCKET_COUNT_SQL = f"""with {LEDGER_SQL}, b as (select player_id, {_bucket_sql('total_win')} b from led),
-p as (select player_id, v.bucket, v.label, least(3, count(*) filter (b = v.bucket)) k from b cross join (values {_LABELS}) v(bucket, label) group by 1, 2, 3)
-select bucket::int bucket, label, times::int times, count(*) filter (k = times) players from p cross join range(4) t(times) group by 1, 2, 3"""
+
+def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of each kind of event, merged to the report of all."""
+    names = ("rounds", "total_bet", "total_win", "base_win", "free_win", "triggers", "no_win_rounds", *ROUNDED)
+    rows = _rounds(spark, sf_dir).withColumn("kind", F.col("player_id") % 5)
+    return _rounded(report.merge(report.summary(rows, "kind")).select(*names), ROUNDED)
 
 
 # boards: 5 columns and 3 rows of 7 symbols, from order keys
@@ -316,6 +358,30 @@ def spin_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLATTEN_SQL = f'with {ACTS_CTE} select spin_id, 0 mode, "round", step, act, \'act\' acttype, actwin, stepaccwin, roundaccwin, nowtotalwin, 0 n_details from a'
 
+def buffer_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as a recorder's buffer: views record, errors discard, clicks replace the pending win, the others land acts."""
+    kind = F.col("event_type")
+    kinds = F.when(kind == "view", "detail").when(kind == "error", "discard").when(kind == "click", "set_win").otherwise("act")
+    none = F.lit(None)
+    rows = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("spin_id"), "event_id", kinds.alias("kind"), F.floor("value").alias("win"), F.array(F.col("event_id") % 15).cast("array<smallint>").alias("hits"),
+        kind.alias("acttype"), F.when(kind == "purchase", "round").otherwise("step").alias("finish"), none.cast("array<smallint>").alias("screen"),
+    )
+    landed = acts.land_acts(rows, "spin_id", order="event_id")
+    return landed.select("spin_id", "event_id", "acttype", "round", "step", "act", "is_round_end", "is_step_end", "actwin", "nowtotalwin", "roundaccwin", "stepaccwin", F.size("details").alias("n_details"))
+
+
+BUFFER_SQL = """with e as (select user_id spin_id, event_id, event_type, floor(value)::bigint win, (event_type in ('signup', 'purchase'))::int lands from events),
+g as (select *, coalesce(sum(lands) over (partition by spin_id order by event_id rows between unbounded preceding and 1 preceding), 0) n from e),
+d as (select *, coalesce(max(event_id) filter (event_type = 'error') over (partition by spin_id, n), -1) gone from g),
+c as (select *, coalesce(max(event_id) filter (event_type = 'click' and event_id > gone) over (partition by spin_id, n), -1) put from d),
+l as (select spin_id, n, max(event_id) filter (lands = 1) event_id, max(event_type) filter (lands = 1) acttype,
+  coalesce(sum(win) filter (event_type in ('view', 'click') and event_id > gone and event_id >= put), 0)::bigint actwin, (count(*) filter (event_type = 'view' and event_id > gone))::int n_details from c group by 1, 2),
+a as (select *, acttype = 'purchase' is_round_end, true is_step_end from l where event_id is not null),
+r as (select *, coalesce(sum(is_round_end::int) over (partition by spin_id order by event_id rows between unbounded preceding and 1 preceding), 0)::int "round" from a)
+select spin_id, event_id, acttype, "round", (row_number() over w - 1)::int step, 0 act, is_round_end, is_step_end, actwin, (sum(actwin) over (partition by spin_id order by event_id))::bigint nowtotalwin,
+  (sum(actwin) over w)::bigint roundaccwin, actwin stepaccwin, n_details from r window w as (partition by spin_id, "round" order by event_id)"""
+
 TAGGER = tags.Tagger(["bg", "fg"])
 
 
@@ -379,84 +445,96 @@ LUT_SQL = "select p_partkey, array_to_string(list_concat(list_concat([0 for i in
 
 
 def alias_mass_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mass that each part's alias table over three weights gives each index."""
+    """The mass that each part's alias table over three weights gives each index; parts of one size share a table."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, size in zip(pdf["p_partkey"], pdf["p_size"], strict=True):
-                mass = sampling.alias_mass(*sampling.alias_table([int(size) % 4 + 1, int(size) % 3, int(size) % 5]))
-                rows += [(int(key), i, int(m)) for i, m in enumerate(mass)]
-            yield pd.DataFrame(rows, columns=["p_partkey", "idx", "mass"])
+        for batch in batches:
+            sizes = batch.column(0).to_pylist()
+            mass = [sampling.alias_mass(*sampling.alias_table([n % 4 + 1, n % 3, n % 5])).tolist() for n in sizes]
+            yield pa.RecordBatch.from_pydict({"size": pa.array(sizes, pa.int32()), "masses": pa.array(mass, pa.list_(pa.int64()))})
 
-    return _table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, idx int, mass long")
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    tables = parts.select("p_size").distinct().mapInArrow(run, "size int, masses array<long>")
+    return parts.join(tables, parts["p_size"] == tables["size"]).select("p_partkey", F.posexplode("masses").alias("idx", "mass"))
 
 
 ALIAS_SQL = "select p_partkey, i::int idx, (3 * [p_size % 4 + 1, p_size % 3, p_size % 5][i + 1])::bigint mass from part, range(3) t(i)"
 
 
-def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean and population deviation of prices for each brand, in two passes."""
+#: Parts that a class, here a brand, collects: the tuner's functions work on such samples.
+QUOTA = 200
+
+
+def _per_class(spark: SparkSession, sf_dir: str, schema: str, work) -> DataFrame:
+    """``work`` (wins, weights, keys) -> columns, on the collected sample of each class; wins rise, with the key where they tie."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("p_retailprice", "ascending"), ("p_partkey", "ascending")]))
+        out = work(table["p_retailprice"].to_numpy(), table["p_size"].to_numpy().astype(float), table["p_partkey"].to_numpy())
+        n = len(next(iter(out.values())))
+        return pa.table({"p_brand": pa.array([table["p_brand"][0].as_py()] * n, pa.string())} | {k: pa.array(v) for k, v in out.items()})
+
     rows = _parts(spark, sf_dir)
-    w, x = F.col("p_size").cast("double"), F.col("p_retailprice")
-    mean = rows.groupBy("p_brand").agg((F.sum(w * x) / F.sum(w)).alias("mean"))
-    both = rows.join(mean, "p_brand")
-    return both.groupBy("p_brand").agg(F.round(F.first("mean"), 9).alias("mean"), F.round(F.sqrt(F.sum(w * (x - F.col("mean")) ** 2) / F.sum(w)), 9).alias("std"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return rows.withColumn("place", place).where(F.col("place") <= QUOTA).drop("place").groupBy("p_brand").applyInArrow(run, f"p_brand string, {schema}")
 
 
-MOMENTS_SQL = """with m as (select p_brand, sum(p_size * p_retailprice) / sum(p_size) mean from part group by 1)
-select p_brand, round(any_value(mean), 9) mean, round(sqrt(sum(p_size * (p_retailprice - mean) ** 2) / sum(p_size)), 9) std from part join m using (p_brand) group by 1"""
+SAMPLE_CTE = f"s as (select * from (select *, row_number() over (partition by p_brand order by p_partkey) place from part) where place <= {QUOTA})"
+
+
+def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean and population deviation of prices in each class."""
+    out = _per_class(spark, sf_dir, "mean double, std double", lambda x, w, _: {"mean": [tuner.mean_of(x, w / w.sum())], "std": [tuner.population_std(x, w)]})
+    return _rounded(out, ("mean", "std"))
+
+
+MOMENTS_SQL = f"""with {SAMPLE_CTE}, m as (select p_brand, sum(p_size * p_retailprice) / sum(p_size) mean from s group by 1)
+select p_brand, round(any_value(mean), 9) mean, round(sqrt(sum(p_size * (p_retailprice - mean) ** 2) / sum(p_size)), 9) std from s join m using (p_brand) group by 1"""
 
 
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _parts(spark, sf_dir).withColumns({"upto": F.sum("p_size").over(order), "total": F.sum("p_size").over(Window.partitionBy("p_brand"))})
-    return rows.where("2 * upto >= total").groupBy("p_brand").agg(F.min("p_retailprice").alias("median"))
+    return _per_class(spark, sf_dir, "median double", lambda x, w, _: {"median": [tuner.median_of(x, w)]})
 
 
-MEDIAN_SQL = """with c as (select p_brand, p_retailprice, sum(p_size) over (partition by p_brand order by p_retailprice, p_partkey rows unbounded preceding) upto, sum(p_size) over (partition by p_brand) total from part)
+MEDIAN_SQL = f"""with {SAMPLE_CTE}, c as (select p_brand, p_retailprice, sum(p_size) over (partition by p_brand order by p_retailprice, p_partkey rows unbounded preceding) upto, sum(p_size) over (partition by p_brand) total from s)
 select p_brand, min(p_retailprice) median from c where 2 * upto >= total group by 1"""
 
 
 def gaussian_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pdf = F.exp(-0.5 * ((F.col("p_retailprice") - 1500.0) / 200.0) ** 2) / (200.0 * F.sqrt(F.lit(2 * float(np.pi))))
-    rows = _parts(spark, sf_dir).select("p_partkey", "p_brand", pdf.alias("w"))
-    total = rows.groupBy("p_brand").agg(F.sum("w").alias("total"))
-    return rows.join(total, "p_brand").select("p_partkey", F.round(F.col("w") / F.col("total"), 9).alias("weight"))
+    def work(x, _, keys):
+        w = tuner.normal_pdf(x, 1500.0, 200.0)
+        return {"p_partkey": keys, "weight": w / w.sum()}
+
+    return _rounded(_per_class(spark, sf_dir, "p_partkey long, weight double", work).drop("p_brand"), ("weight",))
 
 
-GAUSS_SQL = """with g as (select p_partkey, p_brand, exp(-0.5e0 * ((p_retailprice - 1500.0e0) / 200.0e0) ** 2) / (200.0e0 * sqrt(2 * pi())) w from part)
+GAUSS_SQL = f"""with {SAMPLE_CTE}, g as (select p_partkey, p_brand, exp(-0.5e0 * ((p_retailprice - 1500.0e0) / 200.0e0) ** 2) / (200.0e0 * sqrt(2 * pi())) w from s)
 select p_partkey, round(w / sum(w) over (partition by p_brand), 9) weight from g"""
 
 
 def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each brand the mix of weights by price and by inverse price whose mean lies a quarter of the way up."""
-    x = F.col("p_retailprice")
-    rows = _parts(spark, sf_dir)
-    sums = rows.groupBy("p_brand").agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.sum(1 / x).alias("s0"), F.count("*").alias("n"))
-    high, low = F.col("s2") / F.col("s1"), F.col("n") / F.col("s0")
-    target = low + (high - low) / 4
-    sums = sums.withColumn("p", F.when(high == low, F.lit(1.0)).otherwise((target - low) / F.when(high != low, high - low)))
-    both = rows.join(sums, "p_brand")
-    weight = F.col("p") * (x / F.col("s1")) + (1 - F.col("p")) * ((1 / x) / F.col("s0"))
-    return both.select("p_partkey", F.round(weight, 9).alias("weight"))
+    """In each class the mix of weights by price and by inverse price whose mean lies a quarter of the way up."""
+
+    def work(x, _, keys):
+        high, low = x / x.sum(), (1 / x) / (1 / x).sum()
+        a, b = tuner.mean_of(x, high), tuner.mean_of(x, low)
+        return {"p_partkey": keys, "weight": tuner.blend(x, high, low, b + (a - b) / 4)}
+
+    return _rounded(_per_class(spark, sf_dir, "p_partkey long, weight double", work).drop("p_brand"), ("weight",))
 
 
-BLEND_SQL = """with s as (select p_brand, sum(p_retailprice) s1, sum(p_retailprice * p_retailprice) s2, sum(1.0e0 / p_retailprice) s0, count(*) n from part group by 1),
-q as (select *, case when s2 / s1 = n / s0 then 1.0e0 else ((n / s0 + (s2 / s1 - n / s0) / 4) - n / s0) / (s2 / s1 - n / s0) end p from s)
-select p_partkey, round(p * (p_retailprice / s1) + (1 - p) * ((1.0e0 / p_retailprice) / s0), 9) weight from part join q using (p_brand)"""
+BLEND_SQL = f"""with {SAMPLE_CTE}, t as (select p_brand, sum(p_retailprice) s1, sum(p_retailprice * p_retailprice) s2, sum(1.0e0 / p_retailprice) s0, count(*) n from s group by 1),
+q as (select *, case when s2 / s1 = n / s0 then 1.0e0 else ((n / s0 + (s2 / s1 - n / s0) / 4) - n / s0) / (s2 / s1 - n / s0) end p from t)
+select p_partkey, round(p * (p_retailprice / s1) + (1 - p) * ((1.0e0 / p_retailprice) / s0), 9) weight from s join q using (p_brand)"""
 
 
 def quantize_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of each brand as whole parts of 2**52 / n."""
-    rows = _parts(spark, sf_dir)
-    sums = rows.groupBy("p_brand").agg(F.sum("p_size").alias("total"), F.count("*").alias("n"))
-    base = F.greatest(F.expr(f"{tuner.ACCURACY}L div n"), F.lit(1))
-    return rows.join(sums, "p_brand").select("p_partkey", F.floor(F.col("p_size") / F.col("total") * base.cast("double")).alias("weight"))
+    """Sizes in each class as whole parts of 2**52 / n."""
+    return _per_class(spark, sf_dir, "p_partkey long, weight long", lambda _, w, keys: {"p_partkey": keys, "weight": tuner.quantize(w)}).drop("p_brand")
 
 
-QUANTIZE_SQL = f"""with s as (select p_brand, sum(p_size) total, count(*) n from part group by 1)
-select p_partkey, floor(p_size::double / total::double * greatest({tuner.ACCURACY} // n, 1)::double)::bigint weight from part join s using (p_brand)"""
+QUANTIZE_SQL = f"""with {SAMPLE_CTE}, t as (select p_brand, sum(p_size) total, count(*) n from s group by 1)
+select p_partkey, floor(p_size::double / total::double * greatest({tuner.ACCURACY} // n, 1)::double)::bigint weight from s join t using (p_brand)"""
 
 
 def gamma_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,6 +566,50 @@ def simulate_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(engine.simulate("demo_normal", 1_000_000))
 
 
+SPINS, SPIN_SEED = 2000, 11
+
+
+def simulate_line_spins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spins of the line game one by one."""
+    rows = Engine(spark, games=[demo.line_game()]).simulate("demo_normal", SPINS, seed=SPIN_SEED)
+    return rows.select("spin_id", "bet", "total_win", "base_win", "trigger")
+
+
+def _spins_sql() -> str:
+    """The same from scratch: counter-based draws as 128-bit whole numbers, reel windows, and runs along each line."""
+    game, two64 = demo.line_game(), "18446744073709551616::uhugeint"
+    golden, m1, m2, gap = (f"{x}::uhugeint" for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03))
+    key = int(rng.splitmix(np.array([SPIN_SEED], np.uint64))[0])
+
+    def mixed(name: str, source: str, x: str, keep: str) -> str:
+        steps = [f"{name}0 as (select {keep}, ({x} + {golden}) % {two64} x from {source})", f"{name}1 as (select {keep}, (xor(x, x >> 30) * {m1}) % {two64} x from {name}0)"]
+        return ", ".join([*steps, f"{name}2 as (select {keep}, (xor(x, x >> 27) * {m2}) % {two64} x from {name}1)", f"{name} as (select {keep}, xor(x, x >> 31) x from {name}2)"])
+
+    reels = [[list(r.symbols) for r in mode.reel_sets[0].reels] for mode in game.modes]
+    pays = [[list(p) for p in mode.pay_table] for mode in game.modes]
+    free = game.fixed["free_round"]
+    cells = ", ".join(f"{{reels}}[free][{c + 1}][(s[{c + 1}] + {r}) % len({{reels}}[free][{c + 1}]) + 1]" for r in range(3) for c in range(5)).format(reels=f"({reels})")
+    lines = ", ".join(f"{[r * 5 + c + 1 for c, r in enumerate(line)]}" for line in game.modes[0].lines)
+    run = "case " + " ".join(f"when not (c[{i}] = 2 or c[{i}] = ns) then {i - 1}" for i in range(1, 6)) + " else 5 end"
+    lead = "case " + " ".join(f"when c[{i}] <> 2 then {i - 1}" for i in range(1, 6)) + " else 5 end"
+    pay = lambda s, n: f"coalesce(({pays})[free][({s}) + 1][{n}], 0)"
+    return f"""with i as (select range id, xor(range::ubigint, {key}::ubigint)::uhugeint x from range({SPINS})), {mixed('st', 'i', 'x', 'id')},
+n as (select id, x, r, c, (r > 0)::int + 1 free, r * 4096 + 1 + c num from st cross join range({free + 1}) a(r) cross join range(5) b(c)),
+{mixed('dr', 'n', f'(x + num::uhugeint * {gap})', 'id, r, c, free')},
+s as (select id, r, any_value(free) free, list(((x * len(({reels})[free][c + 1])::uhugeint) >> 64)::bigint order by c) s from dr group by id, r),
+b as (select id, r, free, [{cells}] board from s),
+x as (select id, r, free, board, list_transform(line, lambda p: board[p]) c from b cross join (select unnest([{lines}]) line)),
+w as (select *, {lead} wr from x), m as (select *, c[wr + 1] ns from w), k as (select *, case when ns is null or ns < 2 then 0 else {run} end nr from m),
+f as (select id, r, sum(greatest({pay('c[1]', 'wr')} * (wr > 0)::int, {pay('coalesce(ns, 99)', 'nr')})) win, any_value(len(list_filter(board, lambda v: v = 1))) scatters from k group by id, r),
+t as (select id, (max(case when r = 0 then scatters end) > 2)::int trigger, sum(case when r = 0 then win end) base, sum(case when r > 0 then win end) free from f group by id)
+select id spin_id, 40::bigint bet, (base + trigger * free)::bigint total_win, base::bigint base_win, trigger from t"""
+
+
+def result_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All acts of spins of the cascade game, flattened."""
+    return wire.flatten_acts(Engine(spark, games=[demo.cascade_game()]).results("demo_cascade", SPINS, seed=SPIN_SEED))
+
+
 def simulate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, games=[demo.cascade_game()])
     return report.summary(engine.simulate("demo_cascade", 100_000))
@@ -546,8 +668,9 @@ ENTRIES = {
     "player_rtp_cdf": (player_rtp_cdf, CDF_SQL),
     "event_count_dist": (event_count_dist, EVENT_SQL),
     "bucket_count_dist": (bucket_count_dist, BUCKET_COUNT_SQL),
-    "quantile_ci": (quantile_ci, None),
-    "clopper_pearson": (clopper_pearson, None),
+    "quantile_ci": (quantile_ci, QUANTILE_CI_SQL),
+    "clopper_pearson": (clopper_pearson, CLOPPER_SQL),
+    "merged_report": (merged_report, STAT_SQL),
     "line_scores": (_line_scores("line_ltr"), _line_sql("[false]")),
     "line_scores_rtl": (_line_scores("line_rtl"), _line_sql("[true]")),
     "line_scores_both": (_line_scores("line_both"), _line_sql("[false, true]")),
@@ -562,6 +685,7 @@ ENTRIES = {
     "reel_window": (reel_window, REEL_SQL),
     "acts_running_totals": (acts_running_totals, ACTS_SQL),
     "spin_flatten": (spin_flatten, FLATTEN_SQL),
+    "buffer_acts": (buffer_acts, BUFFER_SQL),
     "tag_bits": (tag_bits, TAG_SQL),
     "tag_match": (tag_match, MATCH_SQL),
     "stratified_collect": (stratified_collect, COLLECT_SQL),
@@ -577,6 +701,8 @@ ENTRIES = {
     "gamma_weights": (gamma_weights, None),
     "tune": (tune, None),
     "simulate_line": (simulate_line, None),
+    "simulate_line_spins": (simulate_line_spins, _spins_sql()),
+    "result_acts": (result_acts, None),
     "simulate_cascade": (simulate_cascade, None),
     "player_study": (player_study, None),
     "spin_requests": (spin_requests, None),
