@@ -3,7 +3,7 @@
 A board is an array of symbol indexes, row by row.  Boards are scored a batch at a time in numpy inside ``mapInArrow``: a line is read by a small
 automaton, ways and counts are sums of matches by column and board, clusters grow as integers of bits (see :mod:`.cluster`).  As expressions the
 same rules are either lambdas, which are interpreted for each cell, or methods too large for the JVM to compile; both were measured
-to be ten times slower and more.  Transforms are expressions without lambdas.
+to be ten times slower and more.  Transforms come both as expressions, without lambdas, and in batches.
 """
 
 from __future__ import annotations
@@ -209,19 +209,19 @@ def scorer(mode: Mode) -> Scorer:
     return SCORERS[kind](mode)
 
 
-def cells_of(column: pa.Array, size: int, symbols: int) -> np.ndarray:
-    """int16 (boards, size) of a list column; missing cells and what is no symbol become ``symbols``."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().fill_null(symbols).to_numpy(zero_copy_only=False)
+def cells_of(column: pa.Array, size: int, symbols: int, missing: int | None = None) -> np.ndarray:
+    """(boards, size) of a list column; missing cells and what is no symbol become ``missing``, or ``symbols`` if none is named."""
+    missing = symbols if missing is None else missing
+    flat = column.flatten().fill_null(missing).to_numpy(zero_copy_only=False)
     length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     if (length == size).all():
         out = flat.reshape(-1, size)
     else:
-        out = np.full((len(length), size), symbols, flat.dtype)
+        out = np.full((len(length), size), missing, flat.dtype)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
         row = np.repeat(np.arange(len(length)), length)
         out[row[place < size], place[place < size]] = flat[place < size]
-    return np.where((out >= 0) & (out < symbols), out, symbols).astype(np.int16)
+    return np.where((out >= 0) & (out < symbols), out, missing).astype(flat.dtype)
 
 
 def found_details(found: list[Found], n: int) -> pa.Array:
@@ -289,7 +289,7 @@ def _column(board: Column, c: int, columns: int, rows: int) -> list[Column]:
 
 def _full(cells: Sequence[Column]) -> Column:
     """How many cells are not empty."""
-    return _sum([F.lit(0), *(F.when(x != 0, 1).otherwise(0) for x in cells)])
+    return _sum([F.lit(0), *((x != 0).cast("int") for x in cells)]) if cells else F.lit(0)
 
 
 def _fallen(cells: list[Column]) -> list[Column]:
@@ -326,14 +326,77 @@ def fill(board: Column, strips: list[list[int]], positions: Column, columns: int
     """struct(board, positions): empty cells filled from the bottom; a reel steps back one symbol before each, and wraps."""
     parts, left = [], []
     for c in range(columns):
-        cells, strip, n = _column(board, c, columns, rows), _table(strips[c], "short"), len(strips[c])
-        pos = F.get(positions, F.lit(c)).cast("int")
-        # the k-th hole from the bottom takes the symbol k back
-        parts.append([F.when(x == 0, F.get(strip, F.pmod(pos - (rows - r - _full(cells[r:])), F.lit(n)))).otherwise(x) for r, x in enumerate(cells)])
-        left.append(F.pmod(pos - (rows - _full(cells)), F.lit(n)))
+        cells, n = _column(board, c, columns, rows), len(strips[c])
+        at = F.pmod(F.get(positions, F.lit(c)).cast("int"), F.lit(n))
+        # the k-th hole from the bottom takes the symbol k back; the strip is unrolled, so that no step back wraps
+        strip = _table([strips[c][(i - rows) % n] for i in range(n + rows)], "short")
+        parts.append([F.when(x == 0, F.get(strip, at + _full(cells[r:]) + r)).otherwise(x) for r, x in enumerate(cells)])
+        left.append(F.pmod(at + _full(cells) - rows, F.lit(n)))
     return F.struct(_board(parts).alias("board"), F.array(*left).alias("positions"))
 
 
+def fall(boards: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(boards (n, rows, columns) whose symbols fell in each column, empty cells of each column)."""
+    grid = boards.reshape(-1, rows, columns)
+    full = grid != 0
+    # a symbol's row is as far from the bottom as there are symbols below it
+    below = full[:, ::-1].cumsum(1, dtype=np.int8)[:, ::-1]
+    out = np.zeros_like(grid)
+    n, r, c = np.nonzero(full)
+    out[n, rows - below[n, r, c], c] = grid[n, r, c]
+    return out, rows - below[:, 0].astype(np.int64)
+
+
+def refill(grid: np.ndarray, strips: Sequence[Sequence[int]], positions: np.ndarray) -> np.ndarray:
+    """Fill the empty cells of boards (n, rows, columns) in place, from the bottom; the positions that the reels have stepped back to."""
+    size = np.array([len(s) for s in strips])
+    table = np.stack([np.resize(np.asarray(s, grid.dtype), size.max()) for s in strips])
+    holes = grid == 0
+    nth = holes[:, ::-1].cumsum(1, dtype=np.int64)[:, ::-1]
+    n, r, c = np.nonzero(holes)
+    grid[n, r, c] = table[c, (positions[n, c] - nth[n, r, c]) % size[c]]
+    return (positions - nth[:, 0]) % size
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    flat = values.reshape(len(values), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int32)), pa.array(flat.ravel(), kind))
+
+
+def _batched(boards: DataFrame, columns: dict[str, str], inputs: Sequence[Column], work) -> DataFrame:
+    """``boards`` with further ``columns`` (name to type), which ``work`` makes of the arrays in ``inputs``, a batch at a time."""
+    width, names = len(boards.columns), [*boards.columns, *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *work(*batch.columns[width:])], names=names)
+
+    rows = boards.select("*", *(c.alias(f"__{i}") for i, c in enumerate(inputs)))
+    return rows.mapInArrow(run, boards.withColumns({k: F.lit(None).cast(t) for k, t in columns.items()}).schema)
+
+
+def drop_boards(boards: DataFrame, columns: int, rows: int, board: str = "board") -> DataFrame:
+    """``boards`` with ``fallen`` and ``fill``: :func:`gravity` and :func:`fill_index`, a batch at a time.  Missing cells are empty."""
+
+    def work(column: pa.Array) -> list[pa.Array]:
+        grid, empty = fall(cells_of(column, columns * rows, 1 << 15, 0), columns, rows)
+        return [_lists(grid, pa.int16()), _lists((empty - 1) * columns + np.arange(columns), pa.int32())]
+
+    return _batched(boards, {"fallen": "array<smallint>", "fill": "array<int>"}, [F.col(board).cast("array<smallint>")], work)
+
+
+def fill_boards(boards: DataFrame, strips: Sequence[Sequence[int]], columns: int, rows: int, board: str = "board", positions: str = "positions") -> DataFrame:
+    """``boards`` with ``filled`` and ``left``: :func:`fill`, a batch at a time.  Missing cells are empty; missing positions are 0."""
+
+    def work(column: pa.Array, at: pa.Array) -> list[pa.Array]:
+        grid = cells_of(column, columns * rows, 1 << 15, 0).reshape(-1, rows, columns)
+        left = refill(grid, strips, cells_of(at, columns, 1 << 31, 0).astype(np.int64))
+        return [_lists(grid, pa.int16()), _lists(left, pa.int32())]
+
+    return _batched(boards, {"filled": "array<smallint>", "left": "array<int>"}, [F.col(board).cast("array<smallint>"), F.col(positions).cast("array<int>")], work)
+
+
 def window_of_reels(strips: list[list[int]], starts: Column, rows: int) -> Column:
     """The board that reels show from their start positions."""
     tables = [_table(s, "short") for s in strips]

@@ -282,8 +282,7 @@ def clear_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    board = F.col("cells")
-    return _cleared(spark, sf_dir).withColumnRenamed("board", "cells").select("id", _text(boards.gravity(board, COLS, ROWS)).alias("board"), _text(boards.fill_index(board, COLS, ROWS)).alias("fill"))
+    return boards.drop_boards(_cleared(spark, sf_dir), COLS, ROWS).select("id", _text(F.col("fallen")).alias("board"), _text(F.col("fill")).alias("fill"))
 
 
 def _fallen_sql(k: int) -> str:
@@ -299,8 +298,8 @@ GRAVITY_SQL = f"""with {GRAVITY_CTE} select id, array_to_string(g, ',') board, a
 
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.expr("array(" + ", ".join(f"cast(id % {len(s)} as int)" for s in STRIPS) + ")")
-    rows = _cleared(spark, sf_dir).select("id", boards.fill(F.col("board"), STRIPS, start, COLS, ROWS).alias("f"))
-    return rows.select("id", _text(F.col("f.board")).alias("board"), _text(F.col("f.positions")).alias("positions"))
+    rows = boards.fill_boards(_cleared(spark, sf_dir).withColumn("at", start), STRIPS, COLS, ROWS, positions="at")
+    return rows.select("id", _text(F.col("filled")).alias("board"), _text(F.col("left")).alias("positions"))
 
 
 def _filled(r: int, k: int) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators.boards import Found, scorer
+from ..operators.boards import Found, fall, refill, scorer
 from ..operators.cluster import Clusters
 from ..operators.report import BUCKET_EDGES
 from ..operators.sampling import alias_pick
@@ -208,27 +208,10 @@ def _hits(mode: Mode, boards: np.ndarray, bet_mult: int) -> tuple[np.ndarray, li
     return win, [f._replace(row=number[f.row]) for f in found]
 
 
-def fall(boards: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(boards whose symbols fell in each column, empty cells of each column)."""
-    grid = boards.reshape(-1, rows, columns)
-    full = grid != 0
-    # a symbol's row is as far from the bottom as there are symbols below it
-    below = full[:, ::-1].cumsum(1, dtype=np.int8)[:, ::-1]
-    out = np.zeros_like(grid)
-    n, r, c = np.nonzero(full)
-    out[n, rows - below[n, r, c], c] = grid[n, r, c]
-    return out, rows - below[:, 0].astype(np.int64)
-
-
 def _fall_and_fill(boards: np.ndarray, reels: Reels, pos: np.ndarray, columns: int, rows: int) -> np.ndarray:
     """Symbols fall in each column; empty cells fill from the bottom with the refill reels stepping back."""
-    grid, empty = fall(boards, columns, rows)
-    size = np.array([len(s) for s in reels.strips[1]])
-    strips = np.stack([np.resize(s, size.max()) for s in reels.strips[1]])
-    n, r, c = np.nonzero(np.arange(rows)[None, :, None] < empty[:, None, :])
-    # the lowest empty cell takes the first step back
-    grid[n, r, c] = strips[c, (pos[n, c] - (empty[n, c] - r)) % size[c]]
-    pos[:] = (pos - empty) % size
+    grid, _ = fall(boards, columns, rows)
+    pos[:] = refill(grid, reels.strips[1], pos)
     return grid.reshape(len(boards), -1)
 
 
