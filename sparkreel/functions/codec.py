@@ -19,10 +19,30 @@ def from_base64url(x: Column) -> Column:
     return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="))
 
 
+def to_base64(x: Column) -> Column:
+    """Padded base64 of bytes, on one line."""
+    return F.regexp_replace(F.base64(x), "[\r\n]", "")
+
+
+def from_base64(x: Column) -> Column:
+    return F.unbase64(x)
+
+
 def to_hex(x: Column) -> Column:
     return F.lower(F.hex(x))
 
 
+def encode_base64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def decode_base64(text: str) -> bytes:
+    try:
+        return base64.b64decode(text, validate=True)
+    except binascii.Error as e:
+        raise ValueError("not base64") from e
+
+
 def encode_base64url(data: bytes) -> str:
     return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
 

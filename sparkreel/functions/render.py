@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import yaml
@@ -77,6 +77,53 @@ def report_text(name: str, r: Mapping[str, Any]) -> str:
     return table(rows)
 
 
+def buckets_text(rows: Sequence[Mapping[str, Any]]) -> str:
+    """The distribution of wins as a text table: each bucket's share of all, base and free wins."""
+    body = [(r["label"], *(f"{thousands(r[f'{k}_n'])} ({percent(r[f'{k}_share'])})" for k in ("total", "base", "free"))) for r in rows]
+    return table([("win / bet", "total", "base", "free"), *body])
+
+
+TIMES = ("0 times", "1 time", "2 times", "3+ times")
+QUANTILE_NAMES = {"p50": "Median RTP", "p10": "P10 RTP", "p33": "P33 RTP", "p67": "P67 RTP", "p90": "P90 RTP"}
+
+
+def study_text(study: Mapping[str, Sequence[Mapping[str, Any]]]) -> str:
+    """A player study (quantiles, cdf, triggers, buckets, sessions) as sections, each share with its interval."""
+    share = lambda r: percent_interval(r["share"], r["lo"], r["hi"])
+    by_name = {r["name"]: r for r in study["quantiles"]}
+    rtp = [(label, percent_interval(by_name[k]["value"], by_name[k]["lo"], by_name[k]["hi"])) for k, label in QUANTILE_NAMES.items() if k in by_name]
+    rtp += [(f"\u2264{100 * r['mark']:.0f}% RTP (players)", share(r)) for r in sorted(study["cdf"], key=lambda r: r["mark"])]
+    counts = [(TIMES[r["times"]], share(r)) for r in sorted(study["triggers"], key=lambda r: r["times"])]
+    buckets: dict[tuple[int, str], list[str]] = {}
+    for r in sorted(study["buckets"], key=lambda r: (r["bucket"], r["times"])):
+        buckets.setdefault((r["bucket"], r["label"]), []).append(f"{TIMES[r['times']]}: {percent(r['share'])}")
+    sections = {
+        "RTP (player experience)": rtp,
+        "Trigger counts per player": counts,
+        "Wins per player in each bucket": [(label, ", ".join(x)) for (_, label), x in buckets.items()],
+        "Session outcome": [(r["name"], share(r)) for r in study["sessions"]],
+    }
+    return "\n\n".join(f"{title}\n{table(rows)}" for title, rows in sections.items() if rows)
+
+
+def render(kind: str, report: Mapping[str, Any], title: str = "") -> str:
+    """A report as ``json``, ``yaml`` or ``text``; a registered renderer for any other kind."""
+    if kind not in RENDERERS:
+        raise ValueError(f"no renderer {kind!r}")
+    return RENDERERS[kind](report, title)
+
+
+def _text(report: Mapping[str, Any], title: str) -> str:
+    if "quantiles" in report:
+        return study_text(report)
+    parts = [report_text(title, report.get("summary", report))]
+    return "\n".join([*parts, buckets_text(report["buckets"])] if report.get("buckets") else parts)
+
+
+#: Renderers of reports by kind; add to it to have more.
+RENDERERS: dict[str, Callable[[Mapping[str, Any], str], str]] = {"json": lambda r, _: to_json(r), "yaml": lambda r, _: to_yaml(r), "text": _text}
+
+
 def estimate_text(rows: Sequence[Mapping[str, Any]]) -> str:
     """Estimates (name, value or share, lo, hi) as a text table."""
     return table([(r["name"], percent_interval(r.get("share", r.get("value")), r["lo"], r["hi"])) for r in rows])

@@ -105,6 +105,21 @@ def below(bits: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     return np.where(n > 0, high.astype(np.int64), -1)
 
 
+def pick(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A value for each draw; -1 where there are none."""
+    return values[below(bits, len(values))] if len(values) else np.full(len(bits), -1)
+
+
+def shuffled(state: np.ndarray, n: int, first: int = 0) -> np.ndarray:
+    """(streams, n): a permutation of 0..n-1 for each stream, by exchanges from the end, from draw ``first`` on."""
+    out = np.tile(np.arange(n), (len(state), 1))
+    rows = np.arange(len(state))
+    for i in range(n - 1, 0, -1):
+        j = below(draw(state, first + n - 1 - i), i + 1)
+        out[rows, i], out[rows, j] = out[rows, j], out[rows, i].copy()
+    return out
+
+
 def unit(bits: np.ndarray) -> np.ndarray:
     """[0, 1) on 53 bits."""
     return (bits >> U64(11)).astype(np.float64) * 2.0**-53

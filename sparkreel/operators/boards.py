@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.config import ConfigError, Mode
+from ..sources.config import ConfigError, Mode, bet_kind, reads_left, reads_right
 from .cluster import Clusters
 
 DETAIL = "struct<win:bigint,symbol:smallint,line:int,count:int,comb:int,direction:smallint,hits:array<smallint>>"
@@ -56,7 +56,7 @@ def _sum(columns: Sequence[Column]) -> Column:
 
 
 def _directions(bet_type: str) -> list[int]:
-    return {"ltr": [0], "rtl": [1], "both": [0, 1]}[bet_type.rpartition("_")[2]]
+    return [0] * reads_right(bet_type) + [1] * reads_left(bet_type)
 
 
 def _pays(mode: Mode, most: int) -> np.ndarray:
@@ -203,7 +203,7 @@ SCORERS: dict[str, type] = {"line": Lines, "way": Ways, "count": Counts, "cluste
 
 def scorer(mode: Mode) -> Scorer:
     """What scores boards of the mode's bet type."""
-    kind = mode.bet_type.partition("_")[0]
+    kind = bet_kind(mode.bet_type)
     if kind not in SCORERS:
         raise ConfigError(f"unknown bet type {mode.bet_type!r}")
     return SCORERS[kind](mode)

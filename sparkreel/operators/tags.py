@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,28 @@ def register_tag(name: str, build) -> bool:
     return True
 
 
+def _signed(mask: int) -> int:
+    """64 bits as a long."""
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 class Tagger:
-    """Up to 63 tags in order; tag i is bit i."""
+    """Up to 64 tags in order; tag i is bit i of a long, the last one its sign."""
 
     def __init__(self, names: Sequence[str]) -> None:
         self.names = list(dict.fromkeys(names))
-        if not 1 <= len(self.names) <= 63:
-            raise ValueError("from 1 to 63 tags")
+        if not 1 <= len(self.names) <= 64:
+            raise ValueError("from 1 to 64 tags")
         if unknown := [n for n in self.names if n not in _BUILDERS]:
             raise ValueError(f"unknown tags: {unknown}")
 
     def bits(self) -> Column:
-        return sum((F.when(_BUILDERS[n](), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(self.names)), F.lit(0)).cast("long")
+        none = F.lit(0).cast("long")
+        return reduce(lambda a, b: a.bitwiseOR(b), (F.when(_BUILDERS[n](), F.lit(_signed(1 << i)).cast("long")).otherwise(none) for i, n in enumerate(self.names)))
 
     def mask(self, names: Sequence[str]) -> int:
         """Bits of the names; unknown names have none."""
-        return sum(1 << self.names.index(n) for n in dict.fromkeys(names) if n in self.names)
+        return _signed(sum(1 << self.names.index(n) for n in dict.fromkeys(names) if n in self.names))
 
 
 def covers(bits: Column, mask: int) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError
 from .sampling import alias_table
 
 # Hit probabilities are parts of a million; weights are cut to 52 bits; limits of the searches.
@@ -27,7 +28,7 @@ MOST_TRIES, RETRIES, MERCY = 100_000, 500, 100
 MOST_SAMPLES = 5_000_000
 
 
-class TunerError(ValueError):
+class TunerError(EngineError):
     """A setting that breaks a rule, or a search that found nothing."""
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..sources.config import Game, parse_game
 
-# Pay rows of the line game's base mode by symbol, and its line table.
+# Symbols, pay rows of the line game's base and free modes by symbol, and its line table; pays of the cascade game's paid symbols
+# in both modes, of 5 cells and more.
 LINE_SYMBOLS = ("Z1", "C1", "W1", "H1", "H2", "H3", "L1", "L2", "L3", "L4", "L5")
 LINE_PAYS = (
     (0, 0, 0, 0, 0),
@@ -19,6 +20,19 @@ LINE_PAYS = (
     (0, 0, 10, 40, 120),
     (0, 0, 10, 40, 120),
 )
+LINE_FREE_PAYS = (
+    (0, 0, 0, 0, 0),
+    (0, 0, 0, 0, 0),
+    (0, 0, 120, 1200, 4800),
+    (0, 0, 120, 1200, 4800),
+    (0, 0, 60, 900, 2400),
+    (0, 0, 60, 480, 1800),
+    (0, 0, 30, 240, 480),
+    (0, 0, 30, 240, 480),
+    (0, 0, 30, 240, 480),
+    (0, 0, 30, 240, 360),
+    (0, 0, 30, 240, 360),
+)
 LINES = (
     (1, 1, 1, 1, 1),
     (2, 2, 2, 2, 2),
@@ -37,6 +51,24 @@ LINES = (
     (1, 0, 0, 1, 2),
 )
 CASCADE_SYMBOLS = ("Z1", "C1", "W1", "H1", "H2", "H3", "H4", "L1", "L2", "L3")
+CASCADE_PAYS = (
+    (30, 48, 72, 120, 240, 360, 540, 750),
+    (24, 36, 60, 90, 180, 300, 420, 540),
+    (15, 30, 60, 72, 150, 240, 360, 480),
+    (15, 30, 45, 60, 120, 210, 300, 420),
+    (10, 20, 30, 45, 75, 150, 240, 360),
+    (10, 20, 30, 45, 75, 150, 240, 330),
+    (10, 20, 30, 45, 75, 150, 240, 300),
+)
+CASCADE_FREE_PAYS = (
+    (120, 150, 240, 540, 750, 1000, 1250, 1500),
+    (90, 120, 180, 420, 540, 750, 1000, 1250),
+    (60, 90, 150, 360, 480, 600, 750, 1000),
+    (60, 90, 150, 300, 420, 540, 750, 1000),
+    (40, 60, 120, 240, 360, 480, 600, 840),
+    (40, 60, 120, 240, 330, 480, 600, 840),
+    (40, 60, 120, 240, 300, 480, 600, 840),
+)
 
 
 def _reel(column: int, length: int, low: int, high: int, scatters: int, wilds: int) -> list[int]:
@@ -62,24 +94,22 @@ def _mode(symbols, pays, columns, rows, hit, sets) -> dict:
 
 def line_game(bet_type: str = "line_ltr") -> Game:
     hit = {"bet_type": bet_type, "line_table": [list(x) for x in LINES]}
-    free_pays = [[3 * p for p in row] for row in LINE_PAYS]
     base = [_reel(c, 80, 3, 10, 4, 3 if c else 1) for c in range(5)]
     free = [_reel(c, 70, 3, 10, 0, 4) for c in range(5)]
-    modes = [_mode(LINE_SYMBOLS, LINE_PAYS, 5, 3, hit, [(1, base)]), _mode(LINE_SYMBOLS, free_pays, 5, 3, hit, [(1, free)])]
+    modes = [_mode(LINE_SYMBOLS, LINE_PAYS, 5, 3, hit, [(1, base)]), _mode(LINE_SYMBOLS, LINE_FREE_PAYS, 5, 3, hit, [(1, free)])]
     return parse_game({"game_id": 0, "game_name": "demo_normal", "logic_key": "demo_normal", "bet_units": [40], "max_win_limit": 400000, "game_mode_settings": modes, "fixed": {"free_round": 10}})
 
 
-def cluster_pays(step: int = 1) -> list[list[int]]:
-    """Pays of 5 to 25 cells: nothing under 5, then rising to a cap at 12."""
-    paid = [[0] * 4 + [step * unit * min(n, 12) * max(1, min(n, 12) - 6) // 5 for n in range(5, 26)] for unit in (30, 24, 15, 15, 10, 10, 10)]
-    return [[0] * 25] * 3 + paid
+def cluster_pays(rows: tuple[tuple[int, ...], ...]) -> list[list[int]]:
+    """Pay rows of 25 cells for all symbols: three that pay nothing, then nothing under 5 cells, the given pays, and their last one for more."""
+    return [[0] * 25] * 3 + [[0] * 4 + list(r) + [r[-1]] * (21 - len(r)) for r in rows]
 
 
 def cascade_game() -> Game:
-    def mode(step: int, scatters: int) -> dict:
+    def mode(pays: tuple, scatters: int) -> dict:
         show = [_reel(c, 57 + 2 * c, 3, 9, scatters, 1) for c in range(5)]
         refill = [_reel(c, 33, 3, 9, scatters // 2, 2) for c in range(5)]
-        return _mode(CASCADE_SYMBOLS, cluster_pays(step), 5, 5, {"bet_type": "cluster"}, [(1, show), (0, refill)])
+        return _mode(CASCADE_SYMBOLS, cluster_pays(pays), 5, 5, {"bet_type": "cluster"}, [(1, show), (0, refill)])
 
     fixed = {"max_step": 1000, "free_rounds": 10, "scatter_pay": 300, "trigger": 3}
-    return parse_game({"game_id": 1, "game_name": "demo_cascade", "logic_key": "demo_cascade", "bet_units": [30], "max_win_limit": 600000, "game_mode_settings": [mode(1, 2), mode(2, 0)], "fixed": fixed})
+    return parse_game({"game_id": 1, "game_name": "demo_cascade", "logic_key": "demo_cascade", "bet_units": [30], "max_win_limit": 600000, "game_mode_settings": [mode(CASCADE_PAYS, 2), mode(CASCADE_FREE_PAYS, 0)], "fixed": fixed})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -11,14 +11,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Level
 from ..operators import estimator, report, sessions, tags, tuner
 from ..sources import ledger as ledgers
 from ..sources import simulate as sims
-from ..sources import wire
+from ..sources import record, wire
 from ..sources.config import Catalog, ConfigError, Game, config_files, from_json, from_yaml, load
 
-#: Most rounds, players and rounds of a player in one service request.
-MOST_ROUNDS, MOST_PLAYERS, MOST_PLAYER_ROUNDS = 1_000_000, 100_000, 15_000
+#: Most rounds, players, rounds of a player, replayed rounds and characters of a configuration in one service request.
+MOST_ROUNDS, MOST_PLAYERS, MOST_PLAYER_ROUNDS, MOST_REPLAYED, MOST_CONFIG = 1_000_000, 100_000, 15_000, 5_000, 5 << 20
+
+
+class ServiceError(ConfigError):
+    """A call that breaks a service's rules: the caller's fault."""
+
+    default = Level.WARN
 
 
 def merge_logics(*parts: Mapping[str, sims.Logic]) -> dict[str, sims.Logic]:
@@ -44,12 +51,12 @@ class Engine:
     def game(self, key: int | str | Game) -> Game:
         return key if isinstance(key, Game) else self.catalog.get(key)
 
-    def simulate(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0, bank: tuner.SeedBank | None = None) -> DataFrame:
+    def simulate(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0, bank: tuner.SeedBank | None = None, prng: str = "splitmix") -> DataFrame:
         """A ledger of simulated rounds; ``first_spin`` replays a range, a ``bank`` weights what is played."""
         game = self.game(key)
         if rounds < 0 or not 0 <= bet_mode < len(game.bet_units) or bet_mult < 1:
             raise ConfigError("rounds from 0, a known bet mode and a multiplier from 1 are needed")
-        return sims.simulate(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin, bank)
+        return sims.simulate(self.spark, game, rounds, seed, bet_mode, bet_mult, partitions, self.logics[game.logic_key], first_spin, bank, prng)
 
     def simulate_report(self, key: int | str | Game, rounds: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, first_spin: int = 0, bank: tuner.SeedBank | None = None) -> dict[str, DataFrame]:
         """``summary`` and ``buckets`` of a simulation whose rounds are added up in the tasks that play them."""
@@ -143,22 +150,91 @@ class Engine:
             parts.append((c, np.array([r["win"] for r in own]), [int(r["spin_id"]).to_bytes(8, "little") for r in own]))
         return tuner.tune(parts, target, seed)[0]
 
-    def service(self, name: str, **args: Any) -> list[dict[str, Any]]:
-        """The service's routes as calls with their limits: ``sim``, ``simplayer``, ``stat``, ``games`` and ``health``."""
-        if name == "games":
-            return [r.asDict() for r in self.catalog.summary(self.spark).collect()]  # one row for each game
-        if name == "health":
-            return [{"ok": True, "games": len(self.catalog.ids())}]
-        if name == "stat":
-            return [r.asDict() for r in self.posted_stat(args["ledger"]).collect()]
-        if name == "sim":
-            if not 1 <= args["rounds"] <= MOST_ROUNDS:
-                raise ConfigError(f"rounds from 1 to {MOST_ROUNDS}")
-            return [r.asDict() for r in self.stat(self.simulate(args["game"], args["rounds"], args.get("seed", 1), args.get("bet_mode", 0))).collect()]
-        if name == "simplayer":
-            if not (1 <= args["players"] <= MOST_PLAYERS and 1 <= args["rounds"] <= MOST_PLAYER_ROUNDS):
-                raise ConfigError(f"players from 1 to {MOST_PLAYERS}, rounds from 1 to {MOST_PLAYER_ROUNDS}")
-            rows = self.simulate_players(args["game"], args["players"], args["rounds"], args["init_bets"], args.get("seed", 1))
-            return [r.asDict() for r in self.stat(rows).collect()]
-        raise ConfigError(f"no service {name!r}")
+    def replay(self, key: int | str | Game, rounds: int, snapshot: str = "", seed: int = 1) -> dict[str, Any]:
+        """Spins one after another with their whole results, from the start of ``seed`` or from a snapshot: before, after, bet, total_win,
+        base_win, free_win and ``results``, a frame of (spin_id, gamemodes)."""
+        game = self.game(key)
+        if not 1 <= rounds <= MOST_REPLAYED:
+            raise ServiceError(f"rounds from 1 to {MOST_REPLAYED}")
+        start = (seed, 0)
+        if snapshot and (start := record.restore(snapshot)) is None:
+            raise ServiceError("the snapshot can't be read")
+        found = self.results(game, rounds, start[0], first_spin=start[1])
+        sums = self.simulate(game, rounds, start[0], first_spin=start[1]).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bet", "total_win", "base_win"))).first().asDict()
+        return {"before": record.snapshot(*start), "after": record.snapshot(start[0], start[1] + rounds), **sums, "free_win": sums["total_win"] - sums["base_win"], "results": found}
 
+    def service(self, name: str, **args: Any) -> list[dict[str, Any]]:
+        """The service's routes as calls with their limits: ``spin``, ``sim``, ``simplayer``, ``simbycfg``, ``stat``, ``replay``, ``games`` and
+        ``health``.  What the caller did wrong is a :class:`ServiceError`."""
+        if name not in _ROUTES:
+            raise ServiceError(f"no service {name!r}")
+        try:
+            return _ROUTES[name](self, args)
+        except KeyError as e:
+            raise ServiceError(f"{e.args[0]} is required") from e
+
+
+def _rows(df: DataFrame) -> list[dict[str, Any]]:
+    """Rows of a report, as nested dictionaries."""
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def _within(name: str, value: int, least: int, most: int) -> int:
+    if not least <= value <= most:
+        raise ServiceError(f"{name} from {least} to {most}")
+    return value
+
+
+def _spin(engine: Engine, args: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """One request, decoded from a JSON ``body`` or a ``query`` string, answered with the whole result."""
+    raw = wire.decode_request(args.get("body"), args.get("query"))
+    game = engine.catalog.get(raw["gid"]) if raw.get("gid") in engine.catalog.ids() else None
+    wire.parse_request(raw, game.logic_key if game else "")
+    spins = int(args.get("spin_id", 0))
+    state = raw.get("start_state") or {}
+    row = (spins, raw.get("gid"), raw.get("game"), raw.get("bet"), raw.get("bet_mode", 0), raw.get("bet_mult", 1), (state.get("start_b64u"), state.get("cp")), raw.get("choice", 0), raw.get("has_choice", False))
+    schema = "request_id long, gid long, game string, bet long, bet_mode int, bet_mult int, start_state struct<start_b64u:string,cp:string>, choice int, has_choice boolean"
+    (out,) = _rows(engine.spin(engine.spark.createDataFrame([row], schema), args.get("seed", 1), full=True))
+    if out["error"]:
+        raise ServiceError(out["error"])
+    return [out["result"]]
+
+
+def _sim(engine: Engine, args: Mapping[str, Any]) -> list[dict[str, Any]]:
+    rounds = _within("rounds", args["rounds"], 1, MOST_ROUNDS)
+    return _rows(engine.simulate_report(args["game"], rounds, args.get("seed", 1), args.get("bet_mode", 0))["summary"])
+
+
+def _sim_by_config(engine: Engine, args: Mapping[str, Any]) -> list[dict[str, Any]]:
+    if len(args["config"]) > MOST_CONFIG:
+        raise ServiceError(f"configurations of at most {MOST_CONFIG} characters")
+    rounds = _within("rounds", args["rounds"], 1, MOST_ROUNDS)
+    return _rows(engine.stat(engine.simulate_config(args["config"], rounds, args.get("kind", "json"), args.get("seed", 1))))
+
+
+def _sim_players(engine: Engine, args: Mapping[str, Any]) -> list[dict[str, Any]]:
+    players, rounds = _within("players", args["players"], 1, MOST_PLAYERS), _within("rounds", args["rounds"], 1, MOST_PLAYER_ROUNDS)
+    bets = _within("init_bets", args["init_bets"], 1, 1 << 31)
+    rows = engine.simulate_players(args["game"], players, rounds, bets, args.get("seed", 1), args.get("bet_mode", 0)).persist()
+    try:
+        study = {k: _rows(v) for k, v in engine.player_study(rows, bets).items()} if args.get("study") else {}
+        return [r | ({"study": study} if study else {}) for r in _rows(engine.stat(rows))]
+    finally:
+        rows.unpersist()
+
+
+def _replay(engine: Engine, args: Mapping[str, Any]) -> list[dict[str, Any]]:
+    out = engine.replay(args["game"], args["rounds"], args.get("snapshot", ""), args.get("seed", 1))
+    return [out | {"results": _rows(out["results"].orderBy("spin_id"))}]
+
+
+_ROUTES: dict[str, Callable[[Engine, Mapping[str, Any]], list[dict[str, Any]]]] = {
+    "spin": _spin,
+    "sim": _sim,
+    "simplayer": _sim_players,
+    "simbycfg": _sim_by_config,
+    "replay": _replay,
+    "stat": lambda engine, args: _rows(engine.posted_stat(args["ledger"])),
+    "games": lambda engine, args: _rows(engine.catalog.summary(engine.spark)),
+    "health": lambda engine, args: [{"ok": True, "games": len(engine.catalog.ids())}],
+}

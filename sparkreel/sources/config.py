@@ -16,10 +16,12 @@ from typing import Any, TypeVar
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError
+
 T = TypeVar("T")
 
 
-class ConfigError(ValueError):
+class ConfigError(EngineError):
     """A configuration that breaks a rule."""
 
 
@@ -32,6 +34,41 @@ REEL_TYPES = ("GenReelByReelIdx", "GenReelBySymbolWeight")
 LUT_LIMIT = 10_000_000
 
 
+def parse_bet_type(text: str) -> str | None:
+    """The bet type that a text names; null if it names none."""
+    return text if text in BET_TYPES else None
+
+
+def bet_kind(bet_type: str) -> str:
+    """line, way, count or cluster."""
+    return bet_type.partition("_")[0]
+
+
+def is_line(bet_type: str) -> bool:
+    return bet_kind(bet_type) == "line"
+
+
+def is_way(bet_type: str) -> bool:
+    return bet_kind(bet_type) == "way"
+
+
+def is_count(bet_type: str) -> bool:
+    return bet_type == "count"
+
+
+def is_cluster(bet_type: str) -> bool:
+    return bet_type == "cluster"
+
+
+def reads_right(bet_type: str) -> bool:
+    """Whether hits may run from left to right."""
+    return bet_type.endswith(("_ltr", "_both"))
+
+
+def reads_left(bet_type: str) -> bool:
+    return bet_type.endswith(("_rtl", "_both"))
+
+
 def symbol_type(name: str) -> int:
     """Type number of a symbol name; names outside the six families of nine are ``none``."""
     return SYMBOL_TYPES[name[0]] if re.fullmatch("[ZSCWHL][1-9]", name) else 0
@@ -122,10 +159,10 @@ def _mode(x: Mapping[str, Any]) -> Mode:
     bet_type = hit.get("bet_type")
     _need(bet_type in BET_TYPES, f"unknown bet type {bet_type!r}")
     lines = tuple(tuple(map(int, r)) for r in hit.get("line_table") or ())
-    if bet_type.startswith("line"):
+    if is_line(bet_type):
         _need(bool(lines), "line games need a line table")
         _need(all(len(r) == columns and all(0 <= v < rows for v in r) for r in lines), "a line needs one row number for each column")
-    if bet_type == "count":
+    if is_count(bet_type):
         _need(len(pay[0]) >= columns * rows, "count games need pay rows that cover the whole board")
     reel_type = gen.get("gen_reel_type")
     _need(reel_type in REEL_TYPES, f"unknown reel generator {reel_type!r}")

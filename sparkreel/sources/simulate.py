@@ -53,12 +53,14 @@ class Reels:
             return rng.below(bits, len(rising))
         return np.searchsorted(rising, rng.below(bits, int(rising[-1])), "right")
 
-    def boards(self, state: np.ndarray, first_draw: np.ndarray | int) -> np.ndarray:
-        """int8 (spins, cells): draw ``first_draw`` picks the set, the next ones the columns or cells."""
+    def boards(self, state: np.ndarray, first_draw: np.ndarray | int, fixed: int | None = None) -> np.ndarray:
+        """int8 (spins, cells): draw ``first_draw`` picks the set, unless a ``fixed`` one is wanted; the next ones the columns or cells."""
         mode, n = self.mode, len(state)
         out = np.empty((n, mode.rows, mode.columns), np.int8)
         chosen = np.zeros(n, np.int64)
-        if np.count_nonzero(np.diff(self.set_rising, prepend=0)) > 1:
+        if fixed is not None:
+            chosen[:] = fixed
+        elif np.count_nonzero(np.diff(self.set_rising, prepend=0)) > 1:
             chosen = np.searchsorted(self.set_rising, rng.below(rng.draw(state, first_draw), int(self.set_rising[-1])), "right")
         else:
             chosen[:] = int(np.argmax(self.set_rising > 0))
@@ -332,26 +334,33 @@ def _chunks(spark: SparkSession, spins: int, partitions: int | None) -> DataFram
     return spark.range(0, -(-spins // BATCH), 1, min(partitions or spark.sparkContext.defaultParallelism, max(1, -(-spins // BATCH))))
 
 
-def _played(make: Logic, game: Game, spins: int, seed: int, bet_mult: int, first_spin: int, bank: SeedBank | None):
+def _played(make: Logic, game: Game, spins: int, seed: int, bet_mult: int, first_spin: int, bank: SeedBank | None, prng: str = "splitmix"):
     """A function from batches of chunk numbers to (spin ids, base wins, total wins, triggers) of one chunk after another."""
 
+    draw = rng.GENERATORS.get(prng)
+    if draw is None:
+        raise ValueError(f"no generator {prng}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        rng.GENERATORS.setdefault(prng, draw)  # a registered one travels along
         play = make(game)
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
                 own = first_spin + np.arange(chunk * BATCH, min(spins, (chunk + 1) * BATCH))
-                yield own, *play(rng.streams(seed, own if bank is None else banked(bank, rng.streams(~seed, own))), bet_mult)
+                with rng.using(prng):
+                    rounds = play(rng.streams(seed, own if bank is None else banked(bank, rng.streams(~seed, own))), bet_mult)
+                yield own, *rounds
 
     return run
 
 
-def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0, bank: SeedBank | None = None) -> DataFrame:
+def simulate(spark: SparkSession, game: Game, spins: int, seed: int = 1, bet_mode: int = 0, bet_mult: int = 1, partitions: int | None = None, logic: Logic | None = None, first_spin: int = 0, bank: SeedBank | None = None, prng: str = "splitmix") -> DataFrame:
     """A ledger of ``spins`` spins.  The rows don't depend on ``partitions``; any range of spin ids can be replayed alone.
 
-    With a ``bank`` each spin plays a banked spin id, picked by the bank's weights.
+    With a ``bank`` each spin plays a banked spin id, picked by the bank's weights.  Draws come from the generator ``prng``.
     """
     unit = game.bet_units[bet_mode]
-    played = _played(logic or LOGICS[game.logic_key], game, spins, seed, bet_mult, first_spin, bank)
+    played = _played(logic or LOGICS[game.logic_key], game, spins, seed, bet_mult, first_spin, bank, prng)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, base, total, trigger in played(batches):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 from urllib.parse import parse_qsl
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import Warn
 from ..functions.codec import decode_base64url, from_base64url
 
 REQUEST = "uid string, game string, gid long, bet long, bet_mode int, bet_mult int, cycle int, choice int, has_choice boolean, start_state struct<start_b64u:string,cp:string>"
@@ -24,7 +25,7 @@ MOST_BYTES = 1 << 20
 _NUMBERS = ("gid", "bet", "bet_mode", "bet_mult", "cycle", "choice")
 
 
-class RequestError(ValueError):
+class RequestError(Warn):
     """A request that can't be decoded."""
 
 
@@ -51,12 +52,37 @@ def decode_request(body: str | bytes | None = None, query: str | None = None) ->
     return raw
 
 
+#: Checkpoints by logic key: (text to value, value to text).  JSON unless a game registers its own.
+CHECKPOINTS: dict[str, tuple[Callable[[str], Any], Callable[[Any], str]]] = {}
+
+
+def register_checkpoint(logic_key: str, decode: Callable[[str], Any], encode: Callable[[Any], str]) -> None:
+    """How a logic's checkpoints are read and written; a key can be registered once."""
+    if logic_key in CHECKPOINTS:
+        raise ValueError(f"{logic_key} has a checkpoint codec")
+    CHECKPOINTS[logic_key] = (decode, encode)
+
+
+def decode_checkpoint(logic_key: str, text: str | None) -> Any:
+    """The value of a checkpoint's text; null for none."""
+    if not text:
+        return None
+    try:
+        return CHECKPOINTS.get(logic_key, (json.loads, json.dumps))[0](text)
+    except (ValueError, KeyError, TypeError) as e:
+        raise RequestError("the checkpoint can't be read") from e
+
+
+def encode_checkpoint(logic_key: str, value: Any) -> str | None:
+    return None if value is None else CHECKPOINTS.get(logic_key, (json.loads, json.dumps))[1](value)
+
+
 def has_payload(state: Mapping[str, Any] | None) -> bool:
     return bool(state and (state.get("start_b64u") or state.get("cp")))
 
 
-def parse_request(raw: Mapping[str, Any]) -> dict[str, Any]:
-    """A decoded request with its snapshot as bytes; a choice needs ``has_choice``."""
+def parse_request(raw: Mapping[str, Any], logic_key: str = "") -> dict[str, Any]:
+    """A decoded request with its snapshot as bytes and its checkpoint as the logic reads it; a choice needs ``has_choice``."""
     if raw.get("choice", 0) != 0 and not raw.get("has_choice", False):
         raise RequestError("a choice without has_choice")
     out = dict(raw)
@@ -64,7 +90,7 @@ def parse_request(raw: Mapping[str, Any]) -> dict[str, Any]:
     if has_payload(state):
         try:
             out["snapshot"] = decode_base64url(state.get("start_b64u") or "")
-            out["checkpoint"] = json.loads(state["cp"]) if state.get("cp") else None
+            out["checkpoint"] = decode_checkpoint(logic_key, state.get("cp"))
         except ValueError as e:
             raise RequestError("the start state can't be read") from e
     return out

@@ -6,10 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreel.functions import rng
+from sparkreel import errors
+from sparkreel.__main__ import main as command_line
+from sparkreel.functions import codec, render, rng
+from sparkreel.operators import tags
 from sparkreel.plans import demo
 from sparkreel.plans.engine import Engine
-from sparkreel.sources import record, wire
+from sparkreel.sources import config, record, wire
 from sparkreel.sources import simulate as sims
 
 REQUEST = "request_id long, gid long, game string, bet long, bet_mode int, bet_mult int, start_state struct<start_b64u:string,cp:string>, choice int, has_choice boolean"
@@ -158,3 +161,139 @@ def test_literal_event_sequences(spark):
     assert errors == {(8, 0): "no act to finish", (8, 1): "the screen has another size", (8, 3): "the result has ended", (8, 4): "unknown kind"}
     shown = {r.spin_id: r.screen for r in acts.last_screen(acts.land_acts(events, "spin_id", order="at"), "spin_id", order="at").collect()}
     assert shown[1] == screen and shown[4] == screen and 6 not in shown
+
+
+# services, errors, generators
+
+
+def test_services(spark, engine):
+    (one,) = engine.service("spin", query="gid=0&game=demo_normal&bet=40&bet_mode=0&bet_mult=1", spin_id=5)
+    assert one["win"] == engine.simulate(0, 1, first_spin=5).first().total_win and one["gamemodes"][0]["acts"][0]["acttype"] == "screen"
+    body = json.dumps({"gid": 0, "game": "demo_normal", "bet": 40, "bet_mult": 1, "start_state": {"start_b64u": one["spin_state"]["start_b64u"]}})
+    assert engine.service("spin", body=body)[0] == one
+    (back,) = engine.service("replay", game=0, rounds=3, snapshot=one["spin_state"]["start_b64u"])
+    assert [r["spin_id"] for r in back["results"]] == [5, 6, 7] and back["total_win"] == back["base_win"] + back["free_win"]
+    assert back["results"][0]["gamemodes"] == one["gamemodes"] and record.restore(back["after"]) == (1, 8)
+    (study,) = engine.service("simplayer", game=0, players=4, rounds=6, init_bets=5, study=True)
+    assert {r["name"] for r in study["study"]["sessions"]} == {"bust", "cashout", "alive"}
+    assert "Trigger counts per player" in render.render("text", study["study"]) and render.render("json", study["study"])
+    text = json.dumps({"game_id": 0, "game_name": "demo_normal", "logic_key": "demo_cascade"})
+    for name, args in (("spin", {"query": "gid=0&game=x&bet=40"}), ("spin", {"body": "{"}), ("sim", {"game": 0}), ("sim", {"game": 0, "rounds": 0}), ("replay", {"game": 0, "rounds": 1, "snapshot": "!"}), ("replay", {"game": 0, "rounds": 9999}), ("simplayer", {"game": 0, "players": 1, "rounds": 1, "init_bets": 0}), ("nope", {})):
+        with pytest.raises(errors.EngineError) as e:
+            engine.service(name, **args)
+        assert errors.status_code(e.value) == 400 and not errors.is_fatal(e.value)
+    with pytest.raises(errors.EngineError):
+        engine.service("simbycfg", config=text, rounds=5)
+
+
+def test_error_levels():
+    warn = errors.Warn("no", extra="x")
+    assert str(warn) == "no | x" and errors.level_of(errors.wrap(warn, "outer")) is errors.Level.WARN
+    assert errors.is_fatal(errors.wrap(KeyError("k"), "outer")) and "cause" in str(errors.wrap(KeyError("k"), "outer"))
+    assert errors.is_fatal(errors.EngineError("x")) and not errors.is_fatal(None) and not errors.is_fatal(KeyError("k"))
+    late = errors.EngineError("x")
+    late.__cause__ = TimeoutError()
+    stopped = errors.Warn("x")
+    stopped.__cause__ = InterruptedError()
+    assert [errors.status_code(x) for x in (late, stopped, warn, KeyError("k"))] == [504, 408, 400, 500]
+
+
+def test_checkpoints():
+    assert wire.decode_checkpoint("a", '{"x":1}') == {"x": 1} and wire.decode_checkpoint("a", "") is None
+    wire.register_checkpoint("a", int, str)
+    try:
+        assert wire.decode_checkpoint("a", "7") == 7 and wire.encode_checkpoint("a", 7) == "7" and wire.encode_checkpoint("a", None) is None
+        with pytest.raises(wire.RequestError):
+            wire.decode_checkpoint("a", "x")
+        with pytest.raises(ValueError):
+            wire.register_checkpoint("a", int, str)
+    finally:
+        wire.CHECKPOINTS.clear()
+
+
+def test_bet_types_and_codecs():
+    assert [t for t in config.BET_TYPES if config.is_line(t)] == ["line_ltr", "line_rtl", "line_both"] and [t for t in config.BET_TYPES if config.is_way(t)] == ["way_ltr", "way_rtl", "way_both"]
+    assert config.is_count("count") and config.is_cluster("cluster") and config.parse_bet_type("line_ltr") == "line_ltr" and config.parse_bet_type("LINE") is None
+    assert [config.reads_right(t) + 2 * config.reads_left(t) for t in config.BET_TYPES] == [1, 2, 3, 1, 2, 3, 0, 0]
+    assert codec.decode_base64(codec.encode_base64(b"\xff\xfe?")) == b"\xff\xfe?"
+    with pytest.raises(ValueError):
+        codec.decode_base64("?")
+
+
+def test_draws():
+    state = rng.streams(1, np.arange(2000))
+    bits = rng.draw(state, 3)
+    assert rng.below(bits, 0).tolist() == [-1] * 2000 and rng.below(bits, 1).tolist() == [0] * 2000
+    exact = [int(b) * n >> 64 for b in bits for n in (7, 10**12, 2**62 + 3)]
+    got = np.stack([rng.below(bits, n) for n in (7, 10**12, 2**62 + 3)], 1)
+    differ = [i for i, (a, b) in enumerate(zip(got.ravel().tolist(), exact, strict=True)) if a != b]
+    assert all(i % 3 == 2 for i in differ) and 400 < len(differ) < 600  # a quarter of the numbers is refused there and drawn again
+    assert rng.pick(bits, np.array([])).tolist() == [-1] * 2000 and set(rng.pick(bits, np.array([4, 9])).tolist()) == {4, 9}
+    mixed = rng.shuffled(state, 5)
+    assert (np.sort(mixed, 1) == np.arange(5)).all() and len({tuple(r) for r in mixed.tolist()}) == 120
+    plain = rng.draw(state, np.arange(2000))
+    with rng.using("pcg64"):
+        other = rng.draw(state, np.arange(2000))
+        assert (other != plain).mean() > 0.99 and (rng.draw(state[:1], 7) == rng.draw(np.repeat(state[:1], 8), np.arange(8))[7]).all()
+        u = rng.unit(other)
+        assert abs(u.mean() - 0.5) < 0.03 and abs(u.std() - 12**-0.5) < 0.02
+        # the sequence itself, a step at a time
+        x, out = int(state[0]), []
+        for _ in range(4):
+            x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
+            w = (((x >> ((x >> 59) + 5)) ^ x) * 12605985483714917081) % 2**64
+            out.append((w >> 43) ^ w)
+        assert rng.draw(np.repeat(state[:1], 4), np.arange(4)).tolist() == out
+    with pytest.raises(ValueError), rng.using("nope"):
+        pass
+    with pytest.raises(ValueError):
+        rng.register_generator("pcg64", None)
+
+
+def test_simulation_with_another_generator(engine):
+    one = sorted(map(tuple, engine.simulate(0, 2000, prng="pcg64").collect()))
+    assert one == sorted(map(tuple, engine.simulate(0, 2000, prng="pcg64", partitions=1).collect())) != sorted(map(tuple, engine.simulate(0, 2000).collect()))
+    with pytest.raises(ValueError):
+        engine.simulate(0, 10, prng="nope")
+
+
+def test_sixty_four_tags(spark):
+    names = [f"t{i}" for i in range(64)]
+    for i, n in enumerate(names):
+        tags._BUILDERS.setdefault(n, lambda i=i: F.col("id") % 64 == i)
+    try:
+        tagger = tags.Tagger(names)
+        rows = spark.range(128).select("id", tagger.bits().alias("bits"))
+        assert rows.where(tags.covers(F.col("bits"), tagger.mask(["t63"]))).count() == 2 and rows.where(tags.any_of(F.col("bits"), tagger.mask(["t63", "t0"]))).count() == 4
+        assert rows.where(tags.none_of(F.col("bits"), tagger.mask(names))).count() == 0
+        with pytest.raises(ValueError):
+            tags.Tagger([*names, "bg"])
+    finally:
+        for n in names:
+            tags._BUILDERS.pop(n, None)
+
+
+def test_strata_in_one_pass(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") * 7 % 11).alias("x"))
+    for k in (3, 9):
+        strata = [(f"s{i}", F.col("x") % (i + 2) == 0, 20 + 5 * i) for i in range(k)]
+        plan = tags.collect_strata(rows, strata, "id")
+        got = {r.id: r.cname for r in plan.collect()}
+        want, room = {}, {n: r for n, _, r in strata}
+        for i in range(3000):
+            for j in range(k):
+                if (i * 7 % 11) % (j + 2) == 0 and room[f"s{j}"]:
+                    want[i] = f"s{j}"
+                    room[f"s{j}"] -= 1
+                    break
+        assert got == want
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # one read however many strata
+
+
+def test_command_line_tools(spark, capsys, tmp_path):
+    command_line(["replay", "--rounds", "2", "--format", "json"])
+    assert len(json.loads(capsys.readouterr().out.splitlines()[0])["results"]) == 2
+    command_line(["run", "--rounds", "500", "--out", str(tmp_path / "r.txt")])
+    assert "win / bet" in (tmp_path / "r.txt").read_text()
+    with pytest.raises(SystemExit):
+        command_line(["tune"])
