@@ -1,11 +1,14 @@
 """Decontamination, URL filter, sharding, packing and WARC against plain versions and on the defined cases."""
 
 import collections
+import html
 import random
 import re
+import urllib.parse
 import zlib
 from itertools import combinations
 
+import duckdb
 import pytest
 
 from sparkreel.llm import decontaminate, packing, sharding, urlfilter, warc
@@ -348,3 +351,93 @@ def test_bins_agree_with_a_plain_best_fit():
             room, sources, clusters = plain[k]
             assert bins.place(length, source, cluster, limit) == (k, capacity - room)
             plain[k] = (room - length, [*sources, source], clusters | {cluster})
+
+
+# the url filter's links against the standard library's, and against SQL
+
+
+def plain_verdicts(rows):
+    """Verdicts by html.unescape, urljoin and a union of classes."""
+
+    def node(url):
+        if url is None or "://" not in url:
+            return None
+        scheme, _, rest = url.partition("://")
+        rest = rest.partition("#")[0]
+        host = re.match("[^/?]*", rest)[0]
+        return host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) + rest[len(host) :]
+
+    def own(key):
+        host, path = re.match("[^/?]*", key)[0], re.match("[^/?]*([^?]*)", key)[1]
+        fits = [(len(h + p), d) for d, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, url, page in rows:
+        if page is None or node(url) is None:
+            continue
+        page = re.sub(r"(?is)<!--.*?-->|<script>.*?</script>", " ", page)
+        base = re.search(r'<base href="([^"]*)"', page)
+        base = urllib.parse.urljoin(url, html.unescape(base[1])) if base else url
+        for raw in re.findall(r'<link rel="canonical" href="([^"]+)">|<meta http-equiv="refresh" content="0;url=([^"]+)">', page):
+            target = html.unescape("".join(raw))
+            if not target or target.startswith("#") or re.match("(?i)(?!https?:)[a-z]+:", target):
+                continue
+            find(node(url)), find(node(urllib.parse.urljoin(base, target)))
+            parent[find(node(urllib.parse.urljoin(base, target)))] = find(node(url))
+    classes = collections.defaultdict(set)
+    for x in parent:
+        classes[find(x)].add(x)
+    out = {}
+    for page_id, url, _ in rows:
+        key = node(url)
+        group = classes[find(key)] if key in parent else {key} - {None}
+        held = {own(x) for x in group}
+        out[page_id] = (own(key) if key else None) or ("allow" if "allow" in held else "block" if "block" in held else "allow")
+    return out
+
+
+def random_links(rng):
+    hosts = ["a.site", "B.site", "c.site", "bad.com", "example.com", "x.example.net", "free.org", "bad.org"]
+    paths = ["/", "/en/1", "/en/7", "/de/8", "/es/2", "/p/q/r", "/p/", "", "/p/q?x=1&y=2", "/z?k=v"]
+    url = lambda: f"http://{rng.choice(hosts)}{rng.choice(paths)}"
+
+    def target():
+        t = rng.choice([url(), url(), rng.choice(paths[:-2]), "//" + url()[7:], "../" * rng.randrange(3) + rng.choice(["x", "en/1", "q", "."]), "?k=v", "#here", "mailto:x@y", "./r", "r/../en/7"])
+        t = t.replace("&", "&amp;")
+        return "".join(f"&#{ord(c)};" if rng.random() < 0.05 and c not in "&#;" else f"&#x{ord(c):X};" if rng.random() < 0.05 and c in "/.pq" else c for c in t) if "&" not in t else t
+
+    rows = []
+    for k in range(rng.randrange(1, 40)):
+        page = "".join(rng.choice(['<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0;url=%s">', "<!-- <link rel=\"canonical\" href=\"%s\"> -->", "<script>'<link rel=\"canonical\" href=\"%s\">'</script>"]) % target() for _ in range(rng.randrange(3)))
+        if rng.random() < 0.15:
+            page = f'<base href="{rng.choice(["/sub/", "http://free.org/es/", "//bad.com/en/", "deep/"])}">' + page
+        rows.append((k, rng.choice([url(), url() + "#f", url(), None, "nowhere"]), rng.choice([page, page, page, None])))
+    return rows
+
+
+def test_links_agree_with_the_standard_library_and_with_sql(spark):
+    rng = random.Random(21)
+    blocked = 0
+    for _ in range(8):
+        rows = [(10_000 * k + i, u, h) for k in range(12) for i, u, h in random_links(rng)]
+        # each batch on hosts of its own, so that many small worlds are judged at once
+        rows = [(i, u and re.sub(r"(?<=://)(?=[aBc]\.site)", f"w{i // 10_000}.", u), h) for i, u, h in rows]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = urlfilter.judge(pages, urlfilter.page_edges(pages)).collect()
+        assert {r.page_id: r.verdict for r in got} == plain_verdicts(rows)
+        con = duckdb.connect()
+        con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+        con.executemany("insert into pages values (?, ?, ?)", rows)
+        found = con.execute(urlfilter.sql())
+        names = [d[0] for d in found.description]
+        assert sorted((tuple(r[n] for n in names) for r in got), key=str) == sorted(found.fetchall(), key=str)
+        blocked += sum(r.verdict == "block" and r.rule is None for r in got)
+    assert blocked > 50
