@@ -1,4 +1,4 @@
-"""Command line: simulate a game, study players, replay spins, tune a seed bank, or list games."""
+"""Command line: simulate a game, study players, replay spins, tune a seed bank, serve, or list games."""
 
 from __future__ import annotations
 
@@ -12,13 +12,13 @@ from pyspark.sql import SparkSession
 
 from .functions import render
 from .operators import tuner
-from .plans import demo
+from .plans import demo, http
 from .plans.engine import MOST_PLAYER_ROUNDS, MOST_PLAYERS, Engine, _rows
 
 
 def _arguments(args: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="sparkreel")
-    parser.add_argument("what", choices=["run", "players", "replay", "tune", "games"])
+    parser.add_argument("what", choices=["run", "players", "replay", "tune", "serve", "games"])
     parser.add_argument("--config", action="append", default=[], help="a folder of configurations; the demonstration games without it")
     parser.add_argument("--game", default="0", help="id or name")
     parser.add_argument("--rounds", type=int, default=1_000_000, help="rounds; of each player, where players are studied")
@@ -29,6 +29,8 @@ def _arguments(args: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--snapshot", default="", help="where a replay begins")
     parser.add_argument("--settings", help="the tuner's settings, a YAML file")
     parser.add_argument("--bank", help="a folder with a seed bank: written by tune, played by run")
+    parser.add_argument("--port", type=int, default=5808)
+    parser.add_argument("--production", action="store_true", help="serve spins and health alone")
     parser.add_argument("--format", choices=sorted(render.RENDERERS), default="text")
     parser.add_argument("--out", help="a file for the report as well")
     a = parser.parse_args(args)
@@ -49,6 +51,9 @@ def main(args: list[str] | None = None) -> None:
     if a.what == "games":
         print(render.table([(str(g.game_id), g.name, g.modes[0].bet_type) for g in engine.catalog.all()]))
         return
+    if a.what == "serve":
+        http.server(engine, a.port, production=a.production).serve_forever()
+        return
     game, began = engine.game(key), time.perf_counter()
     if a.what == "tune":
         bank = engine.tune(key, yaml.safe_load(Path(a.settings).read_text()), a.rounds, a.seed)

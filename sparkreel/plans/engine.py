@@ -172,6 +172,10 @@ class Engine:
             return _ROUTES[name](self, args)
         except KeyError as e:
             raise ServiceError(f"{e.args[0]} is required") from e
+        except ServiceError:
+            raise
+        except ConfigError as e:  # of a game or a configuration that the caller names
+            raise ServiceError(str(e)) from e
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:

@@ -1,6 +1,9 @@
 """Full results of spins: acts, screens and details, requests and snapshots, and the buffer's events."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import numpy as np
 import pytest
@@ -186,6 +189,32 @@ def test_services(spark, engine):
         engine.service("simbycfg", config=text, rounds=5)
 
 
+def test_http(engine):
+    from sparkreel.plans import http
+
+    server = http.server(engine)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def ask(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(at + path, None if body is None else json.dumps(body).encode())) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert ask("/v1/health") == (200, {"ok": True, "games": 2})
+        status, one = ask("/v1/spin?gid=0&game=demo_normal&bet=40&bet_mult=1")
+        assert status == 200 and one["gamemodes"] and ask("/v1/spin", {"gid": 0, "game": "demo_normal", "bet": 40, "bet_mult": 1}) == (200, one)
+        assert ask("/v1/sim?gid=0&rounds=50")[1]["rounds"] == 50 and ask("/v1/sim", {"gid": 0, "rounds": 50})[1]["rounds"] == 50
+        assert [ask(x)[0] for x in ("/v1/sim?gid=0", "/v1/sim?gid=0&rounds=x", "/v1/sim?gid=0&rounds=0", "/v1/spin?gid=0&game=x&bet=40", "/v1/sim?gid=9&rounds=1", "/nope")] == [400, 400, 400, 400, 400, 404]
+        assert ask("/v1/stat", {"bet_units": [40], "total_wins": [40, 0], "base_wins": [40, 0], "free_wins": [0, 0], "triggers": [0, 0]})[1]["rtp"] == 0.5
+        assert len(ask("/dev/games")[1]) == 2 and http.call(engine, "/dev/games", production=True)[0] == 404
+    finally:
+        server.shutdown()
+
+
 def test_error_levels():
     warn = errors.Warn("no", extra="x")
     assert str(warn) == "no | x" and errors.level_of(errors.wrap(warn, "outer")) is errors.Level.WARN
