@@ -192,9 +192,8 @@ class ClusterHits:
 
     def found(self, boards: np.ndarray, mult: np.ndarray) -> Iterator[Found]:
         tool = self.tool
-        shift = np.arange(tool.cells, dtype=tool.kind)
         for row, symbol, size, win, bits in tool.score(boards, mult)[2]:
-            cells = ((bits[:, None] >> shift) & tool.one).astype(bool)
+            cells = tool.spread(bits)
             yield Found(row, symbol * tool.cells + cells.argmax(1), win, symbol, 0, size, np.zeros(len(row), np.int64), 0, cells)
 
 
@@ -338,24 +337,31 @@ def fill(board: Column, strips: list[list[int]], positions: Column, columns: int
 def fall(boards: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(boards (n, rows, columns) whose symbols fell in each column, empty cells of each column)."""
     grid = boards.reshape(-1, rows, columns)
-    full = grid != 0
-    # a symbol's row is as far from the bottom as there are symbols below it
-    below = full[:, ::-1].cumsum(1, dtype=np.int8)[:, ::-1]
     out = np.zeros_like(grid)
-    n, r, c = np.nonzero(full)
-    out[n, rows - below[n, r, c], c] = grid[n, r, c]
-    return out, rows - below[:, 0].astype(np.int64)
+    flat = out.reshape(-1)
+    # each cell goes to the lowest place that is free; where it is empty, the next one above takes the same place
+    place = (np.arange(len(grid))[:, None] * rows + rows - 1) * columns + np.arange(columns)
+    lowest = place.copy()
+    for r in range(rows - 1, -1, -1):
+        flat[place] = grid[:, r]
+        if r:
+            place -= (grid[:, r] != 0) * columns
+    return out, rows - (lowest - place) // columns - (grid[:, 0] != 0)
 
 
 def refill(grid: np.ndarray, strips: Sequence[Sequence[int]], positions: np.ndarray) -> np.ndarray:
     """Fill the empty cells of boards (n, rows, columns) in place, from the bottom; the positions that the reels have stepped back to."""
+    rows = grid.shape[1]
     size = np.array([len(s) for s in strips])
-    table = np.stack([np.resize(np.asarray(s, grid.dtype), size.max()) for s in strips])
-    holes = grid == 0
-    nth = holes[:, ::-1].cumsum(1, dtype=np.int64)[:, ::-1]
-    n, r, c = np.nonzero(holes)
-    grid[n, r, c] = table[c, (positions[n, c] - nth[n, r, c]) % size[c]]
-    return (positions - nth[:, 0]) % size
+    # strips are unrolled by a board's height, so that no step back wraps
+    table = np.concatenate([np.resize(np.roll(np.asarray(s, grid.dtype), rows), len(s) + rows) for s in strips])
+    at = positions % size + rows + np.concatenate([[0], np.cumsum(size + rows)[:-1]])
+    back = at.copy()
+    for r in range(rows - 1, -1, -1):
+        hole = grid[:, r] == 0
+        back -= hole
+        grid[:, r] = np.where(hole, table.take(back), grid[:, r])
+    return (positions - (at - back)) % size
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -233,7 +233,6 @@ class Cascade:
         pos = np.stack([reels.pick(rng.draw(state, draw + 64 + c), 1, c) for c in range(mode.columns)], 1)
         wins, live = np.zeros(len(state), np.int64), np.arange(len(state))
         rounds = np.broadcast_to(rounds, (len(state),))
-        shift = np.arange(tool.cells, dtype=tool.kind)
 
         def add(kind: str, at: np.ndarray, order: int, **what: Any) -> None:
             if acts is not None:
@@ -248,13 +247,14 @@ class Cascade:
                 acts.append(first)
             if acts is not None:
                 index = np.cumsum(keep) - 1
-                add("win", live[keep], 4 * step + 1, win=won[keep], found=[Found(index[r], s.astype(np.int64) * tool.cells + ((b[:, None] >> shift) & tool.one).astype(bool).argmax(1), p, s, 0, k, np.zeros(len(r), np.int64), 0, ((b[:, None] >> shift) & tool.one).astype(bool)) for r, s, k, p, b in found])
+                hits = [Found(index[r], s.astype(np.int64) * tool.cells + cells.argmax(1), p, s, 0, k, np.zeros(len(r), np.int64), 0, cells) for r, s, k, p, b in found for cells in [tool.spread(b)]]
+                add("win", live[keep], 4 * step + 1, win=won[keep], found=hits)
             live, hit = live[keep], hit[keep]
             if not len(live):
                 break
             wins[live] += won[keep]
             cleared = boards[live]
-            cleared[((hit[:, None] >> shift) & tool.one).astype(bool)] = 0
+            cleared[tool.spread(hit)] = 0
             own = pos[live]
             add("clear", live, 4 * step + 2, screen=cleared, step_end=True)
             if acts is not None:
