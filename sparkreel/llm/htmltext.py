@@ -54,7 +54,7 @@ CLOSES_P = BLOCK - {"li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "caption"
 #: Words in a class that name an advert, a reader comment, a menu, a footer, a sidebar or a notice, wherever it stands.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsored promo comment comments commentlist disqus respond replies"
-    " sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter subscribe popup".split()
+    " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter subscribe popup".split()
 )
 #: Whole classes of bars of buttons within an article.
 BARS = frozenset("share sharing share-bar share-buttons social-share social-links toolbar pagination pager".split())
@@ -63,6 +63,8 @@ OUTER = NAMES | frozenset(
     "sponsor promotion banner header masthead topbar modal overlay subscription share sharing social related recommended recommendations"
     " reply widget toolbar copyright legal disclaimer login signup search pagination pager skip alert".split()
 )
+#: Words in an id that do.
+OUTER_IDS = NAMES | frozenset("header masthead topbar banner modal overlay toolbar login signup search pagination".split())
 #: The same, where the element is the article itself or its main container.
 ARTICLE_NAMES = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -105,8 +107,8 @@ def _named(name: str, names: frozenset[str]) -> bool:
 def _bad(tag: str, text: str, inside: bool) -> bool:
     """Whether an element is boilerplate by its attributes.
 
-    A class is read word by word, an id as a whole (it is mostly an address of its text).  Inside a marked zone, and for elements other
-    than plain containers, only NAMES count.
+    A class is read word by word, an id as a whole (it is mostly an address of its text) but on plain containers.  Inside a marked zone, and
+    for elements other than plain containers, only NAMES count.
     """
     if tag in KEPT or not text or "=" not in text and "hidden" not in text:
         return False
@@ -121,7 +123,7 @@ def _bad(tag: str, text: str, inside: bool) -> bool:
     names = NAMES if inside or tag not in PLAIN else OUTER
     if any(_named(x, names) or x.lower() in BARS for x in classes):
         return True
-    return tag not in HEADINGS and (own_id.lower() in names or own_id.lower() == "disqus_thread" or not inside and tag in PLAIN and _named(own_id, NAMES))
+    return tag not in HEADINGS and (own_id.lower() in names or own_id.lower() == "disqus_thread" or not inside and tag in PLAIN and _named(own_id, OUTER_IDS))
 
 
 class _Stripper:
@@ -133,7 +135,7 @@ class _Stripper:
         self.blank = False  # the open line has boilerplate
         self.links = self.link = self.article = self.articles = self.main = 0
         self.bad: list[str] = []  # the tag that began the boilerplate, then nested elements of that name
-        self.heads = 0  # open headers of an article, of which headings are kept
+        self.heads = 0  # open headers of a zone, of which headings are kept
         self.in_heading = False
         self.opened = ""  # the block that the last tag of one opened, if it did
 
@@ -189,7 +191,7 @@ class _Stripper:
                     self.bad.append(tag)
                 return
         inside = bool(self.article or self.main)
-        if tag == "header" and self.article and not _bad("article", rest, True):
+        if tag == "header" and inside and not _bad("article", rest, True):
             self.heads += 1
         elif tag in DROP or tag == "header" or _bad(tag, rest, inside):
             self.bad.append(tag)

@@ -18,6 +18,8 @@ from sparkreel.llm.htmltext import ABOVE, OUTSIDE, SHARE, THRESHOLD, WINDOW, mai
         ("<main><article><p>a</p></article><section id=comments><p>c</p></section></main>", "a"),
         ("<article><p>one <svg><title>t</title></svg><noscript><div>n</div></noscript>two</p></article>", "one two"),
         ('<p class="legal-history">' + "word " * 40 + "</p>", ("word " * 40).strip()),
+        ("<main><header><h1>Title</h1><p>by me</p></header><p>" + "word " * 30 + "</p></main><div id=site-footer>f</div>", "Title\n\n" + ("word " * 30).strip()),
+        ("<div id=page-header>Site name and motto</div><div id=related-work><p>" + "word " * 30 + "</p></div>", ("word " * 30).strip()),
         ("<article><p>" + "long " * 60 + "</p></article><p>" + "more " * 60 + "</p>", ("long " * 60).strip() + "\n\n" + ("more " * 60).strip()),
     ],
 )
