@@ -460,8 +460,8 @@ def alias_mass_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIAS_SQL = "select p_partkey, i::int idx, (3 * [p_size % 4 + 1, p_size % 3, p_size % 5][i + 1])::bigint mass from part, range(3) t(i)"
 
 
-#: Parts that a class, here a brand, collects: the tuner's functions work on such samples.
-QUOTA = 200
+#: Parts that a class, here a brand, collects at most: the tuner's functions work on such samples, which one task holds.
+QUOTA = 100_000
 
 
 def _per_class(spark: SparkSession, sf_dir: str, schema: str, work) -> DataFrame:
