@@ -113,6 +113,30 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of 64 bits that a filter has at most.
+FILTER_WORDS = 1 << 20
+
+
+def bit_filter(hashes: DataFrame) -> DataFrame:
+    """A filter of the distinct longs ``h``: rows (word, bits) of 64 bits, 16 bits for each hash, and never more than FILTER_WORDS rows."""
+    hashes = hashes.select("h").distinct()
+    words = min(FILTER_WORDS, 1 << max(4, (hashes.count() // 4).bit_length()))
+    own = F.pmod(F.shiftright("h", 6), F.lit(words)).cast("int")
+    found = hashes.groupBy(own.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    return found.withColumn("words", F.lit(words))
+
+
+def maybe_in(rows: DataFrame, bits: DataFrame, h: str) -> DataFrame:
+    """``rows`` with ``maybe__``: false where the long ``h`` is certainly not in the filter.  The filter is broadcast."""
+    words = bits.select("words").first()
+    if words is None:
+        return rows.withColumn("maybe__", F.lit(False))
+    side = F.broadcast(bits.select(F.col("word").alias("word__"), F.col("bits").alias("bits__")))
+    marked = rows.withColumn("word__", F.pmod(F.shiftright(h, 6), F.lit(words[0])).cast("int")).join(side, "word__", "left")
+    hit = F.col("bits__").bitwiseAND(F.expr(f"shiftleft(1L, cast({h} & 63 as int))")) != 0
+    return marked.withColumn("maybe__", F.coalesce(hit, F.lit(False))).drop("word__", "bits__")
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows of least hash of ``key``.
 

@@ -15,11 +15,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, small
+from .common import BROADCAST_BYTES, bit_filter, cut, maybe_in, small
 
 WINDOW, ERRORS, LEAST = 13, 2, 8
-#: Rows of 64 bits that the filter of a large benchmark has at most.
-FILTER_WORDS = 1 << 20
 #: Positions that count; every overlap of WINDOW tokens with ERRORS substitutions has one of these, somewhere, intact.
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 2, 4, 5, 6))
 
@@ -49,19 +47,14 @@ def _seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...])
 def _matches(seeds: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     """``seeds`` joined with ``wanted`` on h, without a shuffle of all seeds.
 
-    Up to ``limit`` bytes, counted, the benchmark's seeds are broadcast.  More of them become a filter of bits first, a row for each 64, which is
-    broadcast and never larger than twice ``FILTER_WORDS`` longs; only seeds whose bit is set are shuffled and joined.
+    Up to ``limit`` bytes, counted, the benchmark's seeds are broadcast.  More of them become a filter of bits first, which is
+    broadcast and has a fixed bound; only seeds whose bit is set are shuffled and joined.
     """
     most = limit // 40
     if wanted.limit(most + 1).count() <= most:
         return seeds.join(F.broadcast(wanted), "h")
     wanted = cut(wanted, "seeds")
-    hashes = wanted.select("h").distinct()
-    words = min(FILTER_WORDS, 1 << max(4, (hashes.count() // 4).bit_length()))
-    word = F.pmod(F.shiftright("h", 6), F.lit(words)).cast("int")
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = hashes.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
-    likely = seeds.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    likely = maybe_in(seeds, cut(bit_filter(wanted), "filter"), "h").where("maybe__").drop("maybe__")
     return likely.join(wanted, "h")
 
 

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, shared_path, small
+from .common import BROADCAST_BYTES, bit_filter, bounded_sample, cut, maybe_in, shared_path
 
 #: Magic number of the skippable frame that holds a dictionary, in the public WARC-Zstandard specification.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -85,7 +85,23 @@ def _writer(folder: str, dictionary: bytes):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def _with_first(rows: DataFrame, revisits: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (page_id, url, html, sha) with ``refers_to``, of ``revisits`` (id, own, refers_to).
+
+    Up to ``limit`` bytes, counted, the revisits are broadcast.  Beyond, a filter of them is, and only pages that may be among them are
+    shuffled, with their html, to be joined; all others are responses and stay where they are.
+    """
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("own"))
+    most = limit // 120
+    if revisits.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(revisits), same, "left")
+    bits = cut(bit_filter(revisits.select(F.xxhash64("id", "own").alias("h"))), "filter")
+    marked = maybe_in(rows.withColumn("h", F.xxhash64("page_id", "sha")), bits, "h").drop("h")
+    sure = marked.where("not maybe__").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    return marked.where("maybe__").join(revisits, same, "left").select("page_id", "url", "html", "refers_to").unionByName(sure)
+
+
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``folder``, which all tasks reach; the manifest (file, records, bytes).
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, the least page_id's is a response and the others are
@@ -100,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     revisits = keyed.join(firsts, "sha").where("refers_to is not null and (page_id is null or page_id <> refers_to)")
     revisits = revisits.select(F.col("page_id").alias("id"), F.col("sha").alias("own"), "refers_to").distinct()
     rows = pages.withColumn("sha", F.sha2(F.col("html").cast("binary"), 256))
-    rows = rows.join(small(cut(revisits, "revisits"), 120), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("own")), "left")
+    rows = _with_first(rows, cut(revisits, "revisits"), broadcast_bytes)
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     dictionary = build_dictionary(pages)

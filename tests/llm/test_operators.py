@@ -263,6 +263,8 @@ def test_warc_round_trip(spark, tmp_path):
         kind = "response" if first is None or p == first else "revisit"
         expect[p, len(payload), warc.digest(payload), kind, first if kind == "revisit" else None] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expect
+    filtered = warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}/filtered", broadcast_bytes=120)).collect()
+    assert sorted(map(str, filtered)) == sorted(map(str, got))
     assert sum(r.records for r in manifest.collect()) == len(rows)
     files = list((tmp_path / "out").iterdir())
     assert files and all(f.name.endswith(".warc.zst") for f in files if not f.name.startswith("."))
