@@ -112,6 +112,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, thresho
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.3, train_bytes: int = labelled.TRAIN_BYTES) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; the learned model and the defined cases are :func:`toxicity`'s."""
+    """``docs`` without the rows that score ``threshold`` or more; the learned model and the defined cases are :func:`toxicity`'s.
+
+    Without labels nothing is known to be toxic, and all rows stay.
+    """
     model = labelled.learned(Model, fit, docs, labels, "toxic", 4, 2, train_rows, train_bytes)
+    if not len(model.bins) and not model.bias:
+        return docs
     return labelled.kept(docs, lambda column: score(model, column), lambda s: s < threshold)

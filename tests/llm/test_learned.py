@@ -358,3 +358,24 @@ def test_ftrl_agrees_with_the_plain_one():
                 n[f] = have + g * g
     model = toxicity.fit(pa.array(texts), y, passes, alpha, beta, l1, l2)
     assert np.allclose(toxicity.score(model, pa.array(texts)), [chance(t) for t in texts], atol=1e-9)
+
+
+@pytest.mark.parametrize("stage,run,keeps", [(toxicity.without_toxic, toxicity.toxicity, 0), (quality.of_quality, quality.quality, 1)])
+def test_stages_on_odd_rows(spark, stage, run, keeps):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(20)) + (" ## %% $$" * 5 + " vile" if k % 2 else "") for k in range(60)]
+    rows = [(k, t, "en", "s", "x") for k, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s", "x"), (2, texts[2], "en", "s", "y"), (100, None, None, None, None), (101, "", "", "", ""), (None, texts[4], "en", "s", "x"), (None, texts[5], "en", "s", "x"), (102, "w1 " * 400_000, "en", "s", "x"), (103, "## vile $$ " * 200_000, "en", "s", "x")]
+    docs = spark.createDataFrame(rows, DOCS)  # with a column that is called like the result's
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    scored = {}
+    for r in run(docs, labels).collect():
+        scored.setdefault(r.doc_id, set()).add(r.predicted)
+    left = stage(docs, labels)
+    assert left.columns == docs.columns
+    got = sorted(map(tuple, left.collect()), key=str)
+    # ids with one verdict: all their rows stay or go; without an id, the text decides
+    by_text = {t: min(scored[k]) for k, t in enumerate(texts)}
+    want = [r for r in rows if (by_text[r[1]] if r[0] is None else min(scored[r[0]])) == keeps]
+    assert all(len(v) == 1 for k, v in scored.items() if k is not None) and got == sorted(want, key=str) and 0 < len(got) < len(rows)
+    assert stage(docs.limit(0), labels).collect() == [] and stage(docs, labels.limit(0)).count() == len(rows)
