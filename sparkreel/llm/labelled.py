@@ -65,7 +65,9 @@ def learned(kind: type[T], fit: Callable[[pa.Array, list[int]], T], docs: DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=pa.schema([("y", pa.int32()), ("text", pa.string())]))
-        model = fit(table["text"].combine_chunks(), table["y"].to_pylist())
+        text, y = table["text"].combine_chunks(), table["y"].to_pylist()
+        del table
+        model = fit(text, y)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(model))], pa.binary())})
 
     rows = sample_frame(docs, labels, label, modulus, held, rows, most_bytes).mapInArrow(run, "model binary").collect()

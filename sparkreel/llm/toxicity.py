@@ -46,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
 
 def rows_of(column: pa.Array, used: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Distinct bins of each text, of those that are ``used``."""
-    for i, j, data, offsets in tb.blocks(column, tb.BLOCK_BYTES // 4):
+    for i, j, data, offsets in tb.blocks(column, tb.BLOCK_BYTES // 2):
         found = features(data, offsets)
         bins, owner = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         if used is not None:
@@ -81,9 +81,8 @@ def fit(column: pa.Array, labels: list[int], passes: int = 5, alpha: float = 1.0
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    all_w = weight(np.arange(bias + 1))
-    bins = np.flatnonzero(all_w[:-1])
-    return Model(bins, all_w[bins], float(all_w[-1]))
+    bins = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return Model(bins, weight(bins), float(weight(np.array([bias]))[0]))
 
 
 def score(model: Model, column: pa.Array) -> np.ndarray:
@@ -91,7 +90,7 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
     out = np.full(len(column), model.bias)
     used = np.zeros(1 << BINS, bool)
     used[model.bins] = True
-    for i, j, data, offsets in tb.blocks(column):
+    for i, j, data, offsets in tb.blocks(column, tb.BLOCK_BYTES // 2):
         keys = [(owner[hit] << BINS) | bins[hit] for bins, owner in features(data, offsets) for hit in [used[bins]]]
         keys = np.unique(np.concatenate(keys))
         w = model.weights[np.searchsorted(model.bins, keys & ((1 << BINS) - 1))] if len(keys) else np.zeros(0)
