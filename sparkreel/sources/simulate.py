@@ -238,13 +238,12 @@ class Cascade:
             if acts is not None:
                 acts.append(Acts(kind, rows[at], number, rounds[at], order, **what))
 
-        first = Acts("gen_screen", rows, number, rounds, 0, screen=boards.copy()) if acts is not None else None
+        add("gen_screen", live, 0, screen=boards.copy(), step_end=not self.rules.max_step)
         for step in range(self.rules.max_step):
             won, hit, found = tool.score(boards[live], bet_mult)
             keep = won > 0
-            if step == 0 and first is not None:
-                first.step_end = ~keep
-                acts.append(first)
+            if step == 0 and acts is not None:
+                acts[-1].step_end = ~keep
             if acts is not None:
                 index = np.cumsum(keep) - 1
                 hits = [Found(index[r], s.astype(np.int64) * tool.cells + cells.argmax(1), p, s, 0, k, np.zeros(len(r), np.int64), 0, cells) for r, s, k, p, b in found for cells in [tool.spread(b)]]
@@ -262,9 +261,6 @@ class Cascade:
             boards[live] = _fall_and_fill(cleared, reels, own, mode.columns, mode.rows)
             pos[live] = own
             add("fillscreen", live, 4 * step + 4, screen=boards[live], step_end=True)
-        else:
-            if first is not None and not self.rules.max_step:
-                acts.append(first)
         return wins, boards
 
 
