@@ -82,7 +82,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], object], modulus: int, h
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
-    out = cut_in_small_batches(out, "scores")
+    out = cut_in_small_batches(out.hint("rebalance"), "scores")  # rows of 16 bytes: few files, not one for each part of the texts
     return out.select("doc_id", F.coalesce(folds(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
